@@ -11,16 +11,19 @@ components is lost.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
 
 #: Lists up to this length are expanded to pairs at once (at most SHORT / 2 pairs a row).
 SHORT = 12
-#: Rounds of pivots for longer lists before what is left is tested in full.
-PIVOTS = 4
+#: Rounds of pivots for longer lists before what is left is tested in full, and pivots a round.
+PIVOTS = 2
+PICKS = 3
+DEBUG = False
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -54,34 +57,53 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(e.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
 
-def linked(lists: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[Column, Column], Column] | None = None, refine: Callable[[DataFrame], DataFrame] | None = None, refined_fits: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(node, comp) of the nodes that have links; comp is the least node reachable.
 
-    lists: (key long, node long), distinct. verify: keeps those of the pairs (a, b),
-    a < b, that are links. A pair is a candidate if it shares a key.
+    lists: (key long, node long, info), distinct. verify: keeps those of the pairs (a, b),
+    a < b, that are links. A pair is a candidate if it shares a key and ``fits`` holds for
+    the infos of the two rows. refine: gives stricter lists, which lose no link, for the
+    nodes (node) of long lists, with a rule of their own.
     """
-    lists = saved(lists)
-    sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = saved(lists.join(sizes, "key"))
-    brief, long = sized.where(F.col("n") <= SHORT).select("key", "node"), sized.where(F.col("n") > SHORT).select("key", "node")
-    pairs = brief.select("key", F.col("node").alias("a")).join(brief.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()
-    links = saved(verify(pairs))
+    yes = lambda x, y: F.lit(True)
+    fits, refined_fits = fits or yes, refined_fits or fits or yes
+
+    def sized(rows: DataFrame) -> DataFrame:
+        rows = saved(rows)
+        return saved(rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key"))
+
+    def both(rows: DataFrame, fits: Callable[[Column, Column], Column], *more: str) -> DataFrame:
+        side = lambda x: rows.select("key", F.col("node").alias(x), F.col("info").alias(f"i{x}"), *(F.col(m).alias(m + x) for m in more))
+        apart = [F.col(m + "a") != F.col(m + "b") for m in more]
+        on = reduce(lambda p, q: p & q, [F.col("l.key") == F.col("r.key"), F.col("a") < F.col("b"), fits(F.col("ia"), F.col("ib")), *apart])
+        return side("a").alias("l").join(side("b").alias("r"), on).select("a", "b")
+
+    first = sized(lists)
+    pairs, long = both(first.where(F.col("n") <= SHORT), fits), first.where(F.col("n") > SHORT)
     if long.limit(1).count() == 0:
-        return components(links)
+        return components(saved(verify(pairs.distinct())))
+    if refine is not None:
+        long, fits = sized(refine(long.select("node").distinct())), refined_fits
+        pairs, long = pairs.union(both(long.where(F.col("n") <= SHORT), fits)), long.where(F.col("n") > SHORT)
+    long = long.select("key", "node", "info")
+    links = saved(verify(pairs.distinct()))
     found = components(links)
     for turn in range(PIVOTS + 1):
-        state = long.join(found, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        spread = state.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"), F.col("comp"))).alias("pivot")).where("low != high")
+        state = long.join(found, "node", "left").select("key", "node", "info", F.coalesce("comp", "node").alias("comp"))
+        pivot = lambda i: F.min(F.struct(F.xxhash64("node", F.lit(turn * PICKS + i)), F.col("node"), F.col("comp"), F.col("info")))  # noqa: E731, B023
+        spread = state.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.array(*(pivot(i) for i in range(PICKS))).alias("pivots")).where("low != high")
         if turn < PIVOTS:
-            pairs = state.join(spread.select("key", F.col("pivot.node").alias("p"), F.col("pivot.comp").alias("pc")), "key").where("comp != pc").select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
+            picked = spread.select("key", F.explode(F.array_distinct("pivots")).alias("p"))
+            near = state.join(picked, "key").where((F.col("comp") != F.col("p.comp")) & fits(F.col("info"), F.col("p.info")))
+            pairs = near.select(F.least(F.col("node"), F.col("p.node")).alias("a"), F.greatest(F.col("node"), F.col("p.node")).alias("b"))
         else:
-            state = saved(state.join(spread.select("key"), "key", "left_semi"))
-            pairs = state.select("key", F.col("node").alias("a"), F.col("comp").alias("ca")).join(state.select("key", F.col("node").alias("b"), F.col("comp").alias("cb")), "key").where("a < b and ca != cb").select("a", "b")
-        pairs = saved(pairs.distinct())
-        if pairs.limit(1).count() == 0:
-            break
-        fresh = saved(verify(pairs))
+            pairs = both(state.join(spread.select("key"), "key", "left_semi"), fits, "comp")
+        fresh = saved(verify(pairs.distinct()))
+        if DEBUG:
+            print("turn", turn, "long rows", long.count(), "open lists", spread.count(), "pairs", pairs.count(), pairs.distinct().count(), "fresh", fresh.count())
         if fresh.limit(1).count():
             links = links.union(fresh)
             found = components(links)
+        elif turn < PIVOTS and spread.limit(1).count() == 0:
+            break
     return found

@@ -2,7 +2,7 @@
 
 1. Map tasks turn each whole text into its set of word shingles (64-bit hashes) and
    keep the k least: the sketch. Texts with equal sets are one class from here on.
-2. Inverted lists of the retained values. If two sets have similarity s, the k least
+2. Inverted lists of the retained values (and, where those are long, of full sets). If two sets have similarity s, the k least
    values of their union hold about s * k shared ones; a pair at the threshold falls
    under ``need`` only by a deviation of six standard deviations. So two such sets
    share one of the ``size - need + 1`` rarest retained values of either, and a list
@@ -21,7 +21,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, small
@@ -114,10 +114,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     ranked = values.join(common, "v").groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("found"))
     held = F.size("sketch")
     least = F.least(F.lit(need), F.ceil(F.col("n") * percent / 100).cast("int"))
-    ranked = ranked.join(classes.select("sig", held.alias("held"), least.alias("need")), "sig")
-    prefix = F.col("held") - F.col("need") + 1 - (F.col("held") - F.size("found"))
-    lists = ranked.where(prefix > 0).select(F.explode(F.slice("found", 1, prefix)).alias("f"), F.col("sig").alias("node")).select(F.col("f.v").alias("key"), "node")
-    lists = saved(lists)
+    ranked = ranked.join(classes.select("sig", "n", held.alias("held"), least.alias("need")), "sig")
+    alone = F.col("held") - F.size("found")
+    prefix = F.col("held") - F.col("need") + 1 - alone
+    info = F.struct((F.col("held") - alone - F.col("at")).alias("left"), F.col("need"), F.col("n"))
+    lists = ranked.where(prefix > 0).select(F.posexplode(F.slice("found", 1, prefix)).alias("at", "f"), F.col("sig").alias("node"), "held", "need", "n", "found")
+    lists = saved(lists.select(F.col("f.v").alias("key"), "node", info.alias("info")))
+
+    def fits(x: Column, y: Column) -> Column:
+        """Can values from this one on still be as many as needed? If none before is shared, no others can."""
+        return (F.least(x["left"], y["left"]) >= F.greatest(x["need"], y["need"])) & (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"]))
 
     # Full sets of the classes that stand in a list, from one of their documents each.
     nodes = lists.select(F.col("node").alias("sig")).distinct()
@@ -139,7 +145,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
         both = F.size(F.array_intersect("fa", "fb"))
         return likely.join(y, "b").join(x, "a").select("a", "b", "na", "nb", both.alias("both")).where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
-    groups = linked(lists, verify)
+    def refine(nodes: DataFrame) -> DataFrame:
+        """Lists of full sets: similar ones share one of each set's rarest ``n - ceil(s * n) + 1`` shingles."""
+        rows = saved(sets.join(nodes.select(F.col("node").alias("sig")), "sig", "left_semi").select("sig", F.size("shingles").alias("n"), F.explode("shingles").alias("v")))
+        often = rows.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        order = rows.join(often, "v").groupBy("sig").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "v"))).alias("found"))
+        rare = F.size("found") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+        after = F.size("found") - F.col("at")
+        rows = order.where(rare > 0).select(F.posexplode(F.slice("found", 1, rare)).alias("at", "f"), F.col("sig").alias("node"), "n", "found")
+        return rows.select(F.col("f.v").alias("key"), "node", F.struct(after.alias("left"), "n").alias("info"))
+
+    def refined_fits(x: Column, y: Column) -> Column:
+        return F.least(x["left"], y["left"]) * (100 + percent) >= percent * (x["n"] + y["n"])
+
+    groups = linked(lists, verify, fits, refine, refined_fits)
     # Ids that several classes share (repeated ids) tie those classes too.
     member = full.select("id", "sig").distinct().join(groups.select(F.col("node").alias("sig"), "comp"), "sig", "left").select("id", "sig", F.coalesce("comp", "sig").alias("comp"))
     of_class = saved(member.groupBy("sig").agg(F.first("comp").alias("comp"), F.min("id").alias("least")))
