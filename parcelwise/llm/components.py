@@ -20,9 +20,10 @@ from .common import saved
 
 #: Lists up to this length are expanded to pairs at once (at most SHORT / 2 pairs a row).
 SHORT = 12
-#: Rounds of pivots for longer lists before what is left is tested in full, and pivots a round.
+#: Rounds of pivots for longer lists before what is left is tested in full, and pivots a round:
+#: the lists' nodes are dealt to so many lots, and each gives its first by rank.
 PIVOTS = 2
-PICKS = 3
+PICKS = 4
 DEBUG = False
 
 
@@ -57,13 +58,14 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(e.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
 
-def linked(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[Column, Column], Column] | None = None, refine: Callable[[DataFrame], DataFrame] | None = None, refined_fits: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def linked(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[Column, Column], Column] | None = None, refine: Callable[[DataFrame], DataFrame] | None = None, refined_fits: Callable[[Column, Column], Column] | None = None, rank: Callable[[Column], Column] = lambda info: F.lit(0)) -> DataFrame:
     """(node, comp) of the nodes that have links; comp is the least node reachable.
 
     lists: (key long, node long, info), distinct. verify: keeps those of the pairs (a, b),
     a < b, that are links. A pair is a candidate if it shares a key and ``fits`` holds for
     the infos of the two rows. refine: gives stricter lists, which lose no link, for the
-    nodes (node) of long lists, with a rule of their own.
+    nodes (node) of long lists, with a rule of their own. rank: of an info; nodes of low
+    rank are pivots first.
     """
     yes = lambda x, y: F.lit(True)
     fits, refined_fits = fits or yes, refined_fits or fits or yes
@@ -90,10 +92,11 @@ def linked(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Cal
     found = components(links)
     for turn in range(PIVOTS + 1):
         state = long.join(found, "node", "left").select("key", "node", "info", F.coalesce("comp", "node").alias("comp"))
-        pivot = lambda i: F.min(F.struct(F.xxhash64("node", F.lit(turn * PICKS + i)), F.col("node"), F.col("comp"), F.col("info")))  # noqa: E731, B023
+        lot = F.xxhash64("node", F.lit(turn))
+        pivot = lambda i: F.min(F.when(F.pmod(lot, F.lit(PICKS)) == i, F.struct(rank(F.col("info")), lot, F.col("node"), F.col("comp"), F.col("info"))))  # noqa: E731, B023
         spread = state.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.array(*(pivot(i) for i in range(PICKS))).alias("pivots")).where("low != high")
         if turn < PIVOTS:
-            picked = spread.select("key", F.explode(F.array_distinct("pivots")).alias("p"))
+            picked = spread.select("key", F.explode(F.array_compact("pivots")).alias("p"))
             near = state.join(picked, "key").where((F.col("comp") != F.col("p.comp")) & fits(F.col("info"), F.col("p.info")))
             pairs = near.select(F.least(F.col("node"), F.col("p.node")).alias("a"), F.greatest(F.col("node"), F.col("p.node")).alias("b"))
         else:

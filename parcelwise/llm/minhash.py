@@ -158,7 +158,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     def refined_fits(x: Column, y: Column) -> Column:
         return F.least(x["left"], y["left"]) * (100 + percent) >= percent * (x["n"] + y["n"])
 
-    groups = linked(lists, verify, fits, refine, refined_fits)
+    # A set with few values rarer than the shared one is close to what its group has in common.
+    groups = linked(lists, verify, fits, refine, refined_fits, lambda info: -info["left"])
     # Ids that several classes share (repeated ids) tie those classes too.
     member = full.select("id", "sig").distinct().join(groups.select(F.col("node").alias("sig"), "comp"), "sig", "left").select("id", "sig", F.coalesce("comp", "sig").alias("comp"))
     of_class = saved(member.groupBy("sig").agg(F.first("comp").alias("comp"), F.min("id").alias("least")))
