@@ -406,7 +406,7 @@ def terrain(spark, d):
     return raster.terrain(_cells(spark, d), 30.0).select("i", "j", r("slope").alias("slope"), r("aspect", 3).alias("aspect"), r("westness").alias("westness"), r("southness").alias("southness"))
 
 
-@query(f"WITH {_CELLS}, b AS (SELECT quantile_cont(value, [{', '.join(str(k / 20) for k in range(20))}]) AS q FROM g) SELECT i, j, round(len(list_filter(q, lambda x: x < value)) * 5.0, 4) AS percentile FROM g, b")
+@query(f"WITH {_CELLS}, b AS (SELECT quantile_cont(value, [{', '.join(str(k / 20) for k in range(20))}]) AS q FROM g) SELECT i, j, round(len(list_filter(q, lambda x: x < value)) * 5.0::DOUBLE, 4) AS percentile FROM g, b")
 def value_percentiles(spark, d):
     return raster.value_percentiles(_cells(spark, d), 20).select("i", "j", r("percentile").alias("percentile"))
 
@@ -441,10 +441,10 @@ SPEEDS = {0: {"AUTOMOBILE": 50, "BUILDING": 30, "FURNITURE": 80}, 1: {"AUTOMOBIL
 
 
 @query("""WITH v(f, k, s) AS (VALUES (0, 'AUTOMOBILE', 50.0), (0, 'BUILDING', 30.0), (0, 'FURNITURE', 80.0), (1, 'AUTOMOBILE', 30.0), (1, 'BUILDING', 20.0), (1, 'MACHINERY', 10.0))
-SELECT c_custkey, s::DOUBLE AS speed, round((abs(c_acctbal) + 1) / s::DOUBLE * 3.6, 4) AS time FROM customer JOIN v ON c_nationkey % 2 = f AND c_mktsegment = k""")
+SELECT c_custkey, s::DOUBLE AS speed, round((abs(c_acctbal) + 1) / s::DOUBLE * 3.6, 6) AS time FROM customer JOIN v ON c_nationkey % 2 = f AND c_mktsegment = k""")
 def edge_times(spark, d):
     e = t(spark, d, "customer").select("c_custkey", (F.col("c_nationkey") % 2).alias("builtup"), F.col("c_mktsegment").alias("class"), (F.abs("c_acctbal") + 1).alias("length"))
-    return network.timed(e, SPEEDS).select("c_custkey", "speed", r("time").alias("time"))
+    return network.timed(e, SPEEDS).select("c_custkey", "speed", r("time", 6).alias("time"))
 
 
 _GRAPH = """e AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM customer JOIN supplier ON c_custkey % 40 = s_suppkey % 40 WHERE (c_nationkey + s_nationkey) % 3 = 0 AND c_nationkey <> s_nationkey), g AS (SELECT src, dst, CAST(1 + (src * 7 + dst * 11) % 13 AS DOUBLE) AS cost FROM e)"""
