@@ -35,7 +35,7 @@ _powers = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n of the base and of its inverse, modulo 2**64; kept for usual chunk sizes."""
-    if n > _powers.get("n", 0):
+    if n > _powers.get("n", -1):
         inverse = pow(_BASE, -1, 1 << 64)
         table = []
         for base in (_BASE, inverse):
