@@ -193,7 +193,7 @@ _MODE = 5
 
 @query(f"""WITH s AS (SELECT p_brand, p_retailprice AS v, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice) - 1 AS rn, count(*) OVER (PARTITION BY p_brand) AS n FROM part),
 x AS (SELECT p_brand, o, (rn + o) // {_MODE} AS run, avg(v) AS a, (max(v) - min(v)) / count(*) AS width, count(*) AS k FROM s, range({_MODE}) t(o) WHERE n >= {_MODE} GROUP BY 1, 2, 3),
-b AS (SELECT p_brand, o, a, row_number() OVER (PARTITION BY p_brand, o ORDER BY width, run) AS rk FROM x WHERE k = {_MODE})
+b AS (SELECT p_brand, o, a, row_number() OVER (PARTITION BY p_brand, o ORDER BY width, run) AS rk FROM x WHERE k >= 2)
 SELECT p_brand, round(median(a), 4) AS mode FROM b WHERE rk = 1 GROUP BY p_brand UNION ALL SELECT p_brand, round(min(v), 4) FROM s WHERE n < {_MODE} GROUP BY p_brand""")
 def general_mode(spark, d):
     return aggregate.general_mode(t(spark, d, "part"), "p_brand", "p_retailprice", _MODE).select("p_brand", r("mode").alias("mode"))

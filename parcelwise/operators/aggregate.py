@@ -56,15 +56,17 @@ def weighted_median(df: DataFrame, key: str, value: str, weight: str, name: str
 
 def general_mode(df: DataFrame, key: str, value: str, size: int) -> DataFrame:
     """Generalised mode: for each offset cut the sorted values in runs of ``size`` (the first and
-    last may be shorter), take the run of least width per value, average it; the median of
-    those averages. Fewer values than ``size``: the least value."""
+    last may be shorter, but hold two values), take the run of least width per value, average
+    it; the median of those averages. Fewer values than ``size``: the least value."""
+    if size < 2:
+        return df.groupBy(key).agg(F.min(value).alias("mode"))
     at = F.row_number().over(W.partitionBy(key).orderBy(value)) - 1
     n = F.count(F.lit(1)).over(W.partitionBy(key))
     rows = df.select(key, F.col(value).alias("v"), at.alias("rn"), n.alias("n"))
     short = rows.where(F.col("n") < size).groupBy(key).agg(F.min("v").alias("mode"))
     cut = rows.where(F.col("n") >= size).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("run", F.floor((F.col("rn") + F.col("o")) / size))
     runs = cut.groupBy(key, "o", "run").agg(F.avg("v").alias("a"), ((F.max("v") - F.min("v")) / F.count(F.lit(1))).alias("width"), F.count(F.lit(1)).alias("k"))
-    full = runs.where(F.col("k") == size)
+    full = runs.where(F.col("k") >= 2)
     best = full.groupBy(key, "o").agg(F.min_by("a", F.struct("width", "run")).alias("a"))
     return best.groupBy(key).agg(F.median("a").alias("mode")).union(short)
 

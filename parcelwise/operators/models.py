@@ -60,7 +60,7 @@ def gram(df: DataFrame, features: list[str], scale: list[float], target: str) ->
             total += z.T @ z
         yield pd.DataFrame({"k": range(d * d), "v": total.ravel()})
 
-    rows = df.select(*(F.col(f).cast("double") for f in features), F.col(target).cast("double")).na.drop()
+    rows = df.select(*(F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)), F.col(target).cast("double").alias("y")).na.drop()
     parts = rows.mapInPandas(partial, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
     out = np.zeros(d * d)
     for r in parts:

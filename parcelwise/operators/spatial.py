@@ -222,7 +222,7 @@ def hull(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
                 yield chain(pdf)
 
     first = points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).mapInPandas(local, "ord int, x double, y double")
-    return first.select("x", "y").groupBy(F.lit(0)).applyInPandas(chain, "ord int, x double, y double")
+    return first.select(F.lit(0).alias("g"), "x", "y").groupBy("g").applyInPandas(chain, "ord int, x double, y double")
 
 
 def ranked(near: DataFrame, key: str, other: str, n: int) -> DataFrame:
