@@ -90,5 +90,44 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+def _url_sql() -> str:
+    rules = sorted(URL_RULES, key=lambda r: (-len(r[1] + r[2]), r[0] != "block", r[1:]))
+    when = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN " for _, h, p in rules]
+    rule = " ".join(w + f"'{h}{p}'" for w, (_, h, p) in zip(when, rules, strict=True))
+    verdict = " ".join(w + f"'{v}'" for w, (v, _, _) in zip(when, rules, strict=True))
+    hosts = ", ".join(f"'{h}'" for h in LISTED_HOSTS)
+    return f"""WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), '{urls.UPPER}', '{urls.LOWER}'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM r),
+c AS (SELECT *, CASE WHEN regexp_replace(host, '^www\\.', '') <> '' THEN regexp_replace(host, '^www\\.', '') || regexp_replace(path, '/+$', '') END AS canonical FROM h),
+l AS (SELECT DISTINCT canonical FROM c WHERE regexp_replace(host, '^(www|blog|m)\\.', '') IN ({hosts}) AND canonical IS NOT NULL),
+j AS (SELECT c.*, l.canonical IS NOT NULL AS listed FROM c LEFT JOIN l ON c.canonical = l.canonical)
+SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed FROM j"""
+
+
+def _mixing_sql() -> str:
+    dims = mixing.DIMS
+    steps, last = [], "t"
+    for i in range(mixing.ROUNDS):
+        for d in dims:
+            name = f"r{i}_{d}"
+            steps.append(f"{name} AS MATERIALIZED (SELECT * REPLACE (weight * target_{d} / sum(weight) OVER (PARTITION BY {d}) AS weight) FROM {last})")
+            last = name
+    share = lambda d: f"(SELECT {d}, m / sum(m) OVER () AS target_{d} FROM (SELECT {d}, pow(sum(weight), {mixing.POWER[d]}) AS m FROM w GROUP BY {d}))"
+    joins = " ".join(f"JOIN {share(d)} USING ({d})" for d in dims)
+    return f"""WITH b AS (SELECT doc_id, text, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang,
+CASE WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '***') OR contains(text, '###') OR contains(text, '&&&') THEN 'symbols' WHEN contains(text, '@') THEN 'contact' ELSE 'prose' END AS topic,
+CAST(coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r]+')), 0) AS BIGINT) AS tokens FROM documents),
+w AS MATERIALIZED (SELECT *, CAST(tokens AS DOUBLE) / sum(tokens) OVER () AS weight FROM (SELECT source, lang, topic, CAST(sum(tokens) AS BIGINT) AS tokens FROM b GROUP BY ALL) WHERE tokens > 0),
+t AS MATERIALIZED (SELECT * FROM w {joins}), {", ".join(steps)},
+o AS (SELECT *, weight / tokens AS ratio FROM {last}),
+s AS (SELECT *, ({mixing.KEEP} * sum(tokens) OVER () - coalesce(sum(tokens) OVER (ORDER BY ratio DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+/ sum(weight) OVER (ORDER BY ratio DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS s, row_number() OVER (ORDER BY ratio DESC, source, lang, topic) AS nth FROM o),
+k AS (SELECT arg_min(s.s, nth) AS scale FROM s WHERE s.s * ratio <= 1),
+p AS (SELECT source, lang, topic, round(least(1.0, coalesce(scale * ratio, 1.0)), 6) AS p FROM s, k),
+f AS (SELECT b.*, CASE WHEN tokens = 0 THEN 1.0::DOUBLE ELSE coalesce(p, 1.0)::DOUBLE END AS prob FROM b LEFT JOIN p USING (source, lang, topic))
+SELECT doc_id, source, lang, topic, tokens, prob, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'text:' || coalesce(text, ''))), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496 < prob AS kept FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what SQL can express; the others rest on hashes, tokenizers, models or searches, and are tested by brute force."""
+    return {"op4_url_filters": _url_sql(), "op7_mixing": _mixing_sql()}
