@@ -58,14 +58,14 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(e.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
 
-def linked(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[Column, Column], Column] | None = None, refine: Callable[[DataFrame], DataFrame] | None = None, refined_fits: Callable[[Column, Column], Column] | None = None, rank: Callable[[Column], Column] = lambda info: F.lit(0)) -> DataFrame:
+def linked(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[Column, Column], Column] | None = None, refine: Callable[[DataFrame], DataFrame] | None = None, refined_fits: Callable[[Column, Column], Column] | None = None, rank: Callable[[Column], Column] = lambda info: F.lit(0), short: int = SHORT) -> DataFrame:
     """(node, comp) of the nodes that have links; comp is the least node reachable.
 
     lists: (key long, node long, info), distinct. verify: keeps those of the pairs (a, b),
     a < b, that are links. A pair is a candidate if it shares a key and ``fits`` holds for
     the infos of the two rows. refine: gives stricter lists, which lose no link, for the
     nodes (node) of long lists, with a rule of their own. rank: of an info; nodes of low
-    rank are pivots first.
+    rank are pivots first. short: lists up to this length give all their pairs.
     """
     yes = lambda x, y: F.lit(True)
     fits, refined_fits = fits or yes, refined_fits or fits or yes
@@ -81,12 +81,12 @@ def linked(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Cal
         return side("a").alias("l").join(side("b").alias("r"), on).select("a", "b")
 
     first = sized(lists)
-    pairs, long = both(first.where(F.col("n") <= SHORT), fits), first.where(F.col("n") > SHORT)
+    pairs, long = both(first.where(F.col("n") <= short), fits), first.where(F.col("n") > short)
     if long.limit(1).count() == 0:
         return components(saved(verify(pairs.distinct())))
     if refine is not None:
         long, fits = sized(refine(long.select("node").distinct())), refined_fits
-        pairs, long = pairs.union(both(long.where(F.col("n") <= SHORT), fits)), long.where(F.col("n") > SHORT)
+        pairs, long = pairs.union(both(long.where(F.col("n") <= short), fits)), long.where(F.col("n") > short)
     long = long.select("key", "node", "info")
     links = saved(verify(pairs.distinct()))
     found = components(links)
