@@ -28,8 +28,9 @@ END_ID = 1
 CACHED_WORDS = 400_000
 #: Rows of one rank bucket, about.
 BUCKET_ROWS = 20_000
-#: Fillings that the search tries in all before it keeps the best solution so far.
-NODES = 60_000
+#: Fillings that the search tries for each distinct length, and besides, before it keeps the
+#: best solution so far: enough for a whole descent, and for going back from its end.
+NODES_PER_LENGTH, NODES = 4, 1_000
 
 
 def default_tokenizer() -> str:
@@ -208,7 +209,7 @@ def fillings(room: int, lengths: list[int], counts: dict[int, int], most: int =
     return out or [()]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int | None = None) -> list[tuple[tuple[int, ...], int]]:
     """Runs (pattern, number of sequences) that hold the histogram's lengths exactly.
 
     Bin completion: the largest length in stock opens a sequence, its undominated
@@ -218,6 +219,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES
     ``nodes`` fillings with the incumbent.
     """
     counts = {k: v for k, v in histogram.items() if v}
+    nodes = NODES + NODES_PER_LENGTH * len(counts) if nodes is None else nodes
     if not counts:
         return []
     total = sum(k * v for k, v in counts.items())
