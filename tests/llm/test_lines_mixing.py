@@ -52,6 +52,27 @@ def test_equal_and_fuzzy_lines(spark):
         assert distance(a, b) <= (1 - lines.SIMILARITY) * max(len(a), len(b)) * 2
 
 
+def test_recall_against_all_pairs(spark):
+    """Lines of 4 to 40 words with a typo, an edited longest word, another word or several typos."""
+    draw = random.Random(3)
+    syllables = ["ra", "lo", "mi", "sen", "tor", "ba", "ku", "del", "fin", "gor", "ment", "tion", "er", "an"]
+    texts = []
+    for n in (4, 6, 8, 12, 20, 40):
+        for how in ("typo", "anchor", "word", "typos"):
+            for _ in range(4):
+                w = ["".join(draw.choices(syllables, k=draw.randint(1, 4))) for _ in range(n)]
+                texts.append(" ".join(w))
+                picked = [max(range(n), key=lambda k: len(w[k]))] if how == "anchor" else draw.sample(range(n), max(1, n // 8) if how == "typos" else 1)
+                for k in picked:
+                    at = draw.randrange(len(w[k]))
+                    w[k] = "z" * min(len(w[k]), 3) if how == "word" else w[k][:at] + "z" + w[k][at + 1 :]
+                texts.append(" ".join(w))
+    want = {j for j in range(len(texts)) for i in range(j) if abs(len(texts[i]) - len(texts[j])) <= 0.15 * max(len(texts[i]), len(texts[j])) and distance(texts[i], texts[j]) <= int(max(len(texts[i]), len(texts[j])) * (1 - lines.SIMILARITY))}
+    got = {r["id"] for r in lines.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got <= want, "only lines similar to an earlier one go"
+    assert len(want) > 80 and len(got) >= 0.98 * len(want), (len(got), len(want))
+
+
 def test_line_edges(spark):
     assert lines.deduped(spark.createDataFrame([], SCHEMA)).count() == 0
     long = "ab cd " * 40_000
