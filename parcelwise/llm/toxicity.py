@@ -36,18 +36,30 @@ TOXIC_WEIGHT = 2.0
 LEAST_SHARE = 0.006
 GRAMS = (3, 4, 5, 6)
 CACHED_WORDS = 400_000
-#: Longer words give the n-grams of their first and last so many characters.
-LONG_WORD = 64
+#: The n-grams of a long word are taken in slices of so many characters, which join up.
+WORD_SLICE = 4_096
 _STRIP = ".,;:!?\"'()[]{}<>|*#$%&-_"
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of a word and its character n-grams; boundaries count as characters."""
+def pieces(word: str):
+    """Buckets of a word and all its character n-grams, in lists of bounded size; boundaries count as characters."""
     w = word.strip(_STRIP) or word
     b = f"<{w}>"
-    whole = [zlib.crc32(b.encode()) % BUCKETS]
-    parts = [b] if len(b) <= 2 * LONG_WORD else [b[:LONG_WORD], b[-LONG_WORD:]]
-    return whole + [zlib.crc32(p[i : i + n].encode()) % BUCKETS for p in parts for n in GRAMS if n < len(b) for i in range(len(p) - n + 1)]
+    yield [zlib.crc32(b.encode()) % BUCKETS]
+    for at in range(0, len(b), WORD_SLICE):
+        yield [zlib.crc32(b[i : i + n].encode()) % BUCKETS for n in GRAMS if n < len(b) for i in range(at, min(at + WORD_SLICE, len(b) - n + 1))]
+
+
+def subwords(word: str) -> list[int]:
+    return [x for piece in pieces(word) for x in piece]
+
+
+def word_value(word: str, value: np.ndarray) -> float:
+    """Mean of the numbers of a word's buckets."""
+    total = n = 0
+    for piece in pieces(word):
+        total, n = total + float(value[piece].sum(dtype=np.float64)) if piece else total, n + len(piece)
+    return total / n
 
 
 def words(text: str) -> list[str]:
@@ -145,7 +157,7 @@ def _scores(texts, value: np.ndarray, bias: float, tag: int) -> np.ndarray:
                 known.clear()
             for w in own:
                 if w not in known:
-                    known[w] = float(value[subwords(w)].mean())
+                    known[w] = word_value(w, value)
             total = sum(map(known.__getitem__, own))
         z.append(bias + total / max(1, len(own)))
     return 1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -500, 500)))

@@ -35,6 +35,18 @@ def test_learns_and_generalises(spark):
     assert kept.columns == docs.columns and kept.count() == sum(x["score"] < 0.5 for x in got.values())
 
 
+def test_middle_of_long_runs_counts():
+    """A run without spaces is scored whole, also where slices meet."""
+    run = "abcd" * 3_000
+    for at in (100, 4_094, 6_000, 8_190):
+        text = run[:at] + "xyzw" + run[at:]
+        value = np.zeros(toxicity.BUCKETS, np.float32)
+        value[toxicity.subwords("xyzw")[1:]] = 1.0
+        z = toxicity._scores([run, text], value * 1000, 0.0, at)
+        assert z[1] > z[0]
+    assert len(toxicity.subwords(run)) == 1 + sum(len(run) + 2 - n + 1 for n in toxicity.GRAMS)
+
+
 def test_fit_without_classes(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     labels = spark.createDataFrame([(1, None), (None, 1), (2, 7)], "doc_id long, toxic int")
