@@ -41,7 +41,7 @@ def held_out(key) -> F.Column:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
-    model = toxicity.fit(toxicity.training_rows(docs, labels))
+    model = toxicity.fit(docs, labels)
     return toxicity.scored(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
