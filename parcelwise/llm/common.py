@@ -42,13 +42,18 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows; else as it is.
+def small(df: DataFrame, most: int, longs: Column | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``most`` rows; else as it is.
 
     The caller states how many rows of its width are safe to broadcast, and gets a
-    shuffled join beyond that.
+    shuffled join beyond that. longs: size of a row, where rows differ; ``most`` then
+    bounds the sum.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    if longs is None:
+        fits = df.limit(most + 1).count() <= most
+    else:
+        fits = (df.agg(F.sum(longs)).first()[0] or 0) <= most
+    return F.broadcast(df) if fits else df
 
 
 def text_or_empty(column: str | Column = "text") -> Column:
