@@ -312,11 +312,11 @@ def polygon_measures(spark, d):
     return p.select("s_suppkey", r(area).alias("area"), r(length).alias("perimeter"), r(geo.wagner(length, area), 6).alias("wagner"), (~geo.clockwise(outer)).alias("outer_ccw"), geo.clockwise(hole).alias("hole_cw"), box["xmin"].alias("xmin"), box["ymax"].alias("ymax"))
 
 
-@query("""WITH c AS (SELECT c_custkey, c_custkey * 37 % 1000 + 0.25 AS x, c_custkey * 91 % 1000 + 0.5 AS y FROM customer), s AS (SELECT s_suppkey, s_suppkey * 37 % 1000 AS px, s_suppkey * 91 % 1000 AS py FROM supplier)
+@query("""WITH c AS (SELECT c_custkey, c_custkey * 53 % 1000 + 0.25 AS x, c_custkey * 29 % 1000 + 0.5 AS y FROM customer), s AS (SELECT s_suppkey, s_suppkey * 37 % 1000 AS px, s_suppkey * 91 % 1000 AS py FROM supplier)
 SELECT c_custkey, s_suppkey FROM c, s WHERE abs(x - px) + abs(y - py) < 30 AND abs(x - px) + abs(y - py) > 10""")
 def points_in_polygons(spark, d):
-    x, y = xy("c_custkey")
-    points = t(spark, d, "customer").select("c_custkey", (x + 0.25).alias("x"), (y + 0.5).alias("y"))
+    key = F.col("c_custkey")
+    points = t(spark, d, "customer").select(key, (key * 53 % 1000 + 0.25).alias("x"), (key * 29 % 1000 + 0.5).alias("y"))
     return spatial.points_in_polygons(points, _diamonds(spark, d).select("s_suppkey", "rings"), "c_custkey", "s_suppkey", 30.0)
 
 

@@ -76,23 +76,41 @@ def fit_ols(df: DataFrame, features: list[str], target: str) -> Model:
     return Model(keep, scale, x[1:].tolist(), float(x[0]), "ols", out)
 
 
-def fit_ard(df: DataFrame, features: list[str], target: str, rounds: int = 100, prior: float = 1e-10) -> Model:
-    """Sparse Bayesian weights; all rounds run on the Gram matrix, so the rows are read once."""
+#: A weight whose precision passes this share of its column's information has been ruled out.
+RULED_OUT = 1e8
+
+
+def fit_ard(df: DataFrame, features: list[str], target: str, rounds: int = 100, settled: float = 1e-4) -> Model:
+    """Sparse Bayesian weights by evidence maximisation on the Gram matrix; the rows are read once.
+
+    MacKay's fixed point: a weight's precision becomes the share of it that the data determine,
+    over its square; the noise's becomes the free rows over the squared residual. Weights whose
+    precision runs away are ruled out and stay 0. It ends when no precision moves by more than
+    ``settled`` of itself. The intercept is a weight like others.
+    """
     keep, scale, out = usable(df, features)
     g = gram(df, keep, scale, target)
-    n, unit = g[0, 0], 1.0
-    a, b, yy = g[:-1, :-1], g[:-1, -1], g[-1, -1]
-    x = np.linalg.lstsq(a, b, rcond=None)[0]
-    rest = max(yy - 2 * x @ b + x @ a @ x, 1e-12)
-    noise, cov = n / rest, np.diag(0.1 * np.abs(x) + 0.01 * x.mean())
-    for _ in range(rounds):
-        v = x**2 + np.diag(cov)
-        omega = np.diag((prior + 0.5) / (prior + 0.5 * np.maximum(v, 1e-300)))
-        cov = np.linalg.pinv(noise * a + omega)
-        x = noise * cov @ b
-        rest = max(yy - 2 * x @ b + x @ a @ x, 1e-12)
-        noise = n / (rest + np.trace(cov @ a))
-    return Model(keep, scale, (x[1:] * unit).tolist(), float(x[0]), "ard", out)
+    n, a, b, yy = g[0, 0], g[:-1, :-1], g[:-1, -1], g[-1, -1]
+    weight = np.zeros(len(b))
+    if n and yy > 0:
+        information = np.maximum(np.diag(a), 1e-300)
+        noise, precision, live = 10 * n / yy, np.full(len(b), n / yy), np.ones(len(b), bool)
+        for _ in range(rounds):
+            at = np.ix_(live, live)
+            spread = np.linalg.inv(noise * a[at] + np.diag(precision[live]))
+            mean = noise * spread @ b[live]
+            determined = np.clip(1 - precision[live] * np.diag(spread), 1e-12, 1)
+            left = max(yy - 2 * mean @ b[live] + mean @ a[at] @ mean, 1e-12 * yy)
+            fresh, before = determined / np.maximum(mean**2, 1e-300), precision[live]
+            weight = np.zeros(len(b))
+            weight[live] = mean
+            noise = max(n - determined.sum(), 1e-6 * n) / left
+            precision[live] = fresh
+            live = live & (precision < RULED_OUT * noise * information)
+            if not live.any() or np.all(np.abs(fresh - before) <= settled * before):
+                break
+        weight = np.where(live, weight, 0.0)
+    return Model(keep, scale, weight[1:].tolist(), float(weight[0]), "ard", out)
 
 
 def principal(df: DataFrame, features: list[str], explained: float | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -120,32 +138,89 @@ def apply_linear(df: DataFrame, model: Model, name: str = "score") -> DataFrame:
     return df.withColumn(name, out)
 
 
-#: Training rows that general regression may hold (they go to every task); beyond that it raises.
-MOST_TRAINING_ROWS = 200_000
+#: Rows of a block of training or query rows: so many times the features, in doubles, are in one row of a table.
+BLOCK_ROWS = 1_000
+
+
+def _packed(df: DataFrame, features: list[str], scale: list[float], extra: str, kind: str) -> DataFrame:
+    """(x, own): blocks of at most BLOCK_ROWS rows; x holds the scaled features row by row, own the extra column."""
+
+    def run(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), BLOCK_ROWS):
+                part = pdf.iloc[at : at + BLOCK_ROWS]
+                yield pd.DataFrame({"x": [(part[features].to_numpy(float) / np.array(scale)).ravel()], "own": [part[extra].tolist()]})
+
+    return df.select(*(F.col(f).cast("double").alias(f) for f in features), extra).mapInPandas(run, f"x array<double>, own array<{kind}>")
+
+
+def _weighed(batches, width: int, sigma: float):
+    """(own, w, wy) of query blocks against training blocks (x, own) and (tx, ty)."""
+    for pdf in batches:
+        for x, own, tx, ty in zip(pdf["x"], pdf["own"], pdf["tx"], pdf["ty"], strict=True):
+            q, t, y = np.reshape(x, (-1, width)), np.reshape(tx, (-1, width)), np.asarray(ty, float)
+            w, wy = np.empty(len(q)), np.empty(len(q))
+            for at in range(0, len(q), 128):
+                d = np.abs(q[at : at + 128, None, :] - t[None]).sum(-1)
+                e = np.exp(-d / sigma)
+                w[at : at + 128], wy[at : at + 128] = e.sum(1), e @ y
+            yield pd.DataFrame({"own": list(own), "w": w, "wy": wy})
 
 
 def apply_general(df: DataFrame, training: DataFrame, features: list[str], target: str, sigma: float, key: str, name: str = "score") -> DataFrame:
     """(key, score): kernel mean of the training targets, weights exp(-L1 / sigma), features over their maxima.
 
-    The training set is a bounded table by its nature; its size is checked before it is sent.
+    Query rows meet all training rows, both in blocks, and the sums of a key's blocks are added
+    up, so neither side passes through the driver or one task. Null if all weights are 0.
+    Training rows with nulls take no part; repeated keys are one row's worth each.
     """
-    if training.limit(MOST_TRAINING_ROWS + 1).count() > MOST_TRAINING_ROWS:
-        raise ValueError("too many training rows; take a sample of them")
     keep, scale, _ = usable(training, features)
-    t = training.select(*keep, target).toPandas().to_numpy(float)
-    scales = np.array(scale)
-    x, y = t[:, :-1] / scales, t[:, -1]
     kind = df.schema[key].dataType.simpleString()
+    known = _packed(training.select(*keep, F.col(target).cast("double").alias(target)).na.drop(), keep, scale, target, "double").toDF("tx", "ty")
+    asked = _packed(df.dropDuplicates([key]), keep, scale, key, kind)
+    sums = asked.crossJoin(known).mapInPandas(lambda b: _weighed(b, len(keep), sigma), f"own {kind}, w double, wy double")
+    return sums.groupBy(F.col("own").alias(key)).agg(F.try_divide(F.sum("wy"), F.sum("w")).alias(name))
+
 
-    def score(batches):
+def bandwidth_error(training: DataFrame, features: list[str], target: str, sigmas: list[float], most: int = 1_000) -> dict[float, float]:
+    """Mean squared error of general regression by sigma, each example predicted without itself.
+
+    Examples are every n-th training row by a hash of the row, ``most`` or about so many
+    (a documented sample: it only picks the bandwidth); each meets all training rows.
+    """
+    keep, scale, _ = usable(training, features)
+    rows = training.select(*keep, F.col(target).cast("double").alias(target)).na.drop()
+    n = rows.count()
+    if not n:
+        return dict.fromkeys(sigmas, float("nan"))
+    step = max(n // most, 1)
+    examples = rows.where(F.pmod(F.xxhash64(*keep, target), F.lit(step)) == 0).withColumn("__ex", F.monotonically_increasing_id())
+    known = _packed(rows, keep, scale, target, "double").toDF("tx", "ty")
+    width = len(keep)
+
+    def run(batches):
         for pdf in batches:
-            q = pdf[keep].to_numpy(float) / scales
-            out = np.empty(len(q))
-            for at in range(0, len(q), 256):
-                d = np.abs(q[at : at + 256, None, :] - x[None]).sum(-1)
-                w = np.exp(-d / sigma)
-                s = w.sum(1)
-                out[at : at + 256] = np.where(s > 0, (w @ y) / np.where(s > 0, s, 1), np.nan)
-            yield pd.DataFrame({key: pdf[key], name: out})
-
-    return df.select(key, *keep).mapInPandas(score, f"{key} {kind}, {name} double")
+            for x, own, tx, ty in zip(pdf["x"], pdf["own"], pdf["tx"], pdf["ty"], strict=True):
+                q, t, y = np.reshape(x, (-1, width + 1)), np.reshape(tx, (-1, width)), np.asarray(ty, float)
+                d = np.concatenate([np.abs(q[at : at + 128, None, :-1] - t[None]).sum(-1) for at in range(0, len(q), 128)])
+                for s in sigmas:
+                    e = np.exp(-d / s)
+                    yield pd.DataFrame({"sigma": s, "ex": list(own), "own": q[:, -1], "w": e.sum(1), "wy": e @ y})
+
+    asked = _packed(examples, [*keep, target], [*scale, 1.0], "__ex", "long")
+    sums = asked.crossJoin(known).mapInPandas(run, "sigma double, ex long, own double, w double, wy double")
+    per = sums.groupBy("sigma", "ex", "own").agg(F.sum("w").alias("w"), F.sum("wy").alias("wy"))
+    # The example itself has weight 1 in each sum.
+    guess = F.try_divide(F.col("wy") - F.col("own"), F.col("w") - 1)
+    return {r["sigma"]: r["e"] for r in per.groupBy("sigma").agg(F.avg(F.pow(F.coalesce(guess, F.lit(0.0)) - F.col("own"), 2)).alias("e")).collect()}
+
+
+def bandwidth(training: DataFrame, features: list[str], target: str, low: float = 0.01, high: float = 1.0, rounds: int = 4, points: int = 8) -> float:
+    """The sigma of least error: a grid of ``points`` from low to high in one pass, then finer around the best, ``rounds`` times."""
+    best = low
+    for _ in range(rounds):
+        grid = np.exp(np.linspace(np.log(low), np.log(high), points)).tolist()
+        error = bandwidth_error(training, features, target, grid)
+        at = min(range(points), key=lambda i: (error.get(grid[i], np.inf), i))
+        best, low, high = grid[at], grid[max(0, at - 1)], grid[min(points - 1, at + 1)]
+    return best

@@ -61,16 +61,21 @@ def edges_of(polygons: DataFrame, key: str, rings: str = "rings") -> DataFrame:
 def points_in_polygons(points: DataFrame, polygons: DataFrame, key: str, other: str, side: float, x: str = "x", y: str = "y", rings: str = "rings") -> DataFrame:
     """(key, other) of points inside polygons: edges crossed to the right, an odd number.
 
-    Points meet edges by the band of y that both lie in, so a large polygon isn't copied
-    whole to many bins; holes toggle by themselves.
+    Points meet polygons by the square cells that a polygon's box covers, then only the edges of
+    that polygon in the point's band of y. Rings aren't copied to cells, and holes toggle by
+    themselves. Null or empty rings hold nothing; rows with the same keys must be equal.
     """
-    band = F.explode(F.sequence(F.floor(F.least("y1", "y2") / side), F.floor(F.greatest("y1", "y2") / side)))
-    edges = edges_of(polygons, other, rings).where("y1 != y2").withColumn("band", band)
-    boxes = polygons.select(F.col(other).alias("__o"), F.flatten(rings).alias("pts")).select("__o", F.array_min(F.transform("pts", lambda p: p["x"])).alias("lo"), F.array_max(F.transform("pts", lambda p: p["x"])).alias("hi"))
-    edges = edges.join(boxes, F.col(other) == F.col("__o")).drop("__o")
-    hit = crosses(F.col(x), F.col(y), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    pairs = points.select(key, x, y, F.floor(F.col(y) / side).alias("band")).join(edges, "band").where((F.col(x) >= F.col("lo")) & (F.col(x) <= F.col("hi")) & hit)
-    return pairs.groupBy(key, other).agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").select(key, other)
+    lo, hi = (lambda c, f: f(F.transform("pts", lambda p: p[c]))), lambda v: F.floor(v / side)
+    boxes = polygons.select(F.col(other).alias("o"), F.flatten(rings).alias("pts")).where(F.size("pts") > 0)
+    boxes = boxes.select("o", lo("x", F.array_min).alias("x1"), lo("x", F.array_max).alias("x2"), lo("y", F.array_min).alias("y1"), lo("y", F.array_max).alias("y2"))
+    cells = boxes.withColumn("bx", F.explode(F.sequence(hi(F.col("x1")), hi(F.col("x2"))))).withColumn("by", F.explode(F.sequence(hi(F.col("y1")), hi(F.col("y2")))))
+    spots = points.select(F.col(key).alias("k"), F.col(x).alias("px"), F.col(y).alias("py")).withColumns({"bx": bin_of(F.col("px"), side), "by": bin_of(F.col("py"), side)})
+    near = spots.join(cells, ["bx", "by"]).where(F.col("px").between(F.col("x1"), F.col("x2")) & F.col("py").between(F.col("y1"), F.col("y2"))).select("k", "px", "py", "o", "by")
+    edges = edges_of(polygons, other, rings).where("y1 != y2").withColumnRenamed(other, "o")
+    edges = edges.withColumn("by", F.explode(F.sequence(F.floor(F.least("y1", "y2") / side), F.floor(F.greatest("y1", "y2") / side))))
+    hits = near.join(edges, ["o", "by"]).where(crosses(F.col("px"), F.col("py"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
+    inside = hits.groupBy("k", "o").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1")
+    return inside.select(F.col("k").alias(key), F.col("o").alias(other))
 
 
 def touching(left: DataFrame, right: DataFrame, pairs: DataFrame, key: str, anti: bool = False) -> DataFrame:
