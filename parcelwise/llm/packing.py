@@ -13,6 +13,7 @@ import types
 import unicodedata
 import zlib
 from bisect import bisect_right
+from struct import pack as packed_ints
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ from .common import saved
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a Python worker keeps (it starts anew beyond that): about 100 MB.
-CACHED_WORDS = 400_000
+#: Words whose ids a Python worker keeps (it starts anew beyond that): about 150 MB.
+CACHED_WORDS = 600_000
 #: Rows of one rank bucket, about.
 BUCKET_ROWS = 20_000
 #: Fillings that the search tries for each distinct length, and besides, before it keeps the
@@ -86,7 +87,11 @@ class WordIds:
                 known.clear()
             for w in words:
                 if w not in known:
-                    known[w] = np.array([i for p in self.parts(w) for i in self.piece(p)], "<u4").tobytes()
+                    if w.isascii() and w.isalpha():  # one part, and its bytes stand for themselves
+                        ids = [t.id for t in self.model.tokenize(w)]
+                    else:
+                        ids = [i for p in self.parts(w) for i in self.piece(p)]
+                    known[w] = packed_ints(f"<{len(ids)}I", *ids)
             return b"".join(map(known.__getitem__, words))
 
 
