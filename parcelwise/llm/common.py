@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,18 +31,45 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_scopes: list[list[DataFrame]] = []
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it again, which cuts its lineage.
 
-    The table goes when the application ends.
+    The table goes when the application ends, or by ``free``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_path = path
+    if _scopes:
+        _scopes[-1].append(out)
+    return out
+
+
+@contextmanager
+def scope() -> Iterator[list[DataFrame]]:
+    """The tables that are saved inside, for a later ``free``."""
+    made: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.pop()
+
+
+def free(spark: SparkSession, tables: list[DataFrame]) -> None:
+    """Delete saved tables that nothing will read again, and let Spark drop the shuffle files of plans that are gone."""
+    for table_ in tables:
+        at = spark._jvm.org.apache.hadoop.fs.Path(table_._saved_path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    tables.clear()
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def small(df: DataFrame, most: int, longs: Column | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import free, saved
 
 #: Lists up to this length are expanded to pairs at once (at most SHORT / 2 pairs a row).
 SHORT = 12
@@ -50,7 +50,8 @@ def components(edges: DataFrame) -> DataFrame:
     e = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
     before = None
     while True:
-        e = saved(star(star(e, True), False))
+        old, e = e, saved(star(star(e, True), False))
+        free(edges.sparkSession, [old])
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:
             break
