@@ -37,18 +37,38 @@ def prepare_training(segments: DataFrame, values: DataFrame, key: str, value: st
     return out.withColumn("target", F.col("target") / F.col(area) * 1e6) if absolute else out
 
 
-def prepare_training_dual(segments: DataFrame, polygons: DataFrame, points: DataFrame, key: str, value: str) -> DataFrame:
-    """Values (key, value) of polygons and points: where both reach a segment the polygon's counts."""
+def prepare_training_dual(segments: DataFrame, polygons: DataFrame, points: DataFrame, key: str, value: str, area: str | None = None, polygon: str | None = None, hit: DataFrame | None = None) -> DataFrame:
+    """Segments with a target from polygons and points, each given as (key, value) by segment.
+
+    First polygons that training points lie in go (``hit``: their ids, in the column ``polygon``);
+    then point values go where a polygon's reach the segment; with ``area`` the target is per km2.
+    Segments without a value have no row.
+    """
+    if hit is not None:
+        polygons = polygons.join(hit.select(polygon).distinct(), polygon, "left_anti")
     a = polygons.groupBy(key).agg(F.sum(value).alias("target"))
     b = points.join(a.select(key), key, "left_anti").groupBy(key).agg(F.sum(value).alias("target"))
-    return segments.join(a.unionByName(b), key)
+    out = segments.join(a.unionByName(b), key)
+    return out if area is None else out.withColumn("target", F.try_divide("target", area) * 1e6)
 
 
 def train(segments: DataFrame, target: str = "target", kind: str = "ols", prefix: str = "FF") -> models.Model:
+    """A linear model (ols or ard) of all features with the prefix."""
     fit = {"ols": models.fit_ols, "ard": models.fit_ard}[kind]
     return fit(segments, models.feature_columns(segments, prefix), target)
 
 
+def train_kernel(segments: DataFrame, target: str = "target", prefix: str = "FF") -> tuple[list[str], float]:
+    """(features, sigma) of a general regression: all usable features and the bandwidth of least error."""
+    features = models.feature_columns(segments, prefix)
+    return features, models.bandwidth(segments, features, target)
+
+
+def apply_kernel(segments: DataFrame, training: DataFrame, model: tuple[list[str], float], key: str, target: str = "target", name: str = "weight") -> DataFrame:
+    """(key, name): scores of segments against all training segments."""
+    return models.apply_general(segments, training, model[0], target, model[1], key, name)
+
+
 def apply_model(segments: DataFrame, model: models.Model, pieces: DataFrame, key: str, area_id: str, main: str, absolute: bool) -> DataFrame:
     """Scores segments and shares each area's main value over its pieces (key, area_id, piece_area, main)."""
     weights = models.apply_linear(segments, model, "weight").select(key, "weight")

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from parcelwise.jobs import layer_queries  # noqa: F401
 from parcelwise.jobs.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
