@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the session names; a temporary one only where none is set."""
+    """A checkpoint in the folder that the session names; a temporary one only where none is set.
+
+    The table goes when the application ends.
+    """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -19,6 +22,8 @@ def kept(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -97,3 +97,21 @@ def test_sparse_regression_rules_out_noise(spark):
     m = models.fit_ard(df, ["FFa", "FFb", "FFc"], "y")
     assert m.coef[0] / m.scale[0] == pytest.approx(3.0, abs=0.02) and m.intercept == pytest.approx(1.0, abs=0.1)
     assert abs(m.coef[1]) < 0.05 and abs(m.coef[2]) < 0.05
+
+
+def test_order_statistics_against_numpy(spark):
+    import random
+
+    import numpy as np
+
+    from parcelwise.operators import allocate
+
+    draw = random.Random(4)
+    data = {"a": [draw.gauss(0, 1e6) for _ in range(3_000)], "b": [1.5] * 500 + [draw.random() for _ in range(400)], "c": [7.0], "d": [1e-12 * k for k in range(50)] + [1e12]}
+    df = spark.createDataFrame([(g, v) for g, vs in data.items() for v in vs] + [("a", None)], "g string, v double")
+    wanted = (0.5, 0.025, 0.1, 0.975)
+    got = allocate.order_statistics(df, "g", "v", wanted, parts=8, gathered=5)
+    for g, vs in data.items():
+        for q in wanted:
+            assert got[g][q] == pytest.approx(np.quantile(vs, q), rel=1e-12, abs=1e-18)
+    assert allocate.order_statistics(df.limit(0), "g", "v", wanted) == {}
