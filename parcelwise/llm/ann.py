@@ -107,12 +107,15 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, v) without null ids, and without vectors that are null, empty, zero, or hold
-    null or non-finite components, or whose squares overflow; of other lengths than most, too."""
+    """(vec_id, v, dim) without null ids, and without vectors that are null, empty, zero, or hold
+    null or non-finite components; of other lengths than most, too. Vectors whose squares would
+    overflow or vanish are brought to a largest component of 1, which leaves their cosines."""
     v = F.col(vector_col).cast("array<double>")
     square = F.aggregate(v, F.lit(0.0), lambda a, b: a + b * b)
-    good = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), square.alias("s")).where("vec_id is not null and s > 0 and s < double('Infinity')")
-    return good.select("vec_id", "v", F.size("v").alias("dim"))
+    most = F.array_max(F.transform(v, F.abs))
+    good = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), square.alias("s"), most.alias("most")).where("vec_id is not null and s is not null and most > 0 and most < double('Infinity')")
+    fair = F.when(F.col("s").between(1e-200, 1e200), F.col("v")).otherwise(F.transform("v", lambda x: x / F.col("most")))
+    return good.select("vec_id", fair.alias("v"), F.size("v").alias("dim"))
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, sample_rows: int = SAMPLE_ROWS, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = RERANK) -> DataFrame:

@@ -169,3 +169,11 @@ def test_ties_and_bad_vectors(spark):
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
     few = df.where("vec_id in (0, 100)")
     assert sorted((r["query_id"], r["vec_id"]) for r in ann.search(few, few).collect()) == [(0, 100), (100, 0)]
+
+
+def test_huge_and_tiny_vectors_take_part(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1e200, 2e200]), (2, [1e-200, 2e-200]), (3, [2e300, 1e300]), (4, [0.0, 0.0]), (5, [1e-320, 2e-320]), (5, [1e-320, 2e-320])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in ann.search(df, df.where("vec_id = 0")).orderBy("rank").collect()]
+    assert [i for i, _ in got][:2] == [1, 2] and {i for i, _ in got} == {1, 2, 3, 5}
+    assert all(abs(s - 1) < 1e-3 for i, s in got if i != 3) and abs(dict(got)[3] - 0.8) < 1e-9
