@@ -87,20 +87,24 @@ def test_line_edges(spark):
 
 
 def test_blocks_against_plain_python(spark):
-    """Blocks of a line of 10 distinct words: each pair of lots, by the majority of its words' bits."""
+    """Blocks of a line of 10 distinct words, by the majority of their words' bits: all words, all but each one, and each pair of lots."""
     text = "quick brown fox jumps over lazy dog while rain falls"
     table = spark.createDataFrame([(1, text)], "h long, body string")
     got = {r["key"] for r in lines.blocks(table).collect()}
     hashed = spark.createDataFrame([(w,) for w in text.split()], "w string").select("w", F.xxhash64("w").alias("x"), F.pmod(F.hash("w"), F.lit(lines.PAIRED)).alias("lot")).collect()
-    want = []
+
+    def bits(own):
+        x = sum(1 << b for b in range(64) if b % 16 < 8 and 2 * sum(r["x"] >> b & 1 for r in own) > len(own))
+        return x - (1 << 64 if x >> 63 else 0)
+
+    want = [(-1, bits(hashed)), *((-1, bits([r for r in hashed if r != out])) for out in hashed)]
     for g in range(lines.PAIRED):
         for o in range(g):
             own = [r for r in hashed if r["lot"] in (g, o)]
             if len(own) >= lines.BLOCK_WORDS and sum(len(r["w"]) for r in own) >= lines.BLOCK_CHARS:
-                bits = sum(1 << b for b in range(64) if b % 16 < 8 and 2 * sum(r["x"] >> b & 1 for r in own) > len(own))
-                want.append((103 * 64 + 8 * o + g, bits - (1 << 64 if bits >> 63 else 0)))
+                want.append((103 * 64 + 8 * o + g, bits(own)))
     keys = spark.createDataFrame(want, "kind int, bits long").select(F.xxhash64("kind", "bits")).collect()
-    assert len(want) > 3 and got == {r[0] for r in keys}
+    assert len(want) > 14 and got == {r[0] for r in keys}
 
 
 def test_given_lines_against_all_pairs(spark):
