@@ -366,11 +366,12 @@ def identity_overlay(spark, d):
     return out.select("a_id", "b_id", r("piece_area").alias("piece_area"))
 
 
-@query("""WITH e AS (SELECT n_nationkey AS k, n_nationkey * 3.0 AS xmin, n_nationkey * 2.0 AS ymin, n_nationkey * 4.0 + 1 AS xmax, n_nationkey * 2.5 + 1 AS ymax FROM nation), n AS (SELECT *, CAST(greatest(ceil((xmax - xmin) / 2.0), 1) AS BIGINT) AS nx, CAST(greatest(ceil((ymax - ymin) / 2.0), 1) AS BIGINT) AS ny FROM e)
-SELECT i, j, round(xmin + i * (xmax - xmin) / nx, 4) AS x0, round(ymin + (j + 1) * (ymax - ymin) / ny, 4) AS y1 FROM n, LATERAL (SELECT unnest(generate_series(0, nx - 1)) AS i), LATERAL (SELECT unnest(generate_series(0, ny - 1)) AS j)""")
+@query("""WITH e AS (SELECT c_custkey, c_custkey * 37 % 1000 AS xmin, c_custkey * 91 % 1000 AS ymin, c_custkey * 37 % 1000 + c_custkey % 9 + 1.5 AS xmax, c_custkey * 91 % 1000 + c_custkey % 7 + 1.5 AS ymax FROM customer), n AS (SELECT *, CAST(greatest(ceil((xmax - xmin) / 2.0), 1) AS BIGINT) AS nx, CAST(greatest(ceil((ymax - ymin) / 2.0), 1) AS BIGINT) AS ny FROM e)
+SELECT i, j, round((xmin + i * (xmax - xmin) / nx)::DOUBLE, 4) AS x0, round((ymin + (j + 1) * (ymax - ymin) / ny)::DOUBLE, 4) AS y1 FROM n, LATERAL (SELECT unnest(generate_series(0, nx - 1)) AS i), LATERAL (SELECT unnest(generate_series(0, ny - 1)) AS j)""")
 def tile_cover(spark, d):
-    n = F.col("n_nationkey")
-    e = t(spark, d, "nation").select((n * 3.0).alias("xmin"), (n * 2.0).alias("ymin"), (n * 4.0 + 1).alias("xmax"), (n * 2.5 + 1).alias("ymax"))
+    x, y = xy("c_custkey")
+    k = F.col("c_custkey")
+    e = t(spark, d, "customer").select(x.alias("xmin"), y.alias("ymin"), (x + k % 9 + 1.5).alias("xmax"), (y + k % 7 + 1.5).alias("ymax"))
     return spatial.tiles(e, 2.0).select("i", "j", r("x0").alias("x0"), r("y1").alias("y1"))
 
 
@@ -447,27 +448,27 @@ def edge_times(spark, d):
     return network.timed(e, SPEEDS).select("c_custkey", "speed", r("time", 6).alias("time"))
 
 
-_GRAPH = """e AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM customer JOIN supplier ON c_custkey % 40 = s_suppkey % 40 WHERE (c_nationkey + s_nationkey) % 3 = 0 AND c_nationkey <> s_nationkey), g AS (SELECT src, dst, CAST(1 + (src * 7 + dst * 11) % 13 AS DOUBLE) AS cost FROM e)"""
+# Vertices are customers and suppliers, joined by what they trade; each nation's first supplier is a target.
+_PATHS = """e AS (SELECT o_custkey AS a, 1000000000 + l_suppkey AS b, 1 + min(l_quantity) AS cost FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2), g AS (SELECT a AS src, b AS dst, cost FROM e UNION ALL SELECT b, a, cost FROM e),
+p(target, v, cost) USING KEY (target, v) AS (SELECT 1000000000 + min(s_suppkey), 1000000000 + min(s_suppkey), 0.0::DOUBLE FROM supplier GROUP BY s_nationkey UNION
+SELECT p.target, g.src, min(p.cost + g.cost) AS cost FROM p JOIN g ON g.dst = p.v LEFT JOIN recurring.p AS o ON o.target = p.target AND o.v = g.src WHERE o.cost IS NULL OR p.cost + g.cost < o.cost GROUP BY 1, 2)"""
 
 
 def _graph(spark, d):
-    c = t(spark, d, "customer").select((F.col("c_custkey") % 40).alias("k"), F.col("c_nationkey").alias("src"))
-    s = t(spark, d, "supplier").select((F.col("s_suppkey") % 40).alias("k"), F.col("s_nationkey").alias("dst"))
-    pairs = c.distinct().join(s.distinct(), "k").where("(src + dst) % 3 = 0 and src != dst").select("src", "dst").distinct()
-    return network.directed(pairs.withColumn("cost", (1 + (F.col("src") * 7 + F.col("dst") * 11) % 13).cast("double")), F.lit(True))
-
-
-_PATHS = f"""{_GRAPH}, p AS (SELECT n_nationkey AS target, n_nationkey AS v, 0.0::DOUBLE AS cost, 0 AS hops FROM nation WHERE n_nationkey < 6 UNION SELECT target, g.src, p.cost + g.cost, hops + 1 FROM p JOIN g ON g.dst = p.v WHERE hops < 8), best AS (SELECT target, v, min(cost) AS cost FROM p GROUP BY target, v)"""
+    rows = t(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity").join(t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    edges = rows.select(F.col("o_custkey").alias("src"), (F.lit(1_000_000_000) + F.col("l_suppkey")).alias("dst"), (1 + F.col("l_quantity")).alias("cost"))
+    return network.directed(edges, F.lit(False))
 
 
-@query(f"WITH RECURSIVE {_PATHS} SELECT target, v, cost FROM best")
+@query(f"WITH RECURSIVE {_PATHS} SELECT target, v, cost FROM p")
 def cheapest_paths(spark, d):
-    return network.cost_matrix(_graph(spark, d), t(spark, d, "nation").where("n_nationkey < 6").select(F.col("n_nationkey").alias("target")))
+    targets = t(spark, d, "supplier").groupBy("s_nationkey").agg((F.lit(1_000_000_000) + F.min("s_suppkey")).alias("target"))
+    return network.cost_matrix(_graph(spark, d), targets)
 
 
-@query(f"WITH RECURSIVE {_PATHS}, m AS (SELECT v, median(cost) AS m FROM best GROUP BY v) SELECT n_nationkey AS v, round(coalesce((SELECT avg(m) FROM m) / nullif((SELECT m FROM m WHERE v = n_nationkey), 0), 0), 6) AS access FROM nation")
+@query(f"WITH RECURSIVE {_PATHS}, m AS (SELECT v, median(cost) AS m FROM p WHERE v < 1000000000 GROUP BY v) SELECT c_custkey AS v, round(coalesce((SELECT avg(m) FROM m) / nullif(m, 0), 0), 6) AS access FROM customer LEFT JOIN m ON v = c_custkey")
 def accessibility(spark, d):
-    out = network.accessibility(cheapest_paths(spark, d), t(spark, d, "nation").select(F.col("n_nationkey").alias("v")))
+    out = network.accessibility(cheapest_paths(spark, d), t(spark, d, "customer").select(F.col("c_custkey").alias("v")))
     return out.select("v", r("access", 6).alias("access"))
 
 
