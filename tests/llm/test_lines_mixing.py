@@ -197,3 +197,27 @@ def test_mixing_edges(spark):
     got = mixing.decided(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len(got) == 4 and all(r["__kept"] for r in got if r["__tokens"] == 0)
     assert len({r["__kept"] for r in got if r["doc_id"] == 2}) == 1
+
+
+def test_stated_targets(spark):
+    """Stated shares hold for the weights, what is left out shares the rest, and raking ends."""
+    cells = {(s, g, t): 100 * (i + 1) * (3 * j + 1) * (k + 2) for i, s in enumerate("abc") for j, g in enumerate(("en", "de")) for k, t in enumerate("xy")}
+    df = spark.createDataFrame([(*c, n) for c, n in cells.items()], "source string, lang string, topic string, tokens long")
+    stated = {"lang": {"en": 0.8, "de": 0.2}, "source": {"a": 0.5, "absent": 0.1}}
+    got = mixing.raked(df, targets=stated).collect()
+    share = lambda d, v: sum(r["weight"] for r in got if r[d] == v)
+    total = sum(cells.values())
+    left = {s: sum(n for c, n in cells.items() if c[0] == s) / total for s in "bc"}
+    want = {"a": 0.5, **{s: 0.5 * m / sum(left.values()) for s, m in left.items()}}
+    assert all(abs(share("source", s) - w) < 1e-5 for s, w in want.items())
+    assert abs(share("lang", "en") - 0.8) < 1e-5
+    assert all(abs(share("topic", t) - sum(n for c, n in cells.items() if c[2] == t) / total) < 1e-5 for t in "xy")
+
+
+def test_targets_of_nothing(spark):
+    """A category whose target is 0 goes, and documents without tokens stay."""
+    rows = [(i, "word " * 10, "a" if i % 2 else "b", "en", 50) for i in range(200)] + [(900, "", "b", "en", 0), (901, None, "b", "en", None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.decided(docs, targets={"source": {"a": 1.0}}, topic=F.lit("t"))
+    assert {r["__source"] for r in got.where("__kept and __tokens > 0").collect()} == {"a"}
+    assert got.where("doc_id >= 900 and __kept").count() == 2
