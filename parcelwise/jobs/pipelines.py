@@ -2,32 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import transverse_mercator
-from ..operators import allocate, models, transform
-from ..sources import osm
+from ..operators import allocate, models, network, transform
+from ..sources import geojson, osm
 
 
-def integrate(spark: SparkSession, path: str, config: dict, lon0: float) -> dict[str, DataFrame]:
-    """OpenStreetMap XML (a file, folder or glob) to thematic layers of points and lines in metres.
+def assembled(spark: SparkSession, path: str, metric: Callable[[Column, Column], tuple[Column, Column]] = lambda x, y: (x, y)) -> DataFrame:
+    """(id, kind, tags, geometry): OpenStreetMap XML as features, with coordinates by ``metric``.
 
-    Tags are selected before geometries are assembled, so only what a layer keeps is joined.
+    Tagged nodes are points, tagged ways lines or polygons, and relations of areas
+    multipolygons, whose member ways need no tags. Ways are put together once for both.
     """
     t = osm.read(spark, path)
+
+    def at(p: Column) -> Column:
+        x, y = metric(p["x"], p["y"])
+        return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+
     points = osm.points(t["nodes"], t["nodegeoms"])
-    x, y = transverse_mercator(F.col("x"), F.col("y"), lon0)
-    rows = points.select("id", "tags", F.lit("Point").alias("kind"), F.array(F.struct(x.alias("x"), y.alias("y"))).alias("pts"))
-    wanted = t["wayrefs"].join(t["ways"].select("id"), "id", "left_semi")
-    ways = osm.way_features(osm.way_lines(wanted, t["nodegeoms"]), t["ways"])
+    rows = points.select("id", F.lit("Point").alias("kind"), "tags", F.array(F.array(F.array(at({"x": F.col("x"), "y": F.col("y")})))).alias("parts"))
+    wanted = t["ways"].select("id").union(t["relrefs"].join(t["rels"].select("id"), "id", "left_semi").select("wayref")).distinct()
+    lines = network.kept(osm.way_lines(t["wayrefs"].join(wanted, "id", "left_semi"), t["nodegeoms"]))
+    ways = osm.way_features(lines, t["ways"])
+    rows = rows.unionByName(ways.select("id", "kind", "tags", F.array(F.array(F.transform("pts", at))).alias("parts")))
+    members = t["relrefs"].join(t["rels"].select("id"), "id", "left_semi")
+    tags = osm.relation_tags(t["rels"], osm.common_tags(members, t["ways"]))
+    place = lambda p: at({"x": F.element_at(p, 1), "y": F.element_at(p, 2)})
+    areas = osm.relation_polygons(members, lines).join(tags, "id")
+    areas = areas.select("id", F.lit("MultiPolygon").alias("kind"), "tags", F.transform("parts", lambda q: F.transform(q, lambda ring: F.transform(ring, place))).alias("parts"))
+    return rows.unionByName(areas).select("id", "kind", "tags", F.struct(F.col("kind").alias("type"), "parts").alias("geometry"))
+
+
+def convert(spark: SparkSession, path: str, out: str, fields: list[str]) -> None:
+    """OpenStreetMap XML to lines of GeoJSON Features in degrees, with the tags ``fields`` as properties.
+
+    Coordinates have the depth that each geometry's type asks for.
+    """
+    rows = assembled(spark, path)
+    pair = lambda p: F.array(p["x"], p["y"])
+    every = F.transform("geometry.parts", lambda q: F.transform(q, lambda ring: F.transform(ring, pair)))
+    first = F.element_at(every, 1)
+    depth = {"Point": F.element_at(F.element_at(first, 1), 1), "LineString": F.element_at(first, 1), "Polygon": first, "MultiPolygon": every}
+    text = F.coalesce(*(F.when(F.col("kind") == k, F.to_json(v)) for k, v in depth.items()))
+    rows = rows.select("kind", text.alias("coordinates"), *(F.col("tags")[f].alias(f) for f in fields))
+    geojson.write(geojson.lines_of(rows, F.col("kind"), F.col("coordinates"), fields), out)
+
 
-    def metres(p):
-        a, b = transverse_mercator(p["x"], p["y"], lon0)
-        return F.struct(a.alias("x"), b.alias("y"))
+def integrate(spark: SparkSession, path: str, config: dict, lon0: float) -> dict[str, DataFrame]:
+    """OpenStreetMap XML (a file, folder or glob) to thematic layers of points, lines and polygons in metres.
 
-    rows = rows.unionByName(ways.select("id", "tags", "kind", F.transform("pts", metres).alias("pts")))
-    return transform.layers(rows, config, geometry_type="kind")
+    Each has id, kind, geometry (type, parts) and its attributes; a layer whose configuration
+    names a geometry has geometries of that type.
+    """
+    rows = assembled(spark, path, lambda x, y: transverse_mercator(x, y, lon0))
+    return transform.layers(rows, config, geometry_type="kind", geometry="geometry")
 
 
 def prepare_training(segments: DataFrame, values: DataFrame, key: str, value: str, area: str, absolute: bool) -> DataFrame:

@@ -273,18 +273,26 @@ def relation_common_tags(spark, d):
 
 @query()
 def relation_rings(spark, d):
-    """Each customer's orders as a square's two halves: stitched to one ring; every seventh order keeps its way open."""
-    ways = t(spark, d, "orders").select(F.col("o_orderkey").alias("rel"), F.explode(F.array(F.lit(0), F.lit(1))).alias("half"))
-    base = F.col("rel") * 4
-    pt = lambda i: F.struct((F.col("rel") % 1000 + (1.0 if i in (1, 2) else 0.0)).alias("x"), (F.col("rel") % 997 + (1.0 if i in (2, 3) else 0.0)).alias("y"))
-    refs = F.when(F.col("half") == 0, F.array(base, base + 1, base + 2)).when(F.col("rel") % 7 == 0, F.array(base, base + 3)).otherwise(F.array(base, base + 3, base + 2))
-    pts = F.when(F.col("half") == 0, F.array(pt(0), pt(1), pt(2))).when(F.col("rel") % 7 == 0, F.array(pt(0), pt(3))).otherwise(F.array(pt(0), pt(3), pt(2)))
-    lines = ways.select("rel", (F.col("rel") * 2 + F.col("half")).alias("id"), refs.alias("refs"), pts.alias("pts"))
-    out = osm.relation_polygons(lines.select(F.col("rel").alias("id"), F.col("id").alias("wayref"), F.lit(True).alias("outer")), lines)
-    return out.select("id", F.size("parts").alias("n_parts"), F.size(F.element_at(F.element_at("parts", 1), 1)).alias("n_points"))
-
-
-SQL["relation_rings"] = "SELECT o_orderkey AS id, 1 AS n_parts, 5 AS n_points FROM orders WHERE o_orderkey % 7 <> 0"
+    """Orders as relations: a square's two halves, stitched to one ring; every seventh keeps its way open.
+    Even ones have a hole, every third a second square, and every fifth a hole outside of both."""
+    rel = F.col("o_orderkey")
+    kinds = F.array(F.lit(0), F.lit(1), F.when(rel % 2 == 0, 2), F.when(rel % 3 == 0, 3), F.when(rel % 5 == 0, 4))
+    ways = t(spark, d, "orders").select(rel.alias("rel"), F.explode(F.array_compact(kinds)).alias("way"))
+    pt = lambda x, y: F.struct((F.col("rel") % 1000 + x).cast("double").alias("x"), (F.col("rel") % 997 + y).cast("double").alias("y"))
+    square = lambda x, y, side: [(x, y), (x + side, y), (x + side, y + side), (x, y + side), (x, y)]
+    shapes = [([0, 1, 2], [(0, 0), (9, 0), (9, 9)]), ([0, 3, 2], [(0, 0), (0, 9), (9, 9)]), ([4, 5, 6, 7, 4], square(2, 2, 1)), ([8, 9, 10, 11, 8], square(20, 0, 5)), ([12, 13, 14, 15, 12], square(50, 50, 1))]
+    refs, pts = F.lit(None).cast("array<int>"), F.lit(None).cast("array<struct<x: double, y: double>>")
+    for i, (nodes, places) in enumerate(shapes):
+        refs = F.when(F.col("way") == i, F.array(*map(F.lit, nodes))).otherwise(refs)
+        pts = F.when(F.col("way") == i, F.array(*(pt(*p) for p in places))).otherwise(pts)
+    broken = (F.col("way") == 1) & (F.col("rel") % 7 == 0)
+    lines = ways.select("rel", "way", (F.col("rel") * 8 + F.col("way")).alias("id"), F.when(broken, F.slice(refs, 1, 2)).otherwise(refs).alias("refs"), F.when(broken, F.slice(pts, 1, 2)).otherwise(pts).alias("pts"))
+    out = osm.relation_polygons(lines.select(F.col("rel").alias("id"), F.col("id").alias("wayref"), F.col("way").isin(0, 1, 3).alias("outer")), lines)
+    first = F.element_at("parts", 1)
+    return out.select("id", F.size("parts").alias("n_parts"), F.size(F.element_at(first, 1)).alias("n_points"), (F.size(first) - 1).alias("n_holes"))
+
+
+SQL["relation_rings"] = "SELECT o_orderkey AS id, 1 + CAST(o_orderkey % 3 = 0 AS INT) AS n_parts, 5 AS n_points, CAST(o_orderkey % 2 = 0 AS INT) + CAST(o_orderkey % 5 = 0 AND o_orderkey % 3 <> 0 AS INT) AS n_holes FROM orders WHERE o_orderkey % 7 <> 0"
 
 
 # --- geometry ---------------------------------------------------------------------

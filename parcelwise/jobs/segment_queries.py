@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import models, parcels, recipes, segments, subdivide
+from ..operators import models, parcels, recipes, segments, subdivide, transform
 from ..sources import geojson
 from . import pipelines
-from .queries import query, r, t, xy
+from .queries import _diamonds, query, r, t, xy
 
 _SEGMENTS = """p AS (SELECT c_custkey AS id, c_custkey * 37 % 1000 AS x, c_custkey * 91 % 1000 AS y, CAST(c_nationkey AS VARCHAR) AS code FROM customer WHERE c_nationkey IN (1, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 3)),
 b AS (SELECT s_suppkey * 37 % 1000 - 40 AS bx, s_suppkey * 91 % 1000 + 0.25 AS b FROM supplier), e AS (SELECT id, x, y, code, b FROM p JOIN b ON bx < x AND bx + 160 > x + 40 AND b > y AND b < y + 25),
@@ -98,3 +98,23 @@ def principal_variances(spark, d):
     values, _ = models.principal(rows, ["FFa", "FFb"])
     return spark.createDataFrame([(i + 1, round(float(v), 6)) for i, v in enumerate(values)], "k int, variance double")
 
+
+
+_SPOTS = {"geometry": "Point", "input-geometries": ["polygon", "line"], "selector": {"compound": "or", "clauses": [{"status": ["F", "O"]}, {"nation": True}]}, "attributes": [{"name": "nation", "type": "int", "getter": {"get": "nation"}}]}
+
+
+@query("""SELECT s_suppkey AS id, 'Polygon' AS kind, CAST(s_nationkey AS BIGINT) AS nation, CAST(s_suppkey * 37 % 1000 AS DOUBLE) AS x, CAST(s_suppkey * 91 % 1000 AS DOUBLE) AS y FROM supplier
+UNION ALL SELECT o_orderkey, 'LineString', NULL, CAST(o_orderkey * 37 % 1000 + 5 AS DOUBLE), CAST(o_orderkey * 91 % 1000 AS DOUBLE) FROM orders WHERE o_orderstatus IN ('F', 'O')""")
+def geometry_layers(spark, d):
+    """A layer of points from polygons and lines; points of several places are routed away."""
+    tags = lambda k, c: F.map_filter(F.create_map(F.lit(k), F.col(c).cast("string")), lambda a, b: b.isNotNull())
+    pt = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    shape = lambda kind, parts: F.struct(F.lit(kind).alias("type"), parts.alias("parts")).alias("geometry")
+    areas = _diamonds(spark, d).join(t(spark, d, "supplier").select("s_suppkey", "s_nationkey"), "s_suppkey").select(F.col("s_suppkey").alias("id"), F.lit("Polygon").alias("kind"), tags("nation", "s_nationkey").alias("tags"), shape("Polygon", F.array("rings")))
+    x, y = xy("o_orderkey")
+    ways = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit("LineString").alias("kind"), tags("status", "o_orderstatus").alias("tags"), shape("LineString", F.array(F.array(F.array(pt(x, y), pt(x + 5, y), pt(x + 5, y + 9))))))
+    x, y = xy("c_custkey")
+    many = t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("MultiPoint").alias("kind"), tags("nation", "c_nationkey").alias("tags"), shape("MultiPoint", F.array(F.array(F.array(pt(x, y))), F.array(F.array(pt(x + 1, y))))))
+    out = transform.layer(areas.unionByName(ways).unionByName(many), _SPOTS, geometry_type="kind", geometry="geometry")
+    at = F.element_at(F.element_at(F.element_at("geometry.parts", 1), 1), 1)
+    return out.select("id", "kind", "nation", r(at["x"]).alias("x"), r(at["y"]).alias("y"))

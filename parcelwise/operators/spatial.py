@@ -202,23 +202,28 @@ def tiles(extent: DataFrame, longest: float) -> DataFrame:
     return rows.select("i", "j", (F.col("xmin") + F.col("i") * w).alias("x0"), (F.col("ymin") + F.col("j") * h).alias("y0"), (F.col("xmin") + (F.col("i") + 1) * w).alias("x1"), (F.col("ymin") + (F.col("j") + 1) * h).alias("y1"))
 
 
+def convex(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Convex hull, counter-clockwise from the least point; points on its edges aren't part of it."""
+    p = sorted(set(points))
+    if len(p) < 3:
+        return p
+
+    def half(points):
+        out = []
+        for c in points:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (c[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (c[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(c)
+        return out[:-1]
+
+    return half(p) + half(p[::-1])
+
+
 def hull(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """(ord, x, y) of the convex hull, counter-clockwise: hulls of partitions, then one of those."""
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = sorted(set(zip(pdf["x"], pdf["y"], strict=True)))
-        if len(p) < 3:
-            return pd.DataFrame({"ord": range(len(p)), "x": [a for a, _ in p], "y": [b for _, b in p]})
-
-        def half(points):
-            out = []
-            for c in points:
-                while len(out) > 1 and (out[-1][0] - out[-2][0]) * (c[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (c[0] - out[-2][0]) <= 0:
-                    out.pop()
-                out.append(c)
-            return out[:-1]
-
-        ring = half(p) + half(p[::-1])
+        ring = convex(list(zip(pdf["x"], pdf["y"], strict=True)))
         return pd.DataFrame({"ord": range(len(ring)), "x": [a for a, _ in ring], "y": [b for _, b in ring]})
 
     def local(batches):
@@ -230,6 +235,41 @@ def hull(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     return first.select(F.lit(0).alias("g"), "x", "y").groupBy("g").applyInPandas(chain, "ord int, x double, y double")
 
 
+def _hull_centre(rings: list[list[tuple[float, float]]]) -> tuple[float, float]:
+    """Area-weighted centroid of the rings' convex hulls; the mean of their vertices if they have no area."""
+    total, sums = 0.0, np.zeros(2)
+    for ring in rings:
+        h = np.array(convex(ring))
+        if len(h) > 2:
+            o = h[0]
+            u, v = h[1:-1] - o, h[2:] - o
+            area = (u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]) / 2
+            total, sums = total + area.sum(), sums + (area[:, None] * (o + (u + v) / 3)).sum(0)
+    if total > 0:
+        return tuple(sums / total)
+    return tuple(np.mean([p for r in rings for p in r], 0))
+
+
+def representative(kind: Column, parts: Column) -> Column:
+    """A point struct (x, y) for a geometry of parts, rings and vertices; null if it has no vertex.
+
+    Points stand for themselves, several for their mean; lines have their middle vertex, of all
+    lines in order; polygons the area-weighted centroid of the hulls of their outer rings.
+    """
+    all_points = F.filter(F.flatten(F.flatten(parts)), lambda p: p.isNotNull())
+    n = F.size(all_points)
+    mean = lambda a: F.aggregate(all_points, F.lit(0.0), lambda s, p: s + p[a]) / n
+
+    @F.pandas_udf("x double, y double")
+    def centre(outer: pd.Series) -> pd.DataFrame:
+        done = [(None, None) if r is None else _hull_centre([[(p["x"], p["y"]) for p in ring] for ring in r]) for r in outer]
+        return pd.DataFrame(done, columns=["x", "y"], dtype=float)
+
+    outer = F.when(kind.endswith("Polygon") & (n > 0), F.transform(F.filter(parts, lambda p: F.size(p) > 0), lambda p: F.element_at(p, 1)))
+    of = lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))
+    return F.when(n > 0, F.when(kind.endswith("Point"), F.struct(mean("x").alias("x"), mean("y").alias("y"))).when(kind.endswith("LineString"), of(F.element_at(all_points, F.floor(n / 2).cast("int") + 1))).otherwise(centre(outer)))
+
+
 def ranked(near: DataFrame, key: str, other: str, n: int) -> DataFrame:
     """The ``n`` nearest of ``within_range`` pairs for each key."""
     rank = F.row_number().over(W.partitionBy(key).orderBy("distance", other))
