@@ -118,3 +118,14 @@ def geometry_layers(spark, d):
     out = transform.layer(areas.unionByName(ways).unionByName(many), _SPOTS, geometry_type="kind", geometry="geometry")
     at = F.element_at(F.element_at(F.element_at("geometry.parts", 1), 1), 1)
     return out.select("id", "kind", "nation", r(at["x"]).alias("x"), r(at["y"]).alias("y"))
+
+
+@query("""WITH c AS (SELECT c_custkey, c_custkey * 53 % 1000 + 0.25 AS x, c_custkey * 29 % 1000 + 0.5 AS y FROM customer), s AS (SELECT s_suppkey, s_suppkey * 37 % 1000 AS px, s_suppkey * 91 % 1000 AS py FROM supplier),
+d AS (SELECT c_custkey, s_suppkey, round(sqrt(pow(greatest(px - x, x - px - 40, 0), 2) + pow(greatest(py - y, y - py - 25, 0), 2))::DOUBLE, 9) AS distance FROM c, s)
+SELECT c_custkey, s_suppkey, round(distance, 6) AS distance FROM d WHERE distance <= 10 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY distance, s_suppkey) = 1""")
+def nearest_parcel(spark, d):
+    x, y = xy("s_suppkey")
+    k = F.col("c_custkey")
+    points = t(spark, d, "customer").select(k, (k * 53 % 1000 + 0.25).cast("double").alias("x"), (k * 29 % 1000 + 0.5).cast("double").alias("y"))
+    boxes = t(spark, d, "supplier").select("s_suppkey", parcels.rectangle(x, y, 40.0, 25.0).alias("rings"))
+    return parcels.nearest_polygon(points, boxes, "c_custkey", "s_suppkey").select("c_custkey", "s_suppkey", r("distance", 6).alias("distance"))

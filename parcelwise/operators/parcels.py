@@ -53,8 +53,8 @@ def rasterised(polygons: DataFrame, key: str, code: str, size: float) -> DataFra
     return best.select("cell.i", "cell.j", F.col("b.c").alias(code))
 
 
-def built_up(points: DataFrame, polygons: DataFrame, key: str, polygon: str, distance: float) -> DataFrame:
-    """(key, builtup 0/1): points (x, y), as of road pieces, in a polygon or within ``distance`` of its edge.
+def _edges_near(points: DataFrame, polygons: DataFrame, key: str, polygon: str, distance: float) -> DataFrame:
+    """(key, polygon, d): points (x, y) and the edges of polygons within ``distance``, d metres off.
 
     Points and edges meet in bins that edges, widened by the distance, lie in.
     """
@@ -63,11 +63,27 @@ def built_up(points: DataFrame, polygons: DataFrame, key: str, polygon: str, dis
     span = lambda a: F.sequence(F.floor((F.least(f"{a}1", f"{a}2") - distance) / side), F.floor((F.greatest(f"{a}1", f"{a}2") + distance) / side))
     binned = edges.withColumn("bx", F.explode(span("x"))).withColumn("by", F.explode(span("y")))
     spots = points.select(key, "x", "y", spatial.bin_of(F.col("x"), side).alias("bx"), spatial.bin_of(F.col("y"), side).alias("by"))
-    near = spots.join(binned, ["bx", "by"]).where(along(F.col("x"), F.col("y"))[1] <= distance).select(key)
-    hit = near.union(spatial.points_in_polygons(points, polygons, key, polygon, side).select(key)).distinct().withColumn("builtup", F.lit(1))
+    return spots.join(binned, ["bx", "by"]).withColumn("d", along(F.col("x"), F.col("y"))[1]).where(F.col("d") <= distance).select(key, polygon, "d")
+
+
+def built_up(points: DataFrame, polygons: DataFrame, key: str, polygon: str, distance: float) -> DataFrame:
+    """(key, builtup 0/1): points (x, y), as of road pieces, in a polygon or within ``distance`` of its edge."""
+    near = _edges_near(points, polygons, key, polygon, distance).select(key)
+    hit = near.union(spatial.points_in_polygons(points, polygons, key, polygon, 4 * distance).select(key)).distinct().withColumn("builtup", F.lit(1))
     return points.select(key).join(hit, key, "left").fillna(0, ["builtup"])
 
 
+def nearest_polygon(points: DataFrame, polygons: DataFrame, key: str, polygon: str, distance: float = 10.0) -> DataFrame:
+    """(key, polygon, distance): the nearest polygon within ``distance`` of each point; inside is 0.
+
+    Distances equal to a billionth are ties, which go to the least id; points without one have no row.
+    """
+    inside = spatial.points_in_polygons(points, polygons, key, polygon, 4 * distance).select(key, polygon, F.lit(0.0).alias("d"))
+    near = _edges_near(points, polygons, key, polygon, distance).unionByName(inside)
+    best = near.groupBy(key).agg(F.min(F.struct(F.round("d", 9).alias("d"), F.col(polygon).alias("p"))).alias("b"))
+    return best.select(key, F.col("b.p").alias(polygon), F.col("b.d").alias("distance"))
+
+
 def building_proximity(targets: DataFrame, buildings: DataFrame, sd: float, key: str = "id", size: str = "AREA", shape: str = "WAG") -> DataFrame:
     """FFpbsize_* and FFpbwag_* (sum, mean, median) of buildings (px, py) within 5 sd of each target."""
     near = spatial.within_range(targets, buildings, 5 * sd)
