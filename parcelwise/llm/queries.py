@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, lines, minhash, mixing, packing, quality, sharding, toxicity, urls
+from . import ann, audit, chat, licenses, lines, minhash, mixing, packing, quality, sharding, toxicity, urls, whitening
 from .common import table
 
 #: Hosts whose pages make the list of blocked URLs.
@@ -79,6 +79,27 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
+def op11_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scanned(table(spark, sf_dir, "documents"))
+    names = F.array(*(F.lit(t.label) for t in licenses.PHRASES + licenses.NOTICES))
+    base = F.filter("found", lambda f: f["template"] < len(licenses.PHRASES))
+    starts = F.transform(base, lambda f: f["first_word"])
+    labels = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda f: F.get(names, f["template"])))), ",")
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), labels(base).alias("base_labels"), labels(F.col("found")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("found", lambda f: f["score"])), F.lit(0.0)).alias("score"),
+    )
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masks = audit.masked(table(spark, sf_dir, "documents"))
+    return audit.audited(audit.counted(masks, table(spark, sf_dir, "labels")))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,7 +107,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_line_dedup, op2_chat_formatting, op3_toxicity, op4_url_filters, op5_sharding, op6_best_fit_packing, op7_mixing, op8_minhash_near_dedup, op9_nearest_neighbours, op10_quality_rules, pipeline)
+    own = (op1_line_dedup, op2_chat_formatting, op3_toxicity, op4_url_filters, op5_sharding, op6_best_fit_packing, op7_mixing, op8_minhash_near_dedup, op9_nearest_neighbours, op10_quality_rules, op11_license_scans, op12_filter_audit, op13_embedding_whitening, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -128,6 +149,28 @@ f AS (SELECT b.*, CASE WHEN tokens = 0 THEN 1.0::DOUBLE ELSE coalesce(p, 1.0)::D
 SELECT doc_id, source, lang, topic, tokens, prob, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'text:' || coalesce(text, ''))), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496 < prob AS kept FROM f"""
 
 
+def _audit_sql() -> str:
+    fails = [
+        f"len(words) < {audit.MIN_WORDS}", f"100 * len(list_distinct(words)) < {audit.MIN_DISTINCT_PERCENT} * len(words)", f"100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > {audit.MAX_CAPITAL_PERCENT} * length(body)",
+        f"regexp_matches(body, '[{audit.SYMBOLS.decode()}]')", "doc_id > min(doc_id) OVER (PARTITION BY body)",
+    ]
+    bits = " + ".join(f"CASE WHEN {f} THEN {1 << k} ELSE 0 END" for k, f in enumerate(fails))
+    letters = ", ".join(f"('{f}', {1 << k})" for k, f in enumerate(audit.FILTERS))
+    n = len(audit.FILTERS)
+    names = "abcdefgh"[:n]
+    apart = " AND ".join(f"{x}.f <> {y}.f" for i, x in enumerate(names) for y in names[:i])
+    order = " || ".join(f"{x}.f" for x in names)
+    steps = " UNION ALL ".join(f"SELECT {order} AS filter_order, {k + 1} AS step, {x}.b AS own, {' + '.join(['0', *(f'{y}.b' for y in names[:k])])} AS before FROM {', '.join(f'letters {y}' for y in names)} WHERE {apart}" for k, x in enumerate(names))
+    count = lambda when, of: f"CAST(coalesce(sum(CASE WHEN {when} THEN {of} ELSE 0 END), 0) AS BIGINT)"
+    return f"""WITH letters(f, b) AS (VALUES {letters}), steps AS ({steps}),
+d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+l AS (SELECT doc_id, max(coalesce(quality, 0) = 1) AS good, max(coalesce(toxic, 0) = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM (SELECT doc_id, part, {bits} AS mask FROM d) LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+o AS (SELECT part, filter_order, step, own, {count("mask & own = 0 AND mask & before = 0", "n")} AS kept, {count("mask & own <> 0 AND mask & before = 0", "n")} AS removed, {count("mask & own <> 0 AND mask & before <> 0", "n")} AS redundant,
+{count("mask = own", "n")} AS unique_fails, {count("mask & own <> 0 AND mask & before = 0", "good")} AS good_lost, {count("mask & own <> 0 AND mask & before = 0", "toxic")} AS toxic_lost FROM m, steps GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM o"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for what SQL can express; the others rest on hashes, tokenizers, models or searches, and are tested by brute force."""
-    return {"op4_url_filters": _url_sql(), "op7_mixing": _mixing_sql()}
+    return {"op4_url_filters": _url_sql(), "op7_mixing": _mixing_sql(), "op12_filter_audit": _audit_sql()}

@@ -14,6 +14,10 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: ASCII bytes other than digits and small letters: what parts words in the alphanumeric sense, in lower-cased text.
+PUNCTUATION = np.zeros(256, bool)
+PUNCTUATION[:0x80] = True
+PUNCTUATION[[*range(0x30, 0x3A), *range(0x61, 0x7B)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -53,15 +57,16 @@ class Chunk:
     """Words of a run of texts.
 
     start, end: byte range of each word in ``data``; doc: the text it belongs to;
-    hash: its 64-bit hash. Words are maximal runs of bytes other than ASCII white space.
+    hash: its 64-bit hash. Words are maximal runs of bytes that ``apart`` doesn't mark
+    (ASCII white space unless stated). hashed: False leaves the hashes out.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, apart: np.ndarray = _SPACE, hashed: bool = True):
         self.data = _LOWER[data] if lower else data
         self.offsets = offsets
         self.n = len(offsets) - 1
         size = len(data)
-        self.space = _SPACE[self.data]
+        self.space = apart[self.data]
         inside = np.ones(size + 2, bool)
         inside[1:-1] = self.space
         first = np.zeros(size + 1, bool)
@@ -72,6 +77,8 @@ class Chunk:
         self.start = np.flatnonzero(starts)
         self.end = np.flatnonzero(ends) + 1
         self.doc = np.searchsorted(offsets, self.start, side="right") - 1
+        if not hashed:
+            return
         self.power, self.inverse = powers(size)
         self.prefix = np.zeros(size + 1, np.uint64)
         np.cumsum(_BYTE[self.data] * self.power[:size], out=self.prefix[1:])
@@ -112,12 +119,12 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(texts: pa.Array, lower: bool) -> Iterator[tuple[int, int, Chunk]]:
+def chunks(texts: pa.Array, lower: bool, apart: np.ndarray = _SPACE, hashed: bool = True) -> Iterator[tuple[int, int, Chunk]]:
     """(from, to, Chunk) over rows of ``texts``, each of about CHUNK_BYTES."""
     data, offsets = utf8(texts)
     at, n = 0, len(offsets) - 1
     while at < n:
         to = int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, side="right")) - 1
         to = min(max(to, at + 1), n)
-        yield at, to, Chunk(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], lower)
+        yield at, to, Chunk(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], lower, apart, hashed)
         at = to
