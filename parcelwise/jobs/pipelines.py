@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import transverse_mercator
-from ..operators import allocate, models, network, transform
+from ..operators import allocate, models, network, parcels, transform
 from ..sources import geojson, osm
 
 
@@ -53,13 +53,16 @@ def convert(spark: SparkSession, path: str, out: str, fields: list[str]) -> None
     geojson.write(geojson.lines_of(rows, F.col("kind"), F.col("coordinates"), fields), out)
 
 
-def integrate(spark: SparkSession, path: str, config: dict, lon0: float) -> dict[str, DataFrame]:
+def integrate(spark: SparkSession, path: str, config: dict, lon0: float, study: DataFrame | None = None, side: float = 1_000.0) -> dict[str, DataFrame]:
     """OpenStreetMap XML (a file, folder or glob) to thematic layers of points, lines and polygons in metres.
 
     Each has id, kind, geometry (type, parts) and its attributes; a layer whose configuration
-    names a geometry has geometries of that type.
+    names a geometry has geometries of that type. study: polygons (id, rings) in metres, to which
+    everything is cut, by bins of ``side``.
     """
     rows = assembled(spark, path, lambda x, y: transverse_mercator(x, y, lon0))
+    if study is not None:
+        rows = network.kept(parcels.clipped_features(rows, study, "id", side))
     return transform.layers(rows, config, geometry_type="kind", geometry="geometry")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import ring_area
@@ -30,15 +31,15 @@ def vertex(x: Column, y: Column, digits: int = 3) -> Column:
 def road_network(roads: DataFrame, built: DataFrame, speeds: dict[int, dict[str, float]], side: float, near: float = 20.0) -> DataFrame:
     """Pieces (line, seq, part, x1..y2, length, builtup, class, oneway, speed, time) of roads (line, class, level, oneway, pts).
 
-    Ground roads are cut where they cross. A piece is built up if its middle lies within ``near``
-    of built-up polygons (id, rings). Pieces of unknown speed go.
+    Ground roads are cut where they cross, and pieces at the border of what lies within ``near``
+    of built-up polygons (id, rings), so that each bit has the speed of its side. Bits of unknown speed go.
     """
     e = lines.edges(roads, "line")
-    pieces = network.kept(lines.routable(e, roads.select("line", "level"), side).withColumn("piece", F.struct("line", "seq", "part")))
-    middles = pieces.select("piece", ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"))
-    flags = parcels.built_up(middles, built, "piece", "id", near)
-    rows = pieces.join(flags, "piece").join(roads.select("line", "class", "oneway"), "line")
-    return network.timed(rows.drop("piece"), speeds)
+    pieces = network.kept(lines.routable(e, roads.select("line", "level"), side).select(F.struct("line", "seq", "part").alias("piece"), "x1", "y1", "x2", "y2"))
+    bits = parcels.split_built_up(pieces, built, "piece", "id", near)
+    part = F.row_number().over(W.partitionBy("piece.line", "piece.seq").orderBy("piece.part", "bit")) - 1
+    rows = bits.select("piece.line", "piece.seq", part.alias("part"), "x1", "y1", "x2", "y2", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("length"), "builtup")
+    return network.timed(rows.join(roads.select("line", "class", "oneway"), "line"), speeds)
 
 
 def access(origins: DataFrame, targets: DataFrame, pieces: DataFrame, tolerance: float = 200.0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .network import kept
+from .ranks import order_statistics
 
 QUANTILES = (0.025, 0.1, 0.25, 0.75, 0.9, 0.975)
 
@@ -61,51 +62,11 @@ def errors(df: DataFrame, model: str = "model", real: str = "real") -> DataFrame
     return out.select("n", "mismatch", "tae", F.try_divide("tae", "sr").alias("rtae"), F.sqrt(F.try_divide(F.col("ss"), F.col("n"))).alias("rmse"), (1 - F.try_divide("ss", "st")).alias("r2"))
 
 
-def order_statistics(rows: DataFrame, group: str, value: str, quantiles: tuple[float, ...], parts: int = 4_096, gathered: int = 1_000) -> dict:
-    """{group: {quantile: value}}, exact, with linear interpolation, without sorting or gathering a group.
+def descriptors(df: DataFrame, model: str = "model", real: str = "real") -> DataFrame:
+    """sum, min, max, mean, median and six quantiles of model, real, residual and absolute residual.
 
-    The range of each wanted rank is cut in ``parts``, rows are counted by part (before they are
-    shuffled), and the part that holds the rank is cut again, until it holds one distinct value or
-    at most ``gathered`` rows. For each rank only its part's count and ends reach the driver.
+    Nulls count as 0; NaN is the greatest value, and makes sums and means NaN. No rows give no rows.
     """
-    rows = rows.select(F.col(group).alias("__k"), F.col(value).cast("double").alias("__x")).where("__x is not null")
-    v = F.col("__x")
-    ends = {r[0]: r for r in rows.groupBy("__k").agg(F.count(v).alias("n"), F.min(v), F.max(v)).collect()}
-    ranks = {(g, k) for g, e in ends.items() for q in quantiles for k in (int(q * (e["n"] - 1)), min(int(q * (e["n"] - 1)) + 1, e["n"] - 1))}
-    # (low, high, rows under low, rows from low to high) of each rank, and its value once known.
-    open_, known = {(g, k): (ends[g][2], ends[g][3], 0, ends[g]["n"]) for g, k in ranks}, {}
-    spark = rows.sparkSession
-    while open_:
-        known |= {k: lo for k, (lo, hi, _, _) in open_.items() if lo == hi}
-        open_ = {k: x for k, x in open_.items() if k not in known}
-        if not open_:
-            break
-        spans = sorted({(g, lo, hi, under, n) for (g, _), (lo, hi, under, n) in open_.items()})
-        table = F.broadcast(spark.createDataFrame(spans, f"g {rows.schema['__k'].dataType.simpleString()}, lo double, hi double, under long, n long"))
-        # Spans lie side by side; a part's number never falls as the value grows.
-        part = F.when(F.col("n") <= gathered, v).otherwise(F.floor(F.least((v - F.col("lo")) / (F.col("hi") - F.col("lo")), F.lit(1.0)) * parts).cast("double"))
-        inside = rows.join(table, (F.col("__k") == F.col("g")) & v.between(F.col("lo"), F.col("hi"))).select("g", "lo", part.alias("part"), v.alias("x"))
-        counts = inside.groupBy("g", "lo", "part").agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("a"), F.max("x").alias("b")).orderBy("g", "lo", "part")
-        by_span: dict = {}
-        for r in counts.collect():
-            by_span.setdefault((r["g"], r["lo"]), []).append(r)
-        for (g, k), (lo, _, under, _) in list(open_.items()):
-            for r in by_span[g, lo]:
-                if k < under + r["c"]:
-                    open_[g, k] = (r["a"], r["b"], under, r["c"])
-                    break
-                under += r["c"]
-    out: dict = {}
-    for g, e in ends.items():
-        for q in quantiles:
-            at = q * (e["n"] - 1)
-            low, high = known[g, int(at)], known[g, min(int(at) + 1, e["n"] - 1)]
-            out.setdefault(g, {})[q] = low + (high - low) * (at - int(at))
-    return out
-
-
-def descriptors(df: DataFrame, model: str = "model", real: str = "real") -> DataFrame:
-    """sum, min, max, mean, median and six quantiles of model, real, residual and absolute residual."""
     m, r = F.coalesce(F.col(model), F.lit(0.0)).cast("double"), F.coalesce(F.col(real), F.lit(0.0)).cast("double")
     both, d = kept(df.select(m.alias("m"), r.alias("r"))), F.col("m") - F.col("r")
     rows = both.select(F.explode(F.create_map(F.lit("model"), "m", F.lit("real"), "r", F.lit("residual"), d, F.lit("abs_residual"), F.abs(d))).alias("dataset", "v"))

@@ -2,29 +2,46 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the session names; a temporary one only where none is set.
+    """A table in the folder of ``spark.checkpoint.dir``, which cuts the lineage.
 
-    The table goes when the application ends.
+    Where that is unset, a local session makes a temporary folder; others must set it, for
+    executors don't see the driver's own. The table goes by ``freed``, or when the application ends.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        import tempfile
-
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="parcelwise-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_path = path
+    return out
+
+
+def freed(*tables: DataFrame) -> None:
+    """Delete tables of ``kept`` that nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(table._kept_path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def timed(edges: DataFrame, speeds: dict[int, dict[str, float]], flag: str = "builtup", kind: str = "class", length: str = "length") -> DataFrame:
@@ -41,22 +58,39 @@ def directed(edges: DataFrame, oneway: Column, cost: str = "cost") -> DataFrame:
     return both.where("cost is not null and src != dst").groupBy("src", "dst").agg(F.min("cost").alias("cost"))
 
 
+#: Tables of changed costs before they are drawn together.
+LOGGED = 6
+
+
 def cost_matrix(edges: DataFrame, targets: DataFrame, target: str = "target", rounds: int = 10_000) -> DataFrame:
     """(target, v, cost): the cheapest way from each vertex to each of a few targets.
 
-    Relaxes the reversed edges from the frontier alone; each round is a join and a grouped
-    minimum, written to the shared folder, until nothing gets cheaper.
+    Relaxes the reversed edges from the frontier alone. A round writes only the costs that it
+    lowered; a vertex's cost is the least of those written, and now and then the tables are drawn
+    together and the old ones deleted. It ends when nothing gets cheaper, and raises an
+    error if that takes more than ``rounds`` rounds (edges of a way, at least).
     """
-    best = kept(targets.select(F.col(target).alias("target"), F.col(target).alias("v"), F.lit(0.0).alias("cost")).distinct())
-    frontier, back = best, kept(edges.select(F.col("dst").alias("v"), "src", F.col("cost").alias("c")))
+
+    def least(log: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, log).groupBy("target", "v").agg(F.min("cost").alias("cost"))
+
+    first = targets.select(F.col(target).alias("target"), F.col(target).alias("v"), F.lit(0.0).alias("cost"))
+    fresh = kept(first.where("target is not null").distinct())
+    back, log = kept(edges.select(F.col("dst").alias("v"), "src", F.col("cost").alias("c"))), [fresh]
     for _ in range(rounds):
-        step = frontier.join(back, "v").groupBy("target", F.col("src").alias("v")).agg(F.min(F.col("cost") + F.col("c")).alias("cost"))
-        old = best.select("target", "v", F.col("cost").alias("old"))
-        both = kept(old.join(step, ["target", "v"], "full").select("target", "v", F.least("old", "cost").alias("cost"), (F.col("cost").isNotNull() & (F.col("old").isNull() | (F.col("cost") < F.col("old")))).alias("fresh")))
-        best, frontier = both.select("target", "v", "cost"), both.where("fresh").select("target", "v", "cost")
-        if frontier.limit(1).count() == 0:
-            break
-    return best
+        step = fresh.join(back, "v").groupBy("target", F.col("src").alias("v")).agg(F.min(F.col("cost") + F.col("c")).alias("cost"))
+        old = least(log).withColumnRenamed("cost", "old")
+        fresh = kept(step.join(old, ["target", "v"], "left").where("old is null or cost < old").select("target", "v", "cost"))
+        if fresh.isEmpty():
+            out = kept(least(log))
+            freed(*log, back, fresh)
+            return out
+        log.append(fresh)
+        if len(log) > LOGGED:
+            whole = kept(least(log))
+            freed(*log[:-1])
+            log = [whole, fresh]
+    raise RuntimeError(f"costs still fall after {rounds} rounds; give more rounds")
 
 
 def accessibility(costs: DataFrame, origins: DataFrame, origin: str = "v") -> DataFrame:

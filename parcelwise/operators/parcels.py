@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import recipes, spatial
+from ..functions.selectors import any_prefix
+from . import lines, planar, recipes, spatial
 from .lines import along
+from .network import kept
+
+RINGS = "array<array<struct<x double, y double>>>"
 
 
 def assigned(segments: DataFrame, areas: DataFrame, segment: str, area_id: str, weight: str, main: str, side: float) -> DataFrame:
@@ -32,6 +39,88 @@ def clipped_points(points: DataFrame, study: DataFrame, key: str, study_id: str,
     return points.join(spatial.points_in_polygons(points, study, key, study_id, side).select(key).distinct(), key, "left_semi")
 
 
+def clipped_polygons(layer: DataFrame, study: DataFrame, key: str, study_id: str, side: float, rings: str = "rings") -> DataFrame:
+    """(key, study_id, part, area, rings): the pieces of each polygon in each of the study's, with their shapes.
+
+    Pairs come from bins of bounding boxes; a piece is a face of both polygons' edges, cut where
+    they meet. Concave polygons, holes and shared borders are right. Repeated rows count once.
+    """
+
+    def boxed(df: DataFrame, k: str, tag: str) -> DataFrame:
+        once = df.select(F.col(k).alias(f"{tag}_id"), F.col(rings).alias(tag), F.xxhash64(rings).alias(f"{tag}h")).dropDuplicates([f"{tag}_id", f"{tag}h"])
+        c = lambda f, a: f(F.transform(F.flatten(tag), lambda p: p[a]))
+        box = once.where(F.size(F.flatten(tag)) > 2).withColumns({f"{tag}{n}{m}": c(f, n) for n in "xy" for m, f in ((0, F.array_min), (1, F.array_max))})
+        span = lambda n: F.sequence(F.floor(F.col(f"{tag}{n}0") / side), F.floor(F.col(f"{tag}{n}1") / side))
+        return box.withColumn("bx", F.explode(span("x"))).withColumn("by", F.explode(span("y")))
+
+    # Boxes alone are binned; the shapes join the pairs that are left.
+    a, b = boxed(layer, key, "a"), boxed(study, study_id, "b")
+    pairs = a.drop("a").join(b.drop("b"), ["bx", "by"]).where("ax0 < bx1 and bx0 < ax1 and ay0 < by1 and by0 < ay1")
+    pairs = pairs.where((F.col("bx") == F.floor(F.greatest("ax0", "bx0") / side)) & (F.col("by") == F.floor(F.greatest("ay0", "by0") / side))).select("a_id", "ah", "b_id", "bh")
+    shapes = lambda df, k, tag: df.select(F.col(k).alias(f"{tag}_id"), F.xxhash64(rings).alias(f"{tag}h"), F.col(rings).alias(tag)).dropDuplicates([f"{tag}_id", f"{tag}h"])
+    both = pairs.join(shapes(layer, key, "a"), ["a_id", "ah"]).join(shapes(study, study_id, "b"), ["b_id", "bh"]).select("a_id", "b_id", "a", "b")
+    kinds = layer.schema[key].dataType.simpleString(), study.schema[study_id].dataType.simpleString()
+
+    def cut(batches):
+        of = lambda v: [np.array([[p["x"], p["y"]] for p in r], float) for r in v if len(r) > 2]
+        for pdf in batches:
+            out = []
+            for i, j, x, y in zip(pdf["a_id"], pdf["b_id"], pdf["a"], pdf["b"], strict=True):
+                found = sorted(planar.shared(of(x), of(y)), key=lambda p: p[0].min(0).tolist())
+                out += [(i, j, n, planar.area_of(p), [[{"x": u, "y": v} for u, v in r.tolist()] for r in p]) for n, p in enumerate(found)]
+            yield pd.DataFrame(out, columns=[key, study_id, "part", "area", "rings"])
+
+    return both.mapInPandas(cut, f"{key} {kinds[0]}, {study_id} {kinds[1]}, part int, area double, rings {RINGS}")
+
+
+def clipped_lines(paths: DataFrame, study: DataFrame, key: str, study_id: str, side: float, pts: str = "pts") -> DataFrame:
+    """(key, piece, pts): what of each line (key, pts) lies in the study area's polygons, in order.
+
+    Edges are cut at the polygons' borders, and pieces stay whose middle is inside; pieces that
+    follow each other are one line again. Repeated keys are one line only if their rows are equal.
+    """
+    once = paths.select(F.col(key).alias("line"), F.col(pts).alias("pts")).dropDuplicates(["line"])
+    e = planar.rounded(lines.edges(once, "line")).select(F.struct("line", "seq").alias("eid"), "x1", "y1", "x2", "y2")
+    border = planar.rounded(spatial.edges_of(study, study_id)).select(F.struct(study_id, "r", "i").alias("fid"), "x1", "y1", "x2", "y2")
+    parts = kept(planar.pieces(e, planar.meetings(e, border, side).select("eid", "px", "py")).withColumn("spot", F.struct("eid", "part")))
+    middles = parts.select("spot", ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"))
+    inside = parts.join(spatial.points_in_polygons(middles, study, "spot", study_id, side).select("spot").distinct(), "spot", "left_semi")
+    along_line = W.partitionBy("eid.line").orderBy("eid.seq", "part")
+    fresh = F.coalesce((F.lag("x2").over(along_line) != F.col("x1")) | (F.lag("y2").over(along_line) != F.col("y1")), F.lit(True))
+    runs = inside.withColumn("fresh", fresh.cast("int")).withColumn("piece", F.sum("fresh").over(along_line) - 1)
+    step = F.struct("eid.seq", "part", F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")).alias("p"), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")).alias("q"))
+    joined = runs.groupBy(F.col("eid.line").alias(key), "piece").agg(F.array_sort(F.collect_list(step)).alias("s"))
+    return joined.select(key, F.col("piece").cast("int").alias("piece"), F.concat(F.transform("s", lambda v: v["p"]), F.array(F.element_at("s", -1)["q"])).alias("pts"))
+
+
+def clipped_features(features: DataFrame, study: DataFrame, study_id: str, side: float) -> DataFrame:
+    """Features (id, kind, tags, geometry of type and parts) cut to the study area's polygons (rings), which don't overlap.
+
+    Points stay or go; lines and polygons are cut, and become multiple where they fall apart. What
+    lies outside has no row. Ids are unique within a kind.
+    """
+    key = F.struct("id", "kind")
+    rows = features.select(key.alias("key"), "tags", "geometry.parts")
+    pt = lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))
+    each = rows.select("key", F.posexplode("parts").alias("n", "part")).withColumn("spot", F.struct("key", "n"))
+    kind = F.col("key.kind")
+    points = each.where(kind.endswith("Point")).withColumn("p", F.element_at(F.element_at("part", 1), 1)).select("spot", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    at = clipped_points(points, study, "spot", study_id, side).select("spot", F.array(F.array(pt({"x": F.col("x"), "y": F.col("y")}))).alias("part"), F.lit(0).alias("m"))
+    paths = each.where(kind.endswith("LineString")).select("spot", F.element_at("part", 1).alias("pts"))
+    ways = clipped_lines(paths, study, "spot", study_id, side).select("spot", F.array("pts").alias("part"), F.col("piece").alias("m"))
+    areas = each.where(kind.endswith("Polygon")).select("spot", F.col("part").alias("rings"))
+    cut = clipped_polygons(areas, study, "spot", study_id, side)
+    cut = cut.select("spot", F.col("rings").alias("part"), F.struct(study_id, "part").alias("piece"))
+    ring = F.transform("part", lambda r: F.concat(F.transform(r, pt), F.array(pt(F.element_at(r, 1)))))
+    number = F.row_number().over(W.partitionBy("spot").orderBy("piece")).cast("int")
+    found = at.unionByName(ways).unionByName(cut.select("spot", ring.alias("part"), number.alias("m")))
+    whole = found.groupBy("spot.key").agg(F.transform(F.array_sort(F.collect_list(F.struct("spot.n", "m", "part"))), lambda s: s["part"]).alias("parts"))
+    single = F.regexp_replace(F.col("key.kind"), "^Multi", "")
+    name = F.when((F.size("parts") > 1) | F.col("key.kind").startswith("Multi"), F.concat(F.lit("Multi"), single)).otherwise(single)
+    out = whole.join(features.select(key.alias("key"), "tags"), "key")
+    return out.select("key.id", name.alias("kind"), "tags", F.struct(name.alias("type"), "parts").alias("geometry"))
+
+
 def rectangle(x: Column, y: Column, w: Column | float, h: Column | float) -> Column:
     """Rings of a rectangle, counter-clockwise."""
     corner = lambda i, j: F.struct((x + i * w).cast("double").alias("x"), (y + j * h).cast("double").alias("y"))
@@ -73,6 +162,46 @@ def built_up(points: DataFrame, polygons: DataFrame, key: str, polygon: str, dis
     return points.select(key).join(hit, key, "left").fillna(0, ["builtup"])
 
 
+def split_built_up(pieces: DataFrame, polygons: DataFrame, key: str, polygon: str, distance: float) -> DataFrame:
+    """(key, bit, x1, y1, x2, y2, builtup): road pieces (key, x1..y2) cut at the border of the polygons' buffer, each bit in or out.
+
+    The places where a piece is ``distance`` away from a polygon's edge are worked out for the edge's
+    two sides and ends; between two of them the middle tells. Neighbouring bits of one
+    kind are one. Pieces without length have no row.
+    """
+    side = 4 * distance
+    rows = pieces.select(F.col(key).alias("key"), *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2"))).where("x1 != x2 or y1 != y2")
+    edges = spatial.edges_of(polygons, polygon).select(*(F.col(c).cast("double").alias(f"e{c}") for c in ("x1", "y1", "x2", "y2")))
+    span = lambda p, n, pad: F.sequence(F.floor((F.least(f"{p}{n}1", f"{p}{n}2") - pad) / side), F.floor((F.greatest(f"{p}{n}1", f"{p}{n}2") + pad) / side))
+    binned = lambda d, p, pad: d.withColumn("bx", F.explode(span(p, "x", pad))).withColumn("by", F.explode(span(p, "y", pad)))
+    met = binned(rows, "", 0.0).join(binned(edges, "e", distance), ["bx", "by"])
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    ux, uy = F.col("ex2") - F.col("ex1"), F.col("ey2") - F.col("ey1")
+    length = F.hypot(ux, uy)
+    # Signed distance from the edge's line at the piece's start, and its growth along the piece.
+    start, growth = (ux * (F.col("y1") - F.col("ey1")) - uy * (F.col("x1") - F.col("ex1"))), ux * dy - uy * dx
+    places = [F.try_divide(s * distance * length - start, growth) for s in (1, -1)]
+    for n in ("1", "2"):
+        px, py = F.col("x1") - F.col(f"ex{n}"), F.col("y1") - F.col(f"ey{n}")
+        a, b, c = dx * dx + dy * dy, dx * px + dy * py, px * px + py * py - distance**2
+        root = F.when(b * b - a * c >= 0, F.sqrt(F.greatest(b * b - a * c, F.lit(0.0))))
+        places += [(-b + s * root) / a for s in (1, -1)]
+    inner = F.filter(F.array_compact(F.array(*places)), lambda t: (t > 1e-9) & (t < 1 - 1e-9))
+    at = met.select("key", F.explode(inner).alias("t")).groupBy("key").agg(F.collect_set(F.round("t", 9)).alias("ts"))
+    none = F.array().cast("array<double>")
+    cut = rows.join(at, "key", "left").withColumn("ts", F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.coalesce("ts", none)))))
+    bits = cut.select("*", F.posexplode(F.arrays_zip(F.slice("ts", F.lit(1), F.size("ts") - 1).alias("a"), F.slice("ts", F.lit(2), F.size("ts") - 1).alias("b"))).alias("bit", "s"))
+    bits = kept(bits.select("key", "bit", "x1", "y1", "x2", "y2", F.col("s.a").alias("a"), F.col("s.b").alias("b")))
+    mid = (F.col("a") + F.col("b")) / 2
+    flags = built_up(bits.select(F.struct("key", "bit").alias("spot"), (F.col("x1") + mid * dx).alias("x"), (F.col("y1") + mid * dy).alias("y")), polygons, "spot", polygon, distance)
+    told = bits.join(flags.select("spot.key", "spot.bit", "builtup"), ["key", "bit"])
+    order = W.partitionBy("key").orderBy("bit")
+    runs = told.withColumn("new", F.coalesce(F.lag("builtup").over(order) != F.col("builtup"), F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(order) - 1)
+    whole = runs.groupBy("key", "run", "builtup", "x1", "y1", "x2", "y2").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    on = lambda t, o, d: F.when(F.col(t) == 1, F.col(f"{o}2")).otherwise(F.col(f"{o}1") + F.col(t) * d)
+    return whole.select(F.col("key").alias(key), F.col("run").cast("int").alias("bit"), on("a", "x", dx).alias("x1"), on("a", "y", dy).alias("y1"), on("b", "x", dx).alias("x2"), on("b", "y", dy).alias("y2"), "builtup")
+
+
 def nearest_polygon(points: DataFrame, polygons: DataFrame, key: str, polygon: str, distance: float = 10.0) -> DataFrame:
     """(key, polygon, distance): the nearest polygon within ``distance`` of each point; inside is 0.
 
@@ -123,9 +252,6 @@ def coded(segments: DataFrame, land_use: DataFrame, segment: str, code: str, sid
 
     Of several such polygons the one of least code counts.
     """
-    fits = F.col(code).rlike("^(" + "|".join(inhabited) + ")")
-    lived_in = land_use.where(fits)
+    lived_in = land_use.where(any_prefix(F.col(code), inhabited)) if inhabited else land_use.limit(0)
     within = spatial.points_in_polygons(segments, lived_in, segment, "id", side).join(lived_in.select("id", code), "id")
     return segments.where(F.col("area") > least_area).select(segment, "area").join(within.groupBy(segment).agg(F.min(code).alias(code)), segment)
-
-

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import order_statistics, share_under
+
 
 def cell_of(x: Column, y: Column, x0: float, y0: float, dx: float, dy: float) -> tuple[Column, Column]:
     """Row and column of a coordinate."""
@@ -88,14 +90,14 @@ def terrain(cells: DataFrame, size: float) -> DataFrame:
 
 
 def value_percentiles(cells: DataFrame, samples: int = 1000) -> DataFrame:
-    """Share in per cent of breakpoints (at 0, 1/samples, ... of all cells) that lie under each value.
+    """``cells`` with percentile: the share of breakpoints (at 0, 1/samples, ... of all cells) that lie under each value.
 
-    The breakpoints are one row of ``samples`` numbers; distinct values are ranked once.
+    The breakpoints are exact order statistics, found by counting; they alone reach the driver. Null values have none.
     """
-    at = F.array(*(F.lit(k / samples) for k in range(samples)))
-    breaks = cells.where("value is not null").agg(F.percentile("value", at).alias("b"))
-    ranks = cells.where("value is not null").select("value").distinct().crossJoin(F.broadcast(breaks)).select(F.col("value").alias("__v"), (F.size(F.filter("b", lambda x: x < F.col("value"))) * 100.0 / samples).alias("percentile"))
-    return cells.join(ranks, F.col("value") == F.col("__v"), "left").drop("__v")
+    at = tuple(k / samples for k in range(samples))
+    found = order_statistics(cells.select(F.lit(0).alias("g"), "value"), "g", "value", at).get(0)
+    breaks = [found[q] for q in at] if found else [0.0]
+    return cells.withColumn("percentile", share_under(F.col("value").cast("double"), breaks))
 
 
 def validate(a: DataFrame, b: DataFrame, nodata: float | None = None) -> DataFrame:

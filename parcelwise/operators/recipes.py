@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import aggregate, raster, spatial
+from .network import kept
 
 
 def buildings(pieces: DataFrame, segment: str = "seg_id", size: str = "AREA", shape: str = "WAG", area: str = "piece_area") -> DataFrame:
@@ -42,10 +43,10 @@ def neighbourhood_land_use(cells: DataFrame, codes: list[str], sd: float, size:
 
 
 def terrain(dem: DataFrame, size: float, smoothing: float) -> DataFrame:
-    """(i, j, FFslope, FFwest, FFsouth, FFhperc) of a smoothed DEM; percentiles are of the DEM itself."""
-    smooth = raster.focal_median(dem, smoothing, size)
+    """(i, j, FFslope, FFwest, FFsouth, FFhperc) of a DEM smoothed by a median in a circle; cells at its edge have no slope."""
+    smooth = kept(raster.focal_median(dem, smoothing, size))
     t = raster.terrain(smooth, size).select("i", "j", F.col("slope").alias("FFslope"), F.col("westness").alias("FFwest"), F.col("southness").alias("FFsouth"))
-    h = raster.value_percentiles(dem).select("i", "j", F.col("percentile").alias("FFhperc"))
+    h = raster.value_percentiles(smooth).select("i", "j", F.col("percentile").alias("FFhperc"))
     return h.join(t, ["i", "j"], "left")
 
 

@@ -5,105 +5,74 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .spatial import shoelace
+from ..functions.geometry import polygon_area
+from ..functions.selectors import any_prefix
+from . import planar, spatial, subdivide
+from .network import kept
 
-
-def _inside(point: np.ndarray, ring: np.ndarray) -> bool:
-    nxt = np.roll(ring, -1, 0)
-    on = (np.minimum(ring[:, 1], nxt[:, 1]) < point[1]) & (point[1] <= np.maximum(ring[:, 1], nxt[:, 1]))
-    a, b = ring[on], nxt[on]
-    at = a[:, 0] + (point[1] - a[:, 1]) / (b[:, 1] - a[:, 1]) * (b[:, 0] - a[:, 0])
-    return bool((at > point[0]).sum() % 2)
-
-
-def _crossings(ring: np.ndarray, path: np.ndarray) -> list[tuple[float, float, np.ndarray]]:
-    """(place on the path, place on the ring, point) of each proper crossing, along the path."""
-    p, d = ring, np.roll(ring, -1, 0) - ring
-    found = []
-    for i in range(len(path) - 1):
-        a, e = path[i], path[i + 1] - path[i]
-        det = e[0] * d[:, 1] - e[1] * d[:, 0]
-        safe = np.where(det == 0, 1.0, det)
-        w = p - a
-        t, u = (w[:, 0] * d[:, 1] - w[:, 1] * d[:, 0]) / safe, (w[:, 0] * e[1] - w[:, 1] * e[0]) / safe
-        found += [(i + t[k], k + u[k], a + t[k] * e) for k in np.flatnonzero((det != 0) & (t > 0) & (t < 1) & (u > 1e-12) & (u < 1 - 1e-12))]
-    return sorted(found, key=lambda c: c[0])
-
-
-def split(ring: np.ndarray, path: np.ndarray) -> list[np.ndarray] | None:
-    """The ring in two, along the first stretch of the path that runs through it from edge to edge; None if there's none."""
-    met = _crossings(ring, path)
-    for (t1, u1, a), (t2, u2, b) in zip(met, met[1:], strict=False):
-        between = [path[i] for i in range(int(t1) + 1, int(t2) + 1)]
-        way = np.array([a, *between, b])
-        if not _inside((way[0] + way[1]) / 2, ring):
-            continue
-        n = len(ring)
-
-        def walk(u: float, v: float, n: int = n) -> list[np.ndarray]:
-            """Vertices of the ring after place u and before place v."""
-            first, last = int(u) + 1, int(v) + (n if v < u else 0)
-            return [ring[i % n] for i in range(first, last + 1)]  # noqa: B023
-
-        return [np.array([*way, *walk(u2, u1)]), np.array([*way[::-1], *walk(u1, u2)])]
-    return None
-
-
-def cut_by(ring: np.ndarray, paths: list[np.ndarray]) -> list[np.ndarray]:
-    """Parts of a ring between the paths. A path that ends inside cuts nothing with that end."""
-    todo, done = [(ring, 0)], []
-    while todo:
-        part, k = todo.pop()
-        while k < len(paths) and (two := split(part, paths[k])) is None:
-            k += 1
-        if k == len(paths):
-            done.append(part)
-        else:
-            todo += [(r, k) for r in two]
-    return done
+RINGS = "array<array<struct<x double, y double>>>"
 
 
 def between_barriers(polygons: DataFrame, barriers: DataFrame, key: str, side: float) -> DataFrame:
-    """(key, part, area, ring): polygons (key, rings) cut by the barriers (id, pts) that cross them.
-
-    A barrier meets a polygon by the square bins that its edges and the polygon's box stand in;
-    a task cuts a polygon at a time. Holes are left out of account: the area is the outer ring's.
-    Polygons that no barrier crosses stay whole; null or empty rings give none.
+    """(key, part, area, rings): polygons (key, rings) cut by barriers (id, pts); rings are the outer one and holes.
+
+    Edges, not lines, are cut where they cross, touch or overlap, by joins on square bins. Pieces
+    of barriers go to the polygon that their middle lies in, and the faces of a polygon's edges and
+    pieces are its parts: a task holds one polygon at a time. Barriers may meet each other,
+    run along borders or through corners; ends that lead nowhere cut nothing, closed barriers cut
+    islands. Polygons that no barrier meets stay as they are. Null or empty rings give none, rows
+    with a null key neither; repeated rows count once, polygons of one key are one.
     """
-    span = lambda a, b: F.sequence(F.floor(a / side), F.floor(b / side))
-    outer = F.element_at("rings", 1)
-    c = lambda f, a: f(F.transform(outer, lambda p: p[a]))
-    whole = polygons.where((F.size("rings") > 0) & (F.size(F.try_element_at("rings", F.lit(1))) > 2))
-    boxes = whole.select(key, F.explode(span(c(F.array_min, "x"), c(F.array_max, "x"))).alias("bx"), "rings").select(key, "bx", F.explode(span(c(F.array_min, "y"), c(F.array_max, "y"))).alias("by"))
-    steps = barriers.select(F.col("id").alias("barrier"), F.explode(F.arrays_zip(F.slice("pts", F.lit(1), F.size("pts") - 1).alias("p"), F.slice("pts", F.lit(2), F.size("pts") - 1).alias("q"))).alias("e"))
-    low, high = (lambda a: F.least(f"e.p.{a}", f"e.q.{a}")), lambda a: F.greatest(f"e.p.{a}", f"e.q.{a}")
-    reach = steps.select("barrier", F.explode(span(low("x"), high("x"))).alias("bx"), "e").select("barrier", "bx", F.explode(span(low("y"), high("y"))).alias("by")).distinct()
-    met = boxes.join(reach, ["bx", "by"]).select(key, "barrier").distinct().join(barriers.select(F.col("id").alias("barrier"), "pts"), "barrier")
-    lines = met.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("barrier", "pts"))).alias("lines"))
+    whole = polygons.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.filter("rings", lambda r: F.size(r) > 2).alias("rings")).where(F.size("rings") > 0)
+    border = planar.rounded(spatial.edges_of(whole.withColumn("rh", F.xxhash64("rings")), "key", "rings", "rh")).select(F.struct("key", "rh", "r", "i").alias("eid"), "x1", "y1", "x2", "y2")
+    steps = barriers.select(F.posexplode(F.arrays_zip(F.slice("pts", F.lit(1), F.size("pts") - 1).alias("p"), F.slice("pts", F.lit(2), F.size("pts") - 1).alias("q"))).alias("i", "e"), F.struct(F.col("id").alias("id"), F.xxhash64("pts").alias("h")).alias("line")).where("e.p is not null")
+    walls = planar.rounded(steps.select(F.struct("line", "i").alias("fid"), F.col("e.p.x").alias("x1"), F.col("e.p.y").alias("y1"), F.col("e.q.x").alias("x2"), F.col("e.q.y").alias("y2")))
+    walls = kept(walls.dropDuplicates(["fid"]))
+    met = kept(planar.meetings(border, walls, side))
+    among = planar.meetings(walls.withColumnRenamed("fid", "eid"), walls, side).where("eid != fid").select("eid", "px", "py")
+    cuts = met.select(F.col("fid").alias("eid"), "px", "py").unionByName(among)
+    parts = kept(planar.pieces(walls.withColumnRenamed("fid", "eid"), cuts).withColumn("piece", F.struct("eid", "part")))
+    middles = parts.select("piece", ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"))
+    within = spatial.points_in_polygons(middles, whole, "piece", "key", side)
+    inner = kept(parts.join(within, "piece").select("key", "x1", "y1", "x2", "y2"))
+    touched = inner.select("key").distinct()
+    own = border.join(touched, F.col("eid.key") == F.col("key"), "left_semi")
+    outline = planar.pieces(own, met.select("eid", "px", "py").join(touched, F.col("eid.key") == F.col("key"), "left_semi")).select(F.col("eid.key").alias("key"), "x1", "y1", "x2", "y2")
+    edges = outline.withColumn("border", F.lit(True)).unionByName(inner.withColumn("border", F.lit(False)))
     kind = polygons.schema[key].dataType.simpleString()
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for k, r, paths in zip(pdf["k"], pdf["r"], pdf["lines"], strict=True):
-                ring = np.array([[p["x"], p["y"]] for p in r], float)
-                ring = ring[:-1] if (ring[0] == ring[-1]).all() else ring
-                paths = [] if paths is None else [np.array([[p["x"], p["y"]] for p in q["pts"]], float) for q in paths]
-                for i, part in enumerate(cut_by(ring, paths)):
-                    out.append((k, i, abs(shoelace(part)), [{"x": x, "y": y} for x, y in part.tolist()]))
-            yield pd.DataFrame(out, columns=[key, "part", "area", "ring"])
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        e = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)
+        # Equal rows of a table repeat all their edges; one of each is the outline.
+        ring = np.unique(e[pdf["border"].to_numpy(bool)], axis=0)
+        found = planar.faces(e)
+        spots = np.array([planar.inner_point(p) for p in found]).reshape(-1, 2)
+        own = sorted((p for p, yes in zip(found, planar.inside(spots, ring), strict=True) if yes), key=lambda p: p[0].min(0).tolist())
+        rows = [(pdf["key"].iloc[0], i, planar.area_of(p), [[{"x": x, "y": y} for x, y in r.tolist()] for r in p]) for i, p in enumerate(own)]
+        return pd.DataFrame(rows, columns=["key", "part", "area", "rings"])
 
-    rows = whole.select(F.col(key).alias("k"), outer.alias("r")).join(lines.withColumnRenamed(key, "k"), "k", "left")
-    return rows.select("k", "r", "lines").mapInPandas(run, f"{key} {kind}, part int, area double, ring array<struct<x double, y double>>")
+    split = edges.groupBy("key").applyInPandas(cut, f"key {kind}, part int, area double, rings {RINGS}")
+    left = whole.join(touched, "key", "left_anti").dropDuplicates(["key"])
+    rest = left.select("key", F.lit(0).alias("part"), polygon_area(F.array("rings")).alias("area"), F.transform("rings", lambda r: F.transform(r, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))).alias("rings"))
+    return split.unionByName(rest).withColumnRenamed("key", key)
 
 
-def create_segments(land_use: DataFrame, barriers: DataFrame, side: float, inhabited: list[str], least_area: float, key: str = "id", code: str = "code") -> DataFrame:
-    """(id, part, code, area, ring): inhabited land use (id, code, rings) cut by barriers, over ``least_area``.
+def create_segments(land_use: DataFrame, barriers: DataFrame, side: float, inhabited: list[str], least_area: float, key: str = "id", code: str = "code", most_area: float | None = None, most_wagner: float | None = None) -> DataFrame:
+    """(id, part, code, area, rings): inhabited land use (id, code, rings) cut by barriers, parts over ``least_area``.
 
-    A part keeps the code of the polygon that it was cut from. inhabited: prefixes of codes.
+    A part keeps the code of the polygon that it was cut from. inhabited: prefixes of codes; an
+    empty list keeps nothing. With ``most_area`` parts are subdivided below it, and below
+    ``most_wagner`` where that is given, before small ones go.
     """
-    lived_in = land_use.where(F.col(code).rlike("^(" + "|".join(inhabited) + ")"))
-    parts = between_barriers(lived_in, barriers, key, side).where(F.col("area") > least_area)
-    return parts.join(lived_in.select(key, code), key).select(key, "part", code, "area", "ring")
+    lived_in = land_use.where(any_prefix(F.col(code), inhabited)) if inhabited else land_use.limit(0)
+    parts = between_barriers(lived_in, barriers, key, side)
+    if most_area is not None:
+        one = parts.withColumn("whole", F.struct(key, "part"))
+        small = subdivide.subdivide(one, "whole", "rings", most_area, float("inf") if most_wagner is None else most_wagner)
+        rank = F.row_number().over(W.partitionBy(key).orderBy("cut", "part")) - 1
+        parts = small.select(F.col(f"whole.{key}").alias(key), F.col("whole.part").alias("cut"), "part", "area", "rings").select(key, rank.alias("part"), "area", "rings")
+    codes = lived_in.groupBy(key).agg(F.min(code).alias(code))
+    return parts.where(F.col("area") > least_area).join(codes, key).select(key, "part", code, "area", "rings")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geometry import crosses
+from ..functions.geometry import crosses, signed_area
 
 
 def bin_of(x: Column, side: float) -> Column:
@@ -51,11 +51,11 @@ def nearest(left: DataFrame, right: DataFrame, radius: float, key: str, other: s
     return best.select(key, F.col("b.o").alias(other), F.col("b.distance").alias("distance"))
 
 
-def edges_of(polygons: DataFrame, key: str, rings: str = "rings") -> DataFrame:
-    """(key, x1, y1, x2, y2) of all rings, holes too."""
-    points = polygons.select(key, F.posexplode(rings).alias("r", "ring")).select(key, "r", F.size("ring").alias("n"), "ring", F.posexplode("ring").alias("i", "p"))
+def edges_of(polygons: DataFrame, key: str, rings: str = "rings", *more: str) -> DataFrame:
+    """(key, more, r, i, x1, y1, x2, y2) of all rings, holes too; r and i are places of the ring and of the edge's first end."""
+    points = polygons.select(key, *more, F.posexplode(rings).alias("r", "ring")).select(key, *more, "r", F.size("ring").alias("n"), "ring", F.posexplode("ring").alias("i", "p"))
     q = F.element_at("ring", F.when(F.col("i") == F.col("n") - 1, 1).otherwise(F.col("i") + 2))
-    return points.select(key, F.col("p.x").alias("x1"), F.col("p.y").alias("y1"), q["x"].alias("x2"), q["y"].alias("y2"))
+    return points.select(key, *more, "r", "i", F.col("p.x").alias("x1"), F.col("p.y").alias("y1"), q["x"].alias("x2"), q["y"].alias("y2"))
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, key: str, other: str, side: float, x: str = "x", y: str = "y", rings: str = "rings") -> DataFrame:
@@ -63,19 +63,23 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, key: str, other:
 
     Points meet polygons by the square cells that a polygon's box covers, then only the edges of
     that polygon in the point's band of y. Rings aren't copied to cells, and holes toggle by
-    themselves. Null or empty rings hold nothing; rows with the same keys must be equal.
+    themselves. Null or empty rings hold nothing. Repeated rows count once; rows of one key that
+    differ are points or polygons of their own, and a pair of keys has one row if any of them meet.
     """
     lo, hi = (lambda c, f: f(F.transform("pts", lambda p: p[c]))), lambda v: F.floor(v / side)
-    boxes = polygons.select(F.col(other).alias("o"), F.flatten(rings).alias("pts")).where(F.size("pts") > 0)
-    boxes = boxes.select("o", lo("x", F.array_min).alias("x1"), lo("x", F.array_max).alias("x2"), lo("y", F.array_min).alias("y1"), lo("y", F.array_max).alias("y2"))
+    shapes = polygons.select(F.col(other).alias("o"), F.xxhash64(rings).alias("oh"), F.col(rings).alias("rings"))
+    boxes = shapes.select("o", "oh", F.flatten("rings").alias("pts")).where(F.size("pts") > 0)
+    boxes = boxes.select("o", "oh", lo("x", F.array_min).alias("x1"), lo("x", F.array_max).alias("x2"), lo("y", F.array_min).alias("y1"), lo("y", F.array_max).alias("y2"))
     cells = boxes.withColumn("bx", F.explode(F.sequence(hi(F.col("x1")), hi(F.col("x2"))))).withColumn("by", F.explode(F.sequence(hi(F.col("y1")), hi(F.col("y2")))))
     spots = points.select(F.col(key).alias("k"), F.col(x).alias("px"), F.col(y).alias("py")).withColumns({"bx": bin_of(F.col("px"), side), "by": bin_of(F.col("py"), side)})
-    near = spots.join(cells, ["bx", "by"]).where(F.col("px").between(F.col("x1"), F.col("x2")) & F.col("py").between(F.col("y1"), F.col("y2"))).select("k", "px", "py", "o", "by")
-    edges = edges_of(polygons, other, rings).where("y1 != y2").withColumnRenamed(other, "o")
+    near = spots.join(cells, ["bx", "by"]).where(F.col("px").between(F.col("x1"), F.col("x2")) & F.col("py").between(F.col("y1"), F.col("y2"))).select("k", "px", "py", "o", "oh", "by")
+    edges = edges_of(shapes, "o", "rings", "oh").where("y1 != y2")
     edges = edges.withColumn("by", F.explode(F.sequence(F.floor(F.least("y1", "y2") / side), F.floor(F.greatest("y1", "y2") / side))))
-    hits = near.join(edges, ["o", "by"]).where(crosses(F.col("px"), F.col("py"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
-    inside = hits.groupBy("k", "o").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1")
-    return inside.select(F.col("k").alias(key), F.col("o").alias(other))
+    hits = near.join(edges, ["o", "oh", "by"]).where(crosses(F.col("px"), F.col("py"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
+    # An edge counts once for a point, however often either row stands in its table.
+    once = hits.groupBy("k", "px", "py", "o", "oh", "r", "i").agg(F.lit(1).alias("n"))
+    inside = once.groupBy("k", "px", "py", "o", "oh").agg(F.count("n").alias("n")).where("n % 2 = 1")
+    return inside.select(F.col("k").alias(key), F.col("o").alias(other)).distinct()
 
 
 def touching(left: DataFrame, right: DataFrame, pairs: DataFrame, key: str, anti: bool = False) -> DataFrame:
@@ -86,97 +90,73 @@ def touching(left: DataFrame, right: DataFrame, pairs: DataFrame, key: str, anti
 # --- overlay ----------------------------------------------------------------------
 
 
-def _clip(subject: np.ndarray, convex: np.ndarray) -> np.ndarray:
-    """Part of a convex polygon inside a convex one, both counter-clockwise."""
-    out = subject
-    for (ax, ay), (bx, by) in zip(convex, np.roll(convex, -1, axis=0), strict=True):
-        if not len(out):
-            break
-        d = (bx - ax) * (out[:, 1] - ay) - (by - ay) * (out[:, 0] - ax)
-        kept = []
-        for i in range(len(out)):
-            j = (i + 1) % len(out)
-            if d[i] >= 0:
-                kept.append(out[i])
-            if d[i] * d[j] < 0:
-                kept.append(out[i] + (out[j] - out[i]) * d[i] / (d[i] - d[j]))
-        out = np.array(kept)
-    return out
-
-
-def shoelace(ring: np.ndarray) -> float:
-    x, y = ring[:, 0], ring[:, 1]
-    return float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum() / 2)
-
-
-def triangles(ring: np.ndarray) -> list[np.ndarray]:
-    """Ears of a simple ring, counter-clockwise."""
-    pts = [p for i, p in enumerate(ring) if i == 0 or not np.allclose(p, ring[i - 1])]
-    if len(pts) > 1 and np.allclose(pts[0], pts[-1]):
-        pts = pts[:-1]
-    if len(pts) < 3:
-        return []
-    if shoelace(np.array(pts)) < 0:
-        pts = pts[::-1]
-    cross = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
-    out = []
-    while len(pts) > 3:
-        for i in range(len(pts)):
-            a, b, c = pts[i - 1], pts[i], pts[(i + 1) % len(pts)]
-            if cross(a, b, c) <= 0:
-                continue
-            rest = [p for p in pts if p is not a and p is not b and p is not c]
-            if not any(cross(a, b, p) >= 0 and cross(b, c, p) >= 0 and cross(c, a, p) >= 0 for p in rest):
-                out.append(np.array([a, b, c]))
-                del pts[i]
-                break
-        else:  # only flat corners are left
-            i = min(range(len(pts)), key=lambda i: abs(cross(pts[i - 1], pts[i], pts[(i + 1) % len(pts)])))
-            del pts[i]
-    if abs(cross(*pts)) > 0:
-        out.append(np.array(pts if cross(*pts) > 0 else pts[::-1]))
-    return out
-
-
-def shared_area(a: list[np.ndarray], b: list[np.ndarray]) -> float:
-    """Area that two polygons (rings, the first outer, then holes) share."""
-    total = 0.0
-    for i, ra in enumerate(a):
-        for j, rb in enumerate(b):
-            sign = (1 if i == 0 else -1) * (1 if j == 0 else -1)
-            for t in triangles(ra):
-                lo, hi = t.min(0), t.max(0)
-                for u in triangles(rb):
-                    if (u.min(0) < hi).all() and (u.max(0) > lo).all():
-                        c = _clip(t, u)
-                        if len(c) > 2:
-                            total += sign * abs(shoelace(c))
-    return total
+def triangle_areas(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Areas that pairs of counter-clockwise triangles (n, 3, 2) share: one cut by the other's sides, all pairs at once."""
+    poly = a - a[:, :1]
+    knife = b - a[:, :1]
+    alive = np.ones(len(a), bool)
+    for k in range(3):
+        p, v = knife[:, k, None], (knife[:, (k + 1) % 3] - knife[:, k])[:, None]
+        d = v[..., 0] * (poly[..., 1] - p[..., 1]) - v[..., 1] * (poly[..., 0] - p[..., 0])
+        after, dn = np.roll(poly, -1, 1), np.roll(d, -1, 1)
+        crossed = d * dn < 0
+        share = np.where(crossed, d / np.where(crossed, d - dn, 1.0), 0.0)
+        # Slots: each corner, then the crossing after it; empty slots repeat the corner before, which adds no area.
+        points = np.stack([poly, poly + share[..., None] * (after - poly)], 2).reshape(len(a), -1, 2)
+        full = np.stack([d >= 0, crossed], 2).reshape(len(a), -1)
+        alive &= full.any(1)
+        at = np.maximum.accumulate(np.where(full, np.arange(full.shape[1]), -1), 1)
+        last = at[:, -1:]
+        poly = np.take_along_axis(points, np.maximum(np.where(at < 0, last, at), 0)[..., None], 1)
+    x, y = poly[..., 0], poly[..., 1]
+    area = (x * np.roll(y, -1, 1) - np.roll(x, -1, 1) * y).sum(1) / 2
+    return np.where(alive, np.maximum(area, 0.0), 0.0)
+
+
+def triangles(polygons: DataFrame, key: str, rings: str = "rings") -> DataFrame:
+    """(key, t, sign): triangles t (x1, y1, x2, y2, x3, y3), counter-clockwise, whose areas by sign add up to each polygon.
+
+    Each ring is a fan around its first corner; triangles that the ring runs around the other
+    way, and those of holes, have sign -1. That holds for concave rings too, with no search for ears.
+    """
+    fans = polygons.select(key, F.posexplode(rings).alias("r", "ring")).where(F.size("ring") > 2)
+    fans = fans.select(key, F.when((F.col("r") == 0) == (signed_area(F.col("ring")) > 0), 1).otherwise(-1).alias("turn"), "ring", F.explode(F.sequence(F.lit(2), F.size("ring") - 1)).alias("i"))
+    p, q, w = (F.element_at("ring", k) for k in (F.lit(1), F.col("i"), F.col("i") + 1))
+    x = lambda c: c["x"].cast("double")
+    y = lambda c: c["y"].cast("double")
+    cross = (x(q) - x(p)) * (y(w) - y(p)) - (y(q) - y(p)) * (x(w) - x(p))
+    rows = fans.select(key, "turn", cross.alias("cross"), F.array(x(p), y(p), x(q), y(q), x(w), y(w)).alias("t")).where("cross != 0")
+    flipped = F.array(*(F.col("t")[k] for k in (0, 1, 4, 5, 2, 3)))
+    return rows.select(key, F.when(F.col("cross") > 0, F.col("t")).otherwise(flipped).alias("t"), F.when(F.col("cross") > 0, F.col("turn")).otherwise(-F.col("turn")).alias("sign"))
 
 
 def overlay(left: DataFrame, right: DataFrame, left_id: str, right_id: str, side: float, rings: str = "rings") -> DataFrame:
-    """(left_id, right_id, piece_area): intersect overlay; only areas and ids leave it.
+    """(left_id, right_id, piece_area): intersect overlay by areas; see ``parcels.clipped_polygons`` for shapes.
 
-    Rings are ``array<array<struct<x, y>>>``. Pairs come from bins of bounding boxes.
+    Rings are ``array<array<struct<x, y>>>``. Polygons become triangles once, triangles meet in
+    bins, and a pair's shared areas are summed by sign where they are made. Repeated rows count once;
+    rows of one id that differ are parts of one polygon. Null and empty rings share nothing.
     """
 
-    def boxed(df: DataFrame, k: str, tag: str) -> DataFrame:
-        pts = F.flatten(rings)
-        c = lambda f, a: f(F.transform(pts, lambda p: p[a]))
-        box = df.select(F.col(k).alias(f"{tag}_id"), F.col(rings).alias(f"{tag}_rings"), c(F.array_min, "x").alias(f"{tag}x0"), c(F.array_max, "x").alias(f"{tag}x1"), c(F.array_min, "y").alias(f"{tag}y0"), c(F.array_max, "y").alias(f"{tag}y1"))
-        span = lambda a: F.sequence(F.floor(F.col(f"{tag}{a}0") / side), F.floor(F.col(f"{tag}{a}1") / side))
-        return box.withColumn("bx", F.explode(span("x"))).withColumn("by", F.explode(span("y")))
+    def binned(df: DataFrame, k: str, tag: str) -> DataFrame:
+        once = df.select(F.col(k).alias(f"{tag}_id"), F.col(rings).alias("rings"), F.xxhash64(rings).alias("h")).dropDuplicates([f"{tag}_id", "h"])
+        t = triangles(once, f"{tag}_id").withColumnRenamed("t", tag).withColumnRenamed("sign", f"{tag}_sign")
+        ends = lambda f, o: f(*(F.col(tag)[o + 2 * i] for i in range(3)))
+        t = t.withColumns({f"{tag}{n}{m}": ends(f, o) for n, o in (("x", 0), ("y", 1)) for m, f in ((0, F.least), (1, F.greatest))})
+        span = lambda n: F.sequence(F.floor(F.col(f"{tag}{n}0") / side), F.floor(F.col(f"{tag}{n}1") / side))
+        return t.withColumn("bx", F.explode(span("x"))).withColumn("by", F.explode(span("y")))
 
-    pairs = boxed(left, left_id, "a").join(boxed(right, right_id, "b"), ["bx", "by"]).where("ax0 < bx1 and bx0 < ax1 and ay0 < by1 and by0 < ay1")
+    pairs = binned(left, left_id, "a").join(binned(right, right_id, "b"), ["bx", "by"]).where("ax0 < bx1 and bx0 < ax1 and ay0 < by1 and by0 < ay1")
     pairs = pairs.where((F.col("bx") == F.floor(F.greatest("ax0", "bx0") / side)) & (F.col("by") == F.floor(F.greatest("ay0", "by0") / side)))
 
     @F.pandas_udf("double")
     def area(a: pd.Series, b: pd.Series) -> pd.Series:
-        rings_of = lambda v: [np.array([[p["x"], p["y"]] for p in r], float) for r in v]
-        return pd.Series([shared_area(rings_of(x), rings_of(y)) for x, y in zip(a, b, strict=True)], dtype=float)
+        t, u = (np.stack(s.to_list()).reshape(-1, 3, 2) if len(s) else np.zeros((0, 3, 2)) for s in (a, b))
+        return pd.Series(triangle_areas(t, u))
 
-    out = pairs.select(F.col("a_id").alias(left_id), F.col("b_id").alias(right_id), area("a_rings", "b_rings").alias("piece_area"))
-    return out.where("piece_area > 0")
+    each = pairs.select("a_id", "b_id", (area("a", "b") * F.col("a_sign") * F.col("b_sign")).alias("s"))
+    sums = each.groupBy(F.col("a_id").alias(left_id), F.col("b_id").alias(right_id)).agg(F.sum("s").alias("piece_area"))
+    return sums.where("piece_area > 1e-9")
 
 
 def identity(left: DataFrame, pieces: DataFrame, left_id: str, right_id: str, area: str) -> DataFrame:

@@ -9,11 +9,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spatial import shoelace
+from . import planar
+from .planar import ring_area
+
+#: Corners and places on edges that a dividing line may join.
+CORNERS, PLACES = 96, 32
+#: Least share of a half, tried from the first on.
+SHARES = (0.25, 0.1, 0.02, 0.0)
 
 
 def halves(ring: np.ndarray) -> list[np.ndarray]:
-    """A ring cut across the middle of the longer side of its box, by clipping both half-planes."""
+    """A convex ring cut across the middle of the longer side of its box, by clipping both half-planes."""
     lo, hi = ring.min(0), ring.max(0)
     axis = int(hi[1] - lo[1] > hi[0] - lo[0])
     at = (lo[axis] + hi[axis]) / 2
@@ -33,71 +39,196 @@ def halves(ring: np.ndarray) -> list[np.ndarray]:
 
 
 def wagner(ring: np.ndarray) -> float:
-    area = abs(shoelace(ring))
+    area = abs(ring_area(ring))
     length = np.hypot(*(np.roll(ring, -1, 0) - ring).T).sum()
     return length / (2 * math.sqrt(math.pi * area)) if area > 1e-6 else 0.0
 
 
+def _turns(ring: np.ndarray) -> np.ndarray:
+    """Positive at corners that turn left."""
+    a, b = ring - np.roll(ring, 1, 0), np.roll(ring, -1, 0) - ring
+    return a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0]
+
+
+def simplified(ring: np.ndarray, shortest: float = 0.0) -> np.ndarray:
+    """The ring without corners on a straight line and edges up to ``shortest``; three corners stay at least."""
+    while len(ring) > 3:
+        step = np.hypot(*(np.roll(ring, -1, 0) - ring).T)
+        gone = (np.abs(_turns(ring)) <= 1e-9 * np.maximum(step * np.roll(step, 1), 1e-12)) | (step <= shortest)
+        if not gone.any():
+            break
+        # Not two neighbours at once: the second may matter once the first has gone.
+        first = gone & ~np.roll(gone, 1)
+        keep = ~(first if first.any() else gone & (np.arange(len(gone)) % 2 == 0))
+        if keep.sum() < 3:
+            break
+        ring = ring[keep]
+    return ring
+
+
+def _clear(ring: np.ndarray, a: np.ndarray, b: np.ndarray) -> bool:
+    """The open line from a to b meets no edge of the ring."""
+    c, d = ring, np.roll(ring, -1, 0)
+    cross = lambda u, v: u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]
+    a1, a2, b1, b2 = cross(d - c, a - c), cross(d - c, b - c), cross(b - a, c - a), cross(b - a, d - a)
+    if ((a1 * a2 < 0) & (b1 * b2 < 0)).any():
+        return False
+    t = ((c - a) * (b - a)).sum(1) / max(((b - a) ** 2).sum(), 1e-300)
+    return not ((np.abs(b1) <= 1e-9 * max(((b - a) ** 2).sum(), 1e-300)) & (t > 1e-9) & (t < 1 - 1e-9)).any()
+
+
+def _in_cone(ring: np.ndarray, i: int, q: np.ndarray) -> bool:
+    """The way from corner i to q starts inside a counter-clockwise ring."""
+    p, before, after = ring[i], ring[i - 1], ring[(i + 1) % len(ring)]
+    left = lambda u, v, w: (v[0] - u[0]) * (w[1] - u[1]) - (v[1] - u[1]) * (w[0] - u[0])
+    if left(before, p, after) > 0:
+        return left(p, q, before) > 0 and left(p, after, q) > 0
+    return not (left(p, q, after) >= 0 and left(p, before, q) >= 0)
+
+
+def bridged(rings: list[np.ndarray]) -> np.ndarray:
+    """One ring of a polygon with holes: each hole is joined to the nearest corner of the ring that is in sight."""
+    ring = rings[0] if ring_area(rings[0]) > 0 else rings[0][::-1]
+    holes = [h[::-1] if ring_area(h) > 0 else h for h in rings[1:]]
+    while holes:
+        gaps = [np.hypot(*(ring[:, None] - h[None]).transpose(2, 0, 1)) for h in holes]
+        k = min(range(len(holes)), key=lambda i: gaps[i].min())
+        hole, gap = holes[k], gaps[k]
+        others = [h for i, h in enumerate(holes) if i != k]
+        best = None
+        for at in np.argsort(gap, axis=None):
+            i, j = divmod(int(at), len(hole))
+            a, b = ring[i], hole[j]
+            if _in_cone(ring, i, b) and all(_clear(r, a, b) for r in (ring, hole, *others)):
+                best = (i, j)
+                break
+        i, j = best or divmod(int(gap.argmin()), len(hole))
+        ring = np.concatenate([ring[: i + 1], np.roll(hole, -j, 0), hole[j : j + 1], ring[i:]])
+        holes.pop(k)
+    return ring
+
+
+def parted(ring: np.ndarray) -> list[np.ndarray] | None:
+    """A counter-clockwise ring in two along a short inner line with near-equal halves; None if no line is found.
+
+    Corners that turn right come first as ends, then other corners and places on long edges.
+    """
+    step = np.hypot(*(np.roll(ring, -1, 0) - ring).T)
+    total = step.sum()
+    n = 2 * np.ceil(step * PLACES / (2 * total)).astype(int)
+    n[step < total / PLACES] = 1
+    owner = np.repeat(np.arange(len(ring)), n)
+    share = np.concatenate([np.arange(k) / k for k in n])
+    pts = ring[owner] + share[:, None] * (np.roll(ring, -1, 0) - ring)[owner]
+    corner = share == 0
+    turn = _turns(pts)
+    rank = np.where(corner & (turn < 0), 0, np.where(corner, 1, 2))
+    if len(pts) > CORNERS + PLACES:
+        size = np.abs(turn)
+        order = np.lexsort((-size, rank))
+        chosen = np.sort(order[: CORNERS + PLACES])
+    else:
+        chosen = np.arange(len(pts))
+    x, y = (pts - pts[0]).T
+    run = np.concatenate([[0.0], np.cumsum(x * np.roll(y, -1) - np.roll(x, -1) * y)]) / 2
+    whole = run[-1]
+    i, j = (chosen[k] for k in np.triu_indices(len(chosen), 1))
+    cut = run[j] - run[i] + (x[j] * y[i] - x[i] * y[j]) / 2
+    part = np.minimum(cut, whole - cut) / whole
+    length = np.hypot(*(pts[j] - pts[i]).T)
+    ok = (part > 1e-9) & (length > 0)
+    cost = np.where(ok, length / np.where(ok, part, 1.0) * (1 + 0.1 * (rank[i] + rank[j])), np.inf)
+    for least in SHARES:
+        fit = np.flatnonzero(ok & (part > least))
+        for k in fit[np.argsort(cost[fit], kind="stable")]:
+            a, b = int(i[k]), int(j[k])
+            if _in_cone(pts, a, pts[b]) and _in_cone(pts, b, pts[a]) and _clear(ring, pts[a], pts[b]):
+                return [pts[a : b + 1], np.concatenate([pts[b:], pts[: a + 1]])]
+    return None
+
+
 def parts_of(ring: np.ndarray, most_area: float, most_wagner: float, least_area: float) -> list[np.ndarray]:
-    todo, done = [ring], []
+    """Rings that cover ``ring``: under ``most_area`` and, from ``least_area`` on, under ``most_wagner`` if cuts bring it down."""
+    todo, done = [simplified(ring if ring_area(ring) > 0 else ring[::-1])], []
     while todo:
         r = todo.pop()
-        area = abs(shoelace(r))
-        if area < most_area and (area < least_area or wagner(r) < most_wagner) or area <= 0:
-            done.append(r)
+        area, w = abs(ring_area(r)), None
+        if area <= 0:
             continue
-        two = halves(r)
-        if len(two) < 2:
+        if area < most_area:
+            w = wagner(r)
+            if area < least_area or w < most_wagner:
+                done.append(r)
+                continue
+        flat = (_turns(r) >= 0).all()
+        two = [t if flat else simplified(t) for t in (halves(r) if flat else parted(r)) or [] if abs(ring_area(t)) > 0]
+        if len(two) < 2 or w is not None and max(map(wagner, two)) >= w:
             done.append(r)
         else:
             todo += two
-    return [r for r in done if abs(shoelace(r)) > 0]
+    return done
 
 
 def interior(ring: np.ndarray) -> tuple[float, float]:
     """The centroid if it lies inside, else the middle of the widest span on a scan line."""
-    x, y = ring[:, 0], ring[:, 1]
-    nx, ny = np.roll(x, -1), np.roll(y, -1)
-    c = x * ny - nx * y
+    return interior_of([ring])
+
+
+def interior_of(polygon: list[np.ndarray]) -> tuple[float, float]:
+    """``interior`` of a polygon with holes."""
+    edges = planar.edges_of(polygon)
+    x, y = (polygon[0] - polygon[0][0]).T
+    c = x * np.roll(y, -1) - np.roll(x, -1) * y
     area = c.sum() / 2
     if area:
-        cx, cy = ((x + nx) * c).sum() / (6 * area), ((y + ny) * c).sum() / (6 * area)
-    else:
-        cx, cy = x.mean(), y.mean()
+        centre = polygon[0][0] + np.array([((x + np.roll(x, -1)) * c).sum(), ((y + np.roll(y, -1)) * c).sum()]) / (6 * area)
+        if planar.inside(centre[None], edges)[0]:
+            return float(centre[0]), float(centre[1])
+    return planar.inner_point(polygon)
+
+
+def unbridged(ring: np.ndarray) -> list[list[np.ndarray]]:
+    """The polygons, with holes, that a ring with joints covers: edges with it on both sides go."""
+    edges = planar.edges_of([ring])
+    found = planar.faces(planar.cut_edges(edges))
+    spots = np.array([planar.inner_point(p) for p in found]).reshape(-1, 2)
+    return [p for p, yes in zip(found, planar.inside(spots, edges), strict=True) if yes]
 
-    def cuts(level: float) -> np.ndarray:
-        on = (np.minimum(y, ny) < level) & (level <= np.maximum(y, ny))
-        return np.sort(x[on] + (level - y[on]) / (ny[on] - y[on]) * (nx[on] - x[on]))
 
-    if (cuts(cy) > cx).sum() % 2:
-        return float(cx), float(cy)
-    level = (y.min() + y.max()) / 2
-    at = cuts(level)
-    if len(at) < 2:
-        return float(cx), float(cy)
-    k = int((at[1::2] - at[::2][: len(at) // 2]).argmax())
-    return float((at[2 * k] + at[2 * k + 1]) / 2), float(level)
+def _array(points) -> np.ndarray:
+    ring = np.array([[p["x"], p["y"]] for p in points], float).reshape(-1, 2)
+    return ring[:-1] if len(ring) > 1 and (ring[0] == ring[-1]).all() else ring
 
 
-def subdivide(polygons: DataFrame, key: str, ring: str, most_area: float, most_wagner: float, least_area: float | None = None) -> DataFrame:
-    """(key, part, x, y, area): parts that cover each ring, under ``most_area`` and, from ``least_area``
-    (a fifth of that), under ``most_wagner``, with an interior point each.
+def subdivide(polygons: DataFrame, key: str, rings: str, most_area: float, most_wagner: float, least_area: float | None = None) -> DataFrame:
+    """(key, part, x, y, area, rings): parts that cover each polygon, with an interior point each.
 
-    Parts of a concave ring that a cut line leaves in several pieces stay one ring with a
-    bridge of no width; areas add up to the source's. Rows are spread by vertex count first.
+    Parts are under ``most_area`` and, from ``least_area`` (a fifth of that) on, under
+    ``most_wagner`` unless a cut would not bring it down. ``rings`` names a column of rings (the outer
+    one, then holes) or of one ring. Convex parts are halved across, others along short
+    inner lines; holes are joined to the outer ring first, and what remains of the joints is taken out
+    of the parts again. Areas add up to the source's. Null, empty and flat polygons have no parts;
+    rows are judged one by one.
     """
     least = most_area / 5 if least_area is None else least_area
     kind = polygons.schema[key].dataType.simpleString()
+    single = "array<array<" not in polygons.schema[rings].dataType.simpleString()
 
     def run(batches):
         for pdf in batches:
             out = []
-            for k, r in zip(pdf["k"], pdf["r"], strict=True):
-                pts = np.array([[p["x"], p["y"]] for p in r], float)
-                if len(pts) > 1 and (pts[0] == pts[-1]).all():
-                    pts = pts[:-1]
-                for i, part in enumerate(parts_of(pts, most_area, most_wagner, least)):
-                    out.append((k, i, *interior(part), abs(shoelace(part))))
-            yield pd.DataFrame(out, columns=[key, "part", "x", "y", "area"])
-
-    return polygons.select(F.col(key).alias("k"), F.col(ring).alias("r")).mapInPandas(run, f"{key} {kind}, part int, x double, y double, area double")
+            for k, value in zip(pdf["k"], pdf["r"], strict=True):
+                shape = [] if value is None else [_array(r) for r in ([value] if single else value) if r is not None]
+                shape = [r for r in shape if len(r) > 2 and ring_area(r)]
+                if not shape:
+                    continue
+                number = 0
+                for part in parts_of(bridged(shape), most_area, most_wagner, least):
+                    for polygon in unbridged(part) if len(shape) > 1 else [[part]]:
+                        at = [[{"x": x, "y": y} for x, y in r.tolist()] for r in polygon]
+                        out.append((k, number, *interior_of(polygon), planar.area_of(polygon), at))
+                        number += 1
+            yield pd.DataFrame(out, columns=[key, "part", "x", "y", "area", "rings"])
+
+    rows = polygons.select(F.col(key).alias("k"), F.col(rings).alias("r"))
+    return rows.mapInPandas(run, f"{key} {kind}, part int, x double, y double, area double, rings array<array<struct<x double, y double>>>")

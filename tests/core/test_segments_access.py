@@ -9,7 +9,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelwise.operators import access, segments
-from parcelwise.operators.spatial import shoelace
 
 SQUARE = np.array([[0, 0], [10, 0], [10, 10], [0, 10]], float)
 
