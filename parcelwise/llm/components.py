@@ -24,7 +24,6 @@ SHORT = 12
 #: the lists' nodes are dealt to so many lots, and each gives its first by rank.
 PIVOTS = 2
 PICKS = 4
-DEBUG = False
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -103,8 +102,6 @@ def linked(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Cal
         else:
             pairs = both(state.join(spread.select("key"), "key", "left_semi"), fits, "comp")
         fresh = saved(verify(pairs.distinct()))
-        if DEBUG:
-            print("turn", turn, "long rows", long.count(), "open lists", spread.count(), "pairs", pairs.count(), pairs.distinct().count(), "fresh", fresh.count())
         if fresh.limit(1).count():
             links = links.union(fresh)
             found = components(links)

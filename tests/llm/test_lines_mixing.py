@@ -86,25 +86,55 @@ def test_line_edges(spark):
     assert got[4] == [(long, [])] and got[5] == [("x", [0])]
 
 
+def test_recall_by_length_and_edit(spark):
+    """Lines of 5 to 250 words: one and two typos, other words, typos in a tenth and a fifth of the words, a word more or less."""
+    draw = random.Random(11)
+    syllables = ["ra", "lo", "mi", "sen", "tor", "ba", "ku", "del", "fin", "gor", "ment", "tion", "er", "an"]
+    word = lambda: "".join(draw.choices(syllables, k=draw.randint(1, 4)))
+
+    def typo(w):
+        at, kind = draw.randrange(len(w)), draw.randrange(3)
+        return w[:at] + ("z" if kind < 2 else "") + w[at + (kind != 1) :] or "z"
+
+    pairs = []
+    for n in (5, 7, 10, 12, 16, 24, 40, 100, 250):
+        for how in ("typo", "typos", "word", "words", "tenth", "fifth", "more", "less"):
+            for _ in range(8):
+                w = [word() for _ in range(n)]
+                v = list(w)
+                k = {"typo": 1, "typos": 2, "word": 1, "words": 2, "tenth": max(1, n // 10), "fifth": max(1, n // 5)}.get(how, 0)
+                for i in draw.sample(range(n), k):
+                    v[i] = word() if how.startswith("word") else typo(v[i])
+                if how == "more":
+                    v.insert(draw.randrange(n + 1), word())
+                elif how == "less":
+                    v.pop(draw.randrange(n))
+                pairs.append((n, how, " ".join(w), " ".join(v)))
+    near = lambda x, y: x != y and abs(len(x) - len(y)) <= 0.15 * max(len(x), len(y))
+    rows = spark.createDataFrame([(i, x, y) for i, (_, _, x, y) in enumerate(pairs) if near(x, y)], "i long, x string, y string")
+    want = {r["i"] for r in rows.where(F.levenshtein("x", "y") <= F.floor(F.greatest(F.length("x"), F.length("y")) * (1 - lines.SIMILARITY) + 1e-9)).collect()}
+    docs = spark.createDataFrame([(2 * i + k, t) for i, (_, _, *both) in enumerate(pairs) for k, t in enumerate(both)], "doc_id long, text string")
+    got = {r["id"] // 2 for r in lines.groups(docs).collect() if r["id"] % 2}
+    assert len(want) > 400 and len(got & want) >= 0.95 * len(want), (len(got & want), len(want))
+    for n, how in {p[:2] for p in pairs}:
+        mine = {i for i, p in enumerate(pairs) if p[:2] == (n, how)} & want
+        assert len(got & mine) >= 0.6 * len(mine), (n, how)
+
+
 def test_blocks_against_plain_python(spark):
-    """Blocks of a line of 10 distinct words, by the majority of their words' bits: all words, all but each one, and each pair of lots."""
-    text = "quick brown fox jumps over lazy dog while rain falls"
-    table = spark.createDataFrame([(1, text)], "h long, body string")
-    got = {r["key"] for r in lines.blocks(table).collect()}
-    hashed = spark.createDataFrame([(w,) for w in text.split()], "w string").select("w", F.xxhash64("w").alias("x"), F.pmod(F.hash("w"), F.lit(lines.PAIRED)).alias("lot")).collect()
-
-    def bits(own):
-        x = sum(1 << b for b in range(64) if b % 16 < 8 and 2 * sum(r["x"] >> b & 1 for r in own) > len(own))
-        return x - (1 << 64 if x >> 63 else 0)
-
-    want = [(-1, bits(hashed)), *((-1, bits([r for r in hashed if r != out])) for out in hashed)]
-    for g in range(lines.PAIRED):
-        for o in range(g):
-            own = [r for r in hashed if r["lot"] in (g, o)]
-            if len(own) >= lines.BLOCK_WORDS and sum(len(r["w"]) for r in own) >= lines.BLOCK_CHARS:
-                want.append((103 * 64 + 8 * o + g, bits(own)))
-    keys = spark.createDataFrame(want, "kind int, bits long").select(F.xxhash64("kind", "bits")).collect()
-    assert len(want) > 14 and got == {r[0] for r in keys}
+    """A bit of a block is set if half of its run's words have it; runs begin at the long words of least hash."""
+    draw = random.Random(2)
+    line = ["".join(draw.choices("abcdefgh", k=draw.randint(2, 9))) for _ in range(30)]
+    hashed = [r[0] for r in spark.createDataFrame([(i, w) for i, w in enumerate(line)], "i int, w string").orderBy("i").select(F.xxhash64("w")).collect()]
+    place = sorted(range(30), key=lambda i: (len(line[i]) < lines.CONTENT, (hashed[i] & (1 << 63) - 1) >> 20))[: lines.ANCHORS]
+    want = []
+    for i in place:
+        run = hashed[min(i, 26) : min(i, 26) + 4]
+        x = sum(1 << b for b in range(64) if sum(h >> b & 1 for h in run) >= 2)
+        want.append((4, x - (1 << 64 if x >> 63 else 0)))
+    keys = {r[0] for r in spark.createDataFrame(want, "kind int, bits long").select(F.xxhash64("kind", "bits")).collect()}
+    got = spark.createDataFrame([(line,)], "w array<string>").select(F.explode(lines.blocks(F.col("w")))).collect()
+    assert {r[0] for r in got} == keys and len(keys) > 3
 
 
 def test_given_lines_against_all_pairs(spark):
