@@ -94,7 +94,7 @@ def building_proximity(spark, d):
 
 @query("""WITH m AS (SELECT max(s_acctbal) AS a, max(s_nationkey) AS b FROM supplier), tr AS (SELECT s_suppkey AS k, s_acctbal / a AS x1, s_nationkey / b AS x2, CAST(s_suppkey % 10 AS DOUBLE) AS y FROM supplier, m), g AS (SELECT unnest([0.05, 0.2, 0.8]::DOUBLE[]) AS sigma),
 p AS (SELECT sigma, q.k, any_value(q.y) AS y, sum(exp(-(abs(q.x1 - tr.x1) + abs(q.x2 - tr.x2)) / sigma) * tr.y) AS wy, sum(exp(-(abs(q.x1 - tr.x1) + abs(q.x2 - tr.x2)) / sigma)) AS w FROM tr q, tr, g GROUP BY sigma, q.k)
-SELECT sigma, round(avg(pow((wy - y) / (w - 1) - y, 2)), 5) AS error FROM p GROUP BY sigma""")
+SELECT sigma, round(avg(abs((wy - y) / w - y)), 5) AS error FROM p GROUP BY sigma""")
 def bandwidth_errors(spark, d):
     train = t(spark, d, "supplier").select(F.col("s_acctbal").alias("FFa"), F.col("s_nationkey").cast("double").alias("FFb"), (F.col("s_suppkey") % 10).cast("double").alias("y"))
     found = models.bandwidth_error(train, ["FFa", "FFb"], "y", [0.05, 0.2, 0.8])

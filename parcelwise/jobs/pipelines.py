@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,6 +67,25 @@ def integrate(spark: SparkSession, path: str, config: dict, lon0: float, study:
     return transform.layers(rows, config, geometry_type="kind", geometry="geometry")
 
 
+def integrate_parts(spark: SparkSession, paths: list[str], config: dict, lon0: float, out: str) -> dict[str, DataFrame]:
+    """Each source apart to a workspace below ``out`` (a folder for each part and layer), then layers of one name united.
+
+    For sources that don't share elements, or that come at different times: a part that is there already is
+    read and not made again. Overlapping downloads belong into one call of ``integrate``.
+    """
+    fs = spark._jvm.org.apache.hadoop.fs.Path(out).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for path in paths:
+        part = f"{out.rstrip('/')}/{re.sub('[^A-Za-z0-9._-]', '_', path)}"
+        names = list(config["layers"])
+        done = [n for n in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{part}/{n}/_SUCCESS"))]
+        if len(done) < len(names):
+            made = integrate(spark, path, config, lon0)
+            geojson.write_layers({n: made[n] for n in names if n not in done}, part)
+        found.append({n: spark.read.parquet(f"{part}/{n}") for n in names})
+    return geojson.merged(found)
+
+
 def prepare_training(segments: DataFrame, values: DataFrame, key: str, value: str, area: str, absolute: bool) -> DataFrame:
     """Segments with the sum (absolute, per km2) or mean (relative) of values (key, value); none gives 0."""
     v = F.sum(value) if absolute else F.avg(value)
@@ -88,27 +108,22 @@ def prepare_training_dual(segments: DataFrame, polygons: DataFrame, points: Data
     return out if area is None else out.withColumn("target", F.try_divide("target", area) * 1e6)
 
 
-def train(segments: DataFrame, target: str = "target", kind: str = "ols", prefix: str = "FF") -> models.Model:
-    """A linear model (ols or ard) of all features with the prefix."""
-    fit = {"ols": models.fit_ols, "ard": models.fit_ard}[kind]
-    return fit(segments, models.feature_columns(segments, prefix), target)
-
-
-def train_kernel(segments: DataFrame, target: str = "target", prefix: str = "FF") -> tuple[list[str], float]:
-    """(features, sigma) of a general regression: all usable features and the bandwidth of least error."""
-    features = models.feature_columns(segments, prefix)
-    return features, models.bandwidth(segments, features, target)
+def train(segments: DataFrame, target: str = "target", kind: str = "ols", prefix: str = "FF", weights: dict[str, float] | None = None, pca: bool | float = False) -> models.Model | models.KernelModel:
+    """A model (ols, ard or general) of all features with the prefix; weights and principal components: see ``models.prepare``."""
+    fit = {"ols": models.fit_ols, "ard": models.fit_ard, "general": models.fit_general}[kind]
+    return fit(segments, models.feature_columns(segments, prefix), target, weights=weights, pca=pca)
 
 
-def apply_kernel(segments: DataFrame, training: DataFrame, model: tuple[list[str], float], key: str, target: str = "target", name: str = "weight") -> DataFrame:
-    """(key, name): scores of segments against all training segments."""
-    return models.apply_general(segments, training, model[0], target, model[1], key, name)
+def score(segments: DataFrame, model: models.Model | models.KernelModel, key: str, name: str = "weight") -> DataFrame:
+    """(key, name): a model's scores of segments."""
+    if isinstance(model, models.KernelModel):
+        return models.score_general(segments, model, key, name)
+    return models.apply_linear(segments, model, name).select(key, name)
 
 
-def apply_model(segments: DataFrame, model: models.Model, pieces: DataFrame, key: str, area_id: str, main: str, absolute: bool) -> DataFrame:
+def apply_model(segments: DataFrame, model: models.Model | models.KernelModel, pieces: DataFrame, key: str, area_id: str, main: str, absolute: bool) -> DataFrame:
     """Scores segments and shares each area's main value over its pieces (key, area_id, piece_area, main)."""
-    weights = models.apply_linear(segments, model, "weight").select(key, "weight")
-    rows = pieces.join(weights, key)
+    rows = pieces.join(score(segments, model, key), key)
     if absolute:
         return allocate.transfer_absolute(rows, area_id, main, "weight", "piece_area")
     return allocate.transfer_relative(rows, area_id, main, "weight")

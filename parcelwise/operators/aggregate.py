@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.selectors import first_prefix
+from ..functions.selectors import any_prefix, first_prefix
 
 
 def category_sums(df: DataFrame, key: str, category: str, weight: str, categories: list[str], prefix: str = "c_", area: str | None = None) -> DataFrame:
@@ -37,6 +37,17 @@ def merged_sums(df: DataFrame, key: str, subtype: str, weight: Column, groups: d
     return df.groupBy(key).agg(*(F.coalesce(F.sum(F.when(F.col(subtype).isin(members), weight)), F.lit(0.0)).alias(f"{prefix}{g}") for g, members in groups.items()))
 
 
+def filtered(df: DataFrame, category: str, wanted: list[list[str] | None], prefixes: bool = False) -> DataFrame:
+    """Rows that several aggregators read, given the categories (or prefixes) of each: filtered only where all of them agree.
+
+    None stands for an aggregator that reads everything. The filter reaches the scan.
+    """
+    first = wanted[0] if wanted else None
+    if first is None or any(w is None or set(w) != set(first) for w in wanted):
+        return df
+    return df.where(any_prefix(F.col(category), first) if prefixes else F.col(category).isin(first))
+
+
 def summaries(df: DataFrame, key: str, value: str, weight: str, prefix: str = "") -> DataFrame:
     """sum, mean, median, wsum, wmean, wmedian by key.
 

@@ -82,3 +82,4 @@ def homogenised(edges: DataFrame, attributes: list[str], ends: tuple[str, ...] =
     a, b = F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(ends[:half]))), F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(ends[half:])))
     one = edges.select(*attributes, F.least(a, b).alias("__a"), F.greatest(a, b).alias("__b")).distinct()
     return one.select(*attributes, *(F.col(f"__{s}.k{i}").alias(c) for s, part in (("a", ends[:half]), ("b", ends[half:])) for i, c in enumerate(part)))
+

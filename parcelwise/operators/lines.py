@@ -24,10 +24,13 @@ def _bins(e: DataFrame, size: float, pad: float, names: tuple[str, str]) -> Data
 
 
 def crossings(e: DataFrame, size: float) -> DataFrame:
-    """(line, seq, t): where edges of different lines cross or touch, as a share of the edge. Pairs come from bins."""
+    """(line, seq, t): where edges cross or touch others, as a share of the edge. Pairs come from bins.
+
+    Edges of one line that follow each other share an end, which is no crossing; others of one line count.
+    """
     own = _bins(e, size, 0.0, ("bx", "by"))
     other = own.select("bx", "by", *(F.col(c).alias(f"o_{c}") for c in ("line", "seq", "x1", "y1", "x2", "y2")))
-    pairs = own.join(other, ["bx", "by"]).where("line != o_line")
+    pairs = own.join(other, ["bx", "by"]).where("line != o_line or abs(seq - o_seq) > 1")
     c = {n: F.col(n) for n in ("x1", "y1", "x2", "y2", "o_x1", "o_y1", "o_x2", "o_y2")}
     a1, a2 = side(c["x1"], c["y1"], c["o_x1"], c["o_y1"], c["o_x2"], c["o_y2"]), side(c["x2"], c["y2"], c["o_x1"], c["o_y1"], c["o_x2"], c["o_y2"])
     b1, b2 = side(c["o_x1"], c["o_y1"], c["x1"], c["y1"], c["x2"], c["y2"]), side(c["o_x2"], c["o_y2"], c["x1"], c["y1"], c["x2"], c["y2"])

@@ -7,10 +7,11 @@ number of features, not of rows.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -68,28 +69,86 @@ def gram(df: DataFrame, features: list[str], scale: list[float], target: str) ->
     return out.reshape(d, d)
 
 
-def fit_ols(df: DataFrame, features: list[str], target: str) -> Model:
-    """Least squares with intercept; collinear columns get the solution of least norm."""
+@dataclass
+class Preparation:
+    """A fitted transform of features: over their maxima, by weights, and turned to principal components.
+
+    centre and rotation (features x components) are empty without components.
+    """
+
+    features: list[str]
+    scale: list[float]
+    centre: list[float] = field(default_factory=list)
+    rotation: list[list[float]] = field(default_factory=list)
+    excluded: list[str] = field(default_factory=list)
+
+    def columns(self) -> list[Column]:
+        """The transformed features as Columns p0, p1, ...; null where a feature is null."""
+        scaled = [F.col(f).cast("double") / F.lit(s) for f, s in zip(self.features, self.scale, strict=True)]
+        if not self.rotation:
+            return [c.alias(f"p{i}") for i, c in enumerate(scaled)]
+        moved = [c - F.lit(m) for c, m in zip(scaled, self.centre, strict=True)]
+        return [reduce(lambda a, b: a + b, (c * F.lit(r[k]) for c, r in zip(moved, self.rotation, strict=True))).alias(f"p{k}") for k in range(len(self.rotation[0]))]
+
+    def model(self, coef: np.ndarray, intercept: float, kind: str) -> Model:
+        """A linear model of the transformed features as one of the features themselves."""
+        if self.rotation:
+            coef = np.array(self.rotation) @ coef
+            intercept = intercept - float(np.array(self.centre) @ coef)
+        return Model(self.features, self.scale, [float(c) for c in coef], float(intercept), kind, self.excluded)
+
+
+def prepare(df: DataFrame, features: list[str], weights: dict[str, float] | None = None, pca: bool | float = False) -> Preparation:
+    """The transform of ``features``: columns that add up to about 0 go, the rest is divided by its maximum.
+
+    weights: factors of features, 1 where none is given; a factor of 0 leaves a feature out. pca: True for all principal
+    components, or the share of variance that they must explain. The components' Gram matrix is one pass.
+    """
     keep, scale, out = usable(df, features)
-    g = gram(df, keep, scale, target)
+    weighed = [(f, s / weights.get(f, 1.0)) for f, s in zip(keep, scale, strict=True) if weights.get(f, 1.0)] if weights else list(zip(keep, scale, strict=True))
+    names, scales = [f for f, _ in weighed], [s for _, s in weighed]
+    prep = Preparation(names, scales, excluded=out + [f for f in keep if f not in names])
+    if pca is False or not names:
+        return prep
+    values, vectors, mean = _components(df, names, scales)
+    if pca is not True:
+        m = int(np.searchsorted(np.cumsum(values) / values.sum(), float(pca) - 1e-12)) + 1
+        vectors = vectors[:, :m]
+    return Preparation(names, scales, mean.tolist(), vectors.tolist(), prep.excluded)
+
+
+def _prepared_gram(df: DataFrame, prep: Preparation, target: str) -> np.ndarray:
+    rows = df.select(*prep.columns(), F.col(target).alias("y"))
+    names = rows.columns[:-1]
+    return gram(rows, names, [1.0] * len(names), "y")
+
+
+def fit_ols(df: DataFrame, features: list[str], target: str, weights: dict[str, float] | None = None, pca: bool | float = False) -> Model:
+    """Least squares with intercept; collinear columns get the solution of least norm.
+
+    weights, pca: see ``prepare``. With all components the model is that without.
+    """
+    prep = prepare(df, features, weights, pca)
+    g = _prepared_gram(df, prep, target)
     x = np.linalg.lstsq(g[:-1, :-1], g[:-1, -1], rcond=None)[0]
-    return Model(keep, scale, x[1:].tolist(), float(x[0]), "ols", out)
+    return prep.model(x[1:], float(x[0]), "ols")
 
 
 #: A weight whose precision passes this share of its column's information has been ruled out.
 RULED_OUT = 1e8
 
 
-def fit_ard(df: DataFrame, features: list[str], target: str, rounds: int = 100, settled: float = 1e-4) -> Model:
+def fit_ard(df: DataFrame, features: list[str], target: str, rounds: int = 100, settled: float = 1e-4, weights: dict[str, float] | None = None, pca: bool | float = False) -> Model:
     """Sparse Bayesian weights by evidence maximisation on the Gram matrix; the rows are read once.
 
     MacKay's fixed point: a weight's precision becomes the share of it that the data determine,
     over its square; the noise's becomes the free rows over the squared residual. Weights whose
     precision runs away are ruled out and stay 0. It ends when no precision moves by more than
-    ``settled`` of itself. The intercept is a weight like others.
+    ``settled`` of itself. The intercept is a weight like others. weights, pca: see ``prepare``; with
+    components it is those that are ruled out.
     """
-    keep, scale, out = usable(df, features)
-    g = gram(df, keep, scale, target)
+    prep = prepare(df, features, weights, pca)
+    g = _prepared_gram(df, prep, target)
     n, a, b, yy = g[0, 0], g[:-1, :-1], g[:-1, -1], g[-1, -1]
     weight = np.zeros(len(b))
     if n and yy > 0:
@@ -110,17 +169,24 @@ def fit_ard(df: DataFrame, features: list[str], target: str, rounds: int = 100,
             if not live.any() or np.all(np.abs(fresh - before) <= settled * before):
                 break
         weight = np.where(live, weight, 0.0)
-    return Model(keep, scale, weight[1:].tolist(), float(weight[0]), "ard", out)
+    return prep.model(weight[1:], float(weight[0]), "ard")
+
+
+def _components(df: DataFrame, features: list[str], scale: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(eigenvalues, eigenvectors, means) of the scaled features' covariance, descending; a vector's largest entry is positive."""
+    g = gram(df, features, scale, features[0])
+    n, mean = g[0, 0], g[0, 1:-1] / g[0, 0]
+    cov = (g[1:-1, 1:-1] - n * np.outer(mean, mean)) / max(n - 1, 1)
+    values, vectors = np.linalg.eigh(cov)
+    values, vectors = np.maximum(values[::-1], 0.0), vectors[:, ::-1]
+    sign = np.sign(vectors[np.abs(vectors).argmax(0), np.arange(vectors.shape[1])])
+    return values, vectors * sign, mean
 
 
 def principal(df: DataFrame, features: list[str], explained: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(eigenvalues, rotation) of the scaled features' covariance, descending; cut at a share of the variance."""
     keep, scale, _ = usable(df, features)
-    g = gram(df, keep, scale, keep[0])
-    n, mean = g[0, 0], g[0, 1:-1] / g[0, 0]
-    cov = (g[1:-1, 1:-1] - n * np.outer(mean, mean)) / (n - 1)
-    values, vectors = np.linalg.eigh(cov)
-    values, vectors = values[::-1], vectors[:, ::-1]
+    values, vectors, _ = _components(df, keep, scale)
     if explained is not None:
         m = int(np.searchsorted(np.cumsum(values) / values.sum(), explained)) + 1
         values, vectors = values[:m], vectors[:, :m]
@@ -167,36 +233,74 @@ def _weighed(batches, width: int, sigma: float):
             yield pd.DataFrame({"own": list(own), "w": w, "wy": wy})
 
 
-def apply_general(df: DataFrame, training: DataFrame, features: list[str], target: str, sigma: float, key: str, name: str = "score") -> DataFrame:
-    """(key, score): kernel mean of the training targets, weights exp(-L1 / sigma), features over their maxima.
+@dataclass
+class KernelModel:
+    """A general regression: the transform, the bandwidth, and the table of transformed training rows (p0, ..., target)."""
+
+    preparation: Preparation
+    sigma: float
+    training: DataFrame
+
+    def save(self, path: str) -> None:
+        """Parquet below ``path``: one row of named arrays, and the training rows."""
+        p = self.preparation
+        row = [("general", p.features, p.scale, p.centre, p.rotation, p.excluded, self.sigma)]
+        kind = "kind string, features array<string>, scale array<double>, centre array<double>, rotation array<array<double>>, excluded array<string>, sigma double"
+        self.training.sparkSession.createDataFrame(row, kind).write.mode("overwrite").parquet(f"{path}/model")
+        self.training.write.mode("overwrite").parquet(f"{path}/training")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> KernelModel:
+        r = spark.read.parquet(f"{path}/model").first()
+        prep = Preparation(list(r["features"]), list(r["scale"]), list(r["centre"]), [list(x) for x in r["rotation"]], list(r["excluded"]))
+        return KernelModel(prep, r["sigma"], spark.read.parquet(f"{path}/training"))
+
+
+def fit_general(df: DataFrame, features: list[str], target: str, sigma: float | None = None, weights: dict[str, float] | None = None, pca: bool | float = False) -> KernelModel:
+    """A general regression of all training rows without nulls; the bandwidth of least error unless it is given. weights, pca: see ``prepare``."""
+    prep = prepare(df, features, weights, pca)
+    training = df.select(*prep.columns(), F.col(target).cast("double").alias("target")).na.drop()
+    return KernelModel(prep, bandwidth_of(training) if sigma is None else sigma, training)
+
+
+def score_general(df: DataFrame, model: KernelModel, key: str, name: str = "score") -> DataFrame:
+    """(key, score): kernel mean of the training targets, weights exp(-L1 / sigma) between transformed features.
 
     Query rows meet all training rows, both in blocks, and the sums of a key's blocks are added
-    up, so neither side passes through the driver or one task. Null if all weights are 0.
-    Training rows with nulls take no part; repeated keys are one row's worth each.
+    up, so neither side passes through the driver or one task. Null if all weights are 0 or a
+    feature is null; repeated keys are one row's worth each.
     """
-    keep, scale, _ = usable(training, features)
+    missing = [f for f in model.preparation.features if f not in df.columns]
+    if missing:
+        raise KeyError(f"features {missing} are absent")
     kind = df.schema[key].dataType.simpleString()
-    known = _packed(training.select(*keep, F.col(target).cast("double").alias(target)).na.drop(), keep, scale, target, "double").toDF("tx", "ty")
-    asked = _packed(df.dropDuplicates([key]), keep, scale, key, kind)
-    sums = asked.crossJoin(known).mapInPandas(lambda b: _weighed(b, len(keep), sigma), f"own {kind}, w double, wy double")
+    columns = model.preparation.columns()
+    names, width, sigma = [f"p{i}" for i in range(len(columns))], len(columns), model.sigma
+    known = _packed(model.training, names, [1.0] * width, "target", "double").toDF("tx", "ty")
+    asked = _packed(df.dropDuplicates([key]).select(*columns, F.col(key)), names, [1.0] * width, key, kind)
+    sums = asked.crossJoin(known).mapInPandas(lambda b: _weighed(b, width, sigma), f"own {kind}, w double, wy double")
     return sums.groupBy(F.col("own").alias(key)).agg(F.try_divide(F.sum("wy"), F.sum("w")).alias(name))
 
 
-def bandwidth_error(training: DataFrame, features: list[str], target: str, sigmas: list[float], most: int = 1_000) -> dict[float, float]:
-    """Mean squared error of general regression by sigma, each example predicted without itself.
+def apply_general(df: DataFrame, training: DataFrame, features: list[str], target: str, sigma: float, key: str, name: str = "score") -> DataFrame:
+    """``score_general`` by a model of ``training`` with the given bandwidth; training rows with nulls take no part."""
+    return score_general(df, fit_general(training, features, target, sigma), key, name)
+
+
+def bandwidth_errors(training: DataFrame, sigmas: list[float], most: int = 1_000) -> dict[float, float]:
+    """Mean absolute error of general regression by sigma over examples of transformed ``training`` rows (p0, ..., target).
 
+    An example's own target is taken out of the weighted sum, while its weight stays in the denominator.
     Examples are every n-th training row by a hash of the row, ``most`` or about so many
     (a documented sample: it only picks the bandwidth); each meets all training rows.
     """
-    keep, scale, _ = usable(training, features)
-    rows = training.select(*keep, F.col(target).cast("double").alias(target)).na.drop()
-    n = rows.count()
+    names = [c for c in training.columns if c != "target"]
+    n, width = training.count(), len(names)
     if not n:
         return dict.fromkeys(sigmas, float("nan"))
     step = max(n // most, 1)
-    examples = rows.where(F.pmod(F.xxhash64(*keep, target), F.lit(step)) == 0).withColumn("__ex", F.monotonically_increasing_id())
-    known = _packed(rows, keep, scale, target, "double").toDF("tx", "ty")
-    width = len(keep)
+    examples = training.where(F.pmod(F.xxhash64(*names, "target"), F.lit(step)) == 0).withColumn("__ex", F.monotonically_increasing_id())
+    known = _packed(training, names, [1.0] * width, "target", "double").toDF("tx", "ty")
 
     def run(batches):
         for pdf in batches:
@@ -207,20 +311,36 @@ def bandwidth_error(training: DataFrame, features: list[str], target: str, sigma
                     e = np.exp(-d / s)
                     yield pd.DataFrame({"sigma": s, "ex": list(own), "own": q[:, -1], "w": e.sum(1), "wy": e @ y})
 
-    asked = _packed(examples, [*keep, target], [*scale, 1.0], "__ex", "long")
+    asked = _packed(examples, [*names, "target"], [1.0] * (width + 1), "__ex", "long")
     sums = asked.crossJoin(known).mapInPandas(run, "sigma double, ex long, own double, w double, wy double")
     per = sums.groupBy("sigma", "ex", "own").agg(F.sum("w").alias("w"), F.sum("wy").alias("wy"))
-    # The example itself has weight 1 in each sum.
-    guess = F.try_divide(F.col("wy") - F.col("own"), F.col("w") - 1)
-    return {r["sigma"]: r["e"] for r in per.groupBy("sigma").agg(F.avg(F.pow(F.coalesce(guess, F.lit(0.0)) - F.col("own"), 2)).alias("e")).collect()}
+    guess = F.try_divide(F.col("wy") - F.col("own"), F.col("w"))
+    return {r["sigma"]: r["e"] for r in per.groupBy("sigma").agg(F.avg(F.abs(guess - F.col("own"))).alias("e")).collect()}
 
 
-def bandwidth(training: DataFrame, features: list[str], target: str, low: float = 0.01, high: float = 1.0, rounds: int = 4, points: int = 8) -> float:
-    """The sigma of least error: a grid of ``points`` from low to high in one pass, then finer around the best, ``rounds`` times."""
-    best = low
-    for _ in range(rounds):
+def bandwidth_error(training: DataFrame, features: list[str], target: str, sigmas: list[float], most: int = 1_000) -> dict[float, float]:
+    """``bandwidth_errors`` of features over their maxima."""
+    return bandwidth_errors(fit_general(training, features, target, 1.0).training, sigmas, most)
+
+
+def bandwidth_of(training: DataFrame, low: float = 0.01, high: float = 1.0, rounds: int = 4, points: int = 8) -> float:
+    """The sigma of least error: a grid of ``points`` from low to high in one pass, then finer around the best, ``rounds`` times.
+
+    Where the best is an end of the first grid the span moves on past it, at most three times.
+    """
+    best, moved = low, 0
+    while rounds > 0:
         grid = np.exp(np.linspace(np.log(low), np.log(high), points)).tolist()
-        error = bandwidth_error(training, features, target, grid)
+        error = bandwidth_errors(training, grid)
         at = min(range(points), key=lambda i: (error.get(grid[i], np.inf), i))
-        best, low, high = grid[at], grid[max(0, at - 1)], grid[min(points - 1, at + 1)]
+        best = grid[at]
+        if moved < 3 and at in (0, points - 1) and high / low > 10:
+            low, high, moved = (best / 100, best * 2, moved + 1) if at == 0 else (best / 2, best * 100, moved + 1)
+            continue
+        low, high, rounds = grid[max(0, at - 1)], grid[min(points - 1, at + 1)], rounds - 1
     return best
+
+
+def bandwidth(training: DataFrame, features: list[str], target: str, low: float = 0.01, high: float = 1.0, rounds: int = 4, points: int = 8) -> float:
+    """``bandwidth_of`` features over their maxima."""
+    return bandwidth_of(fit_general(training, features, target, 1.0).training, low, high, rounds, points)

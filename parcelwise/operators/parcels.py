@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.selectors import any_prefix
-from . import lines, planar, recipes, spatial
+from . import lines, planar, recipes, spatial, subdivide
 from .lines import along
 from .network import kept
 
@@ -62,15 +61,16 @@ def clipped_polygons(layer: DataFrame, study: DataFrame, key: str, study_id: str
     kinds = layer.schema[key].dataType.simpleString(), study.schema[study_id].dataType.simpleString()
 
     def cut(batches):
-        of = lambda v: [np.array([[p["x"], p["y"]] for p in r], float) for r in v if len(r) > 2]
-        for pdf in batches:
-            out = []
-            for i, j, x, y in zip(pdf["a_id"], pdf["b_id"], pdf["a"], pdf["b"], strict=True):
-                found = sorted(planar.shared(of(x), of(y)), key=lambda p: p[0].min(0).tolist())
-                out += [(i, j, n, planar.area_of(p), [[{"x": u, "y": v} for u, v in r.tolist()] for r in p]) for n, p in enumerate(found)]
-            yield pd.DataFrame(out, columns=[key, study_id, "part", "area", "rings"])
+        for batch in batches:
+            rows, cut_ = [], []
+            for k, (x, y) in enumerate(zip(planar.polygons_of(batch.column(2)), planar.polygons_of(batch.column(3)), strict=True)):
+                found = sorted(planar.shared(x, y), key=lambda p: p[0].min(0).tolist())
+                rows += [(k, n, planar.area_of(p)) for n, p in enumerate(found)]
+                cut_ += [planar.points_in(p) for p in found]
+            at = pa.array([r[0] for r in rows], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.float64()), pa.array(cut_, planar.SHAPE)], [key, study_id, "part", "area", "rings"])
 
-    return both.mapInPandas(cut, f"{key} {kinds[0]}, {study_id} {kinds[1]}, part int, area double, rings {RINGS}")
+    return both.mapInArrow(cut, f"{key} {kinds[0]}, {study_id} {kinds[1]}, part int, area double, rings {RINGS}")
 
 
 def clipped_lines(paths: DataFrame, study: DataFrame, key: str, study_id: str, side: float, pts: str = "pts") -> DataFrame:
@@ -148,7 +148,7 @@ def _edges_near(points: DataFrame, polygons: DataFrame, key: str, polygon: str,
     Points and edges meet in bins that edges, widened by the distance, lie in.
     """
     side = 4 * distance
-    edges = spatial.edges_of(polygons, polygon)
+    edges = spatial.edges_of(polygons, polygon).drop("r", "i")
     span = lambda a: F.sequence(F.floor((F.least(f"{a}1", f"{a}2") - distance) / side), F.floor((F.greatest(f"{a}1", f"{a}2") + distance) / side))
     binned = edges.withColumn("bx", F.explode(span("x"))).withColumn("by", F.explode(span("y")))
     spots = points.select(key, "x", "y", spatial.bin_of(F.col("x"), side).alias("bx"), spatial.bin_of(F.col("y"), side).alias("by"))
@@ -220,33 +220,79 @@ def building_proximity(targets: DataFrame, buildings: DataFrame, sd: float, key:
     return near.groupBy(key).agg(*each)
 
 
+def points_of(segments: DataFrame, most_area: float, most_wagner: float, least_area: float | None = None, segment: str = "seg_id") -> DataFrame:
+    """(point, x, y, WT_AREA): inner points of the parts of each segment (rings), with the area that each stands for."""
+    parts = subdivide.subdivide(segments, segment, "rings", most_area, most_wagner, least_area)
+    return parts.select(F.struct(segment, "part").alias("point"), "x", "y", F.col("area").alias("WT_AREA"))
+
+
 def calculate(segments: DataFrame, layers: dict[str, DataFrame], config: dict, segment: str = "seg_id") -> DataFrame:
     """The feature table of ``segments`` (seg_id, area, rings, x, y): the recipes that ``config`` names, under one id; absent features are 0.
 
     config: {"side": bin side, and any of
-    "buildings": {} (layer building: id, AREA, WAG, rings),
+    "points": {"most_area", "most_wagner", "least_area"} (what lies around is measured at inner points of a
+    segment's parts and averaged by their area; without it, at the segment's x, y),
+    "buildings": {} (layer building: id, AREA, WAG, rings; sums are per area of the segment),
     "building_proximity": {"sd": metres} (building as well, with px, py),
     "landuse": {"codes": [...]} (layer ua: id, code, rings),
+    "landuse_proximity": {"codes": [...], "sd", "resolution"} (ua as well),
     "poi": {"groups": {group: [subtype, ...]}} (layer poi: id, subtype, x, y),
-    "poi_proximity": {"groups": ..., "sd": metres} (poi as well)}.
+    "poi_proximity": {"groups": ..., "sd": metres} (poi as well),
+    "transport": {"speeds", "builtup": [code prefixes], "near", "tolerance"} (layers transport: line, class, level, oneway, pts; ua),
+    "barrier": {"cell", "radius"} (layer barrier: id, repellence, pts),
+    "dem": {"size", "smoothing"} (layer dem: i, j, value, through the origin)}.
     """
-    side, parts = config["side"], []
+    side, parts, around = config["side"], [], []
     pieces = lambda layer: spatial.overlay(segments, layer, segment, "id", side)
     if "buildings" in config:
-        parts.append(recipes.buildings(pieces(layers["building"]).join(layers["building"].select("id", "AREA", "WAG"), "id"), segment))
-    if "building_proximity" in config:
-        parts.append(building_proximity(segments.select(segment, "x", "y"), layers["building"].select("AREA", "WAG", "px", "py"), config["building_proximity"]["sd"], segment))
+        found = recipes.buildings(pieces(layers["building"]).join(layers["building"].select("id", "AREA", "WAG"), "id"), segment)
+        parts.append(found.join(segments.select(segment, "area"), segment).withColumn("FFcbsize_sum", F.try_divide("FFcbsize_sum", "area")).drop("area"))
     if "landuse" in config:
         parts.append(recipes.land_use(pieces(layers["ua"]).join(layers["ua"].select("id", "code"), "id"), config["landuse"]["codes"], segment))
     if "poi" in config:
         inside = spatial.points_in_polygons(layers["poi"], segments, "id", segment, side)
         parts.append(recipes.poi_use(inside.join(layers["poi"].select("id", "subtype"), "id").join(segments.select(segment, "area"), segment), config["poi"]["groups"], segment))
-    if "poi_proximity" in config:
-        spots = layers["poi"].select("subtype", F.col("x").alias("px"), F.col("y").alias("py"))
-        parts.append(recipes.poi_proximity(segments.select(segment, "x", "y"), spots, config["poi_proximity"]["groups"], config["poi_proximity"]["sd"], segment))
+    near = {"building_proximity", "poi_proximity", "landuse_proximity", "transport", "barrier", "dem"} & config.keys()
+    if near:
+        points = kept(points_of(segments, **config["points"], segment=segment)) if "points" in config else segments.select(F.struct(segment).alias("point"), "x", "y", F.lit(1.0).alias("WT_AREA"))
+        at = points.select("point", "x", "y")
+        cell = lambda size: (F.floor(F.col("y") / size), F.floor(F.col("x") / size))
+        if "building_proximity" in near:
+            around.append(building_proximity(at, layers["building"].select("AREA", "WAG", "px", "py"), config["building_proximity"]["sd"], "point"))
+        if "poi_proximity" in near:
+            spots = layers["poi"].select("subtype", F.col("x").alias("px"), F.col("y").alias("py"))
+            around.append(recipes.poi_proximity(at, spots, config["poi_proximity"]["groups"], config["poi_proximity"]["sd"], "point"))
+        if "landuse_proximity" in near:
+            c = config["landuse_proximity"]
+            cells = kept(rasterised(layers["ua"], "id", "code", c["resolution"]))
+            around.append(sampled(at, recipes.neighbourhood_land_use(cells, c["codes"], c["sd"], c["resolution"]), *cell(c["resolution"])))
+        if "barrier" in near:
+            c = config["barrier"]
+            lengths = lines.density(lines.edges(layers["barrier"], "id"), layers["barrier"].select(F.col("id").alias("line"), F.col("repellence").alias("weight")), c["cell"], c["radius"])
+            around.append(sampled(at, lengths.withColumnRenamed("value", "FFrepel"), *cell(c["cell"])))
+        if "dem" in near:
+            c = config["dem"]
+            around.append(sampled(at, recipes.terrain(layers["dem"], c["size"], c["smoothing"]), *cell(c["size"])))
+        if "transport" in near:
+            from . import access
+
+            c = config["transport"]
+            built = layers["ua"].where(any_prefix(F.col("code"), c["builtup"])).select("id", "rings")
+            roads = kept(access.road_network(layers["transport"], built, c["speeds"], side, c.get("near", 20.0)))
+            origins = at.select(F.col("point").alias("id"), "x", "y")
+            around.append(access.access(origins, access.representative_targets(origins), roads, c.get("tolerance", 200.0)).withColumnRenamed("id", "point"))
+        features = [f for p in around for f in p.columns if f != "point"]
+        whole = recipes.widened(points, around, "point").withColumn(segment, F.col(f"point.{segment}"))
+        parts.append(recipes.to_segments(whole, features, segment))
     return recipes.widened(segments, parts, segment)
 
 
+def sampled(points: DataFrame, cells: DataFrame, i: Column, j: Column) -> DataFrame:
+    """(point, features): all values of the cell (i, j) that each point lies in; points without one have no row."""
+    at = points.select("point", i.alias("i"), j.alias("j"))
+    return at.join(cells, ["i", "j"]).drop("i", "j")
+
+
 def coded(segments: DataFrame, land_use: DataFrame, segment: str, code: str, side: float, inhabited: list[str], least_area: float) -> DataFrame:
     """(segment, area, code): segments over ``least_area`` whose inner point (x, y) lies in land use of an inhabited code prefix.
 

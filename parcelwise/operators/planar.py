@@ -7,7 +7,8 @@ polygon or pair of polygons (numpy, inside a task).
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import side as side_of
@@ -169,6 +170,25 @@ def shared(a: Polygon, b: Polygon) -> list[Polygon]:
     return [p for p, yes in zip(parts, inside(spots, ea) & inside(spots, eb), strict=True) if yes]
 
 
+def polygons_of(column: pa.Array) -> list[Polygon]:
+    """Polygons of an Arrow column of rings of points (x, y), without the repeated last corner; null and short rings go."""
+    out = []
+    for shape in column.to_pylist():
+        rings = [np.array([[p["x"], p["y"]] for p in r if p is not None], float).reshape(-1, 2) for r in shape or [] if r is not None]
+        rings = [r[:-1] if len(r) > 1 and (r[0] == r[-1]).all() else r for r in rings]
+        out.append([r for r in rings if len(r) > 2])
+    return out
+
+
+def points_in(polygon: Polygon) -> list[list[dict]]:
+    """The rings of a polygon as Arrow takes them."""
+    return [[{"x": x, "y": y} for x, y in r.tolist()] for r in polygon]
+
+
+#: Arrow's type of rings.
+SHAPE = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+
+
 # --- edge tables --------------------------------------------------------------------
 
 
@@ -214,3 +234,24 @@ def pieces(e: DataFrame, at: DataFrame) -> DataFrame:
     way = F.array_sort(F.transform(F.array_distinct(F.concat(ends, F.coalesce("ps", F.array().cast("array<struct<px: double, py: double>>")))), lambda p: F.struct(t(p).alias("t"), p["px"].alias("px"), p["py"].alias("py"))))
     steps = rows.select("eid", way.alias("w")).select("eid", F.posexplode(F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("p"), F.slice("w", F.lit(2), F.size("w") - 1).alias("q"))).alias("part", "s"))
     return steps.select("eid", "part", F.col("s.p.px").alias("x1"), F.col("s.p.py").alias("y1"), F.col("s.q.px").alias("x2"), F.col("s.q.py").alias("y2"))
+
+
+def self_intersections(polygons: DataFrame, key: str, size: float, rings: str = "rings") -> DataFrame:
+    """(key, crossings): places where a polygon's edges cross or touch apart from the corners that neighbours share; valid ones have no row.
+
+    Edge pairs come from bins. A ring that touches itself or another ring at a corner is listed too.
+    Repeated rows count once; rows of one key that differ are judged apart, and added up.
+    """
+    from . import spatial
+
+    once = polygons.select(F.col(key).alias("key"), F.xxhash64(rings).alias("h"), F.col(rings).alias("rings")).dropDuplicates(["key", "h"])
+    e = rounded(spatial.edges_of(once, "key", "rings", "h"))
+    # Edges are numbered along their ring, for those without length are gone; the last meets the first.
+    own = Window.partitionBy("key", "h", "r")
+    e = e.withColumns({"n": F.row_number().over(own.orderBy("i")), "last": F.count(F.lit(1)).over(own)})
+    name = F.struct("key", "h", "r", "n", "last")
+    e = e.select(name.alias("eid"), "x1", "y1", "x2", "y2")
+    met = meetings(e, e.withColumnRenamed("eid", "fid"), size).where("eid.key <=> fid.key and eid.h = fid.h and eid < fid")
+    gap = F.col("fid.n") - F.col("eid.n")
+    beside = (F.col("eid.r") == F.col("fid.r")) & ((gap == 1) | (gap == F.col("eid.last") - 1))
+    return met.where(~beside).select("eid.key", "eid.h", "px", "py").distinct().groupBy(F.col("key").alias(key)).agg(F.count(F.lit(1)).alias("crossings"))

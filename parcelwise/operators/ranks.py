@@ -40,10 +40,10 @@ def _counted(rows: DataFrame, kind: str, depth: int, bits: int, wanted: dict) ->
     def run(batches):
         total: dict = {}
         for pdf in batches:
-            for g, mine in pdf.groupby("g", dropna=False, sort=False):
+            for g, mine in pdf.groupby("g", sort=False):
                 u = _ordered(mine["v"].to_numpy(float))
                 if depth:
-                    u = u[np.isin(u >> cut, wanted.get(None if g != g else g, np.zeros(0, np.uint64)))]
+                    u = u[np.isin(u >> cut, wanted.get(g, np.zeros(0, np.uint64)))]
                 u.sort()
                 prefix, at, n = np.unique(u >> drop, return_index=True, return_counts=True)
                 for p, a, c in zip(prefix.tolist(), at.tolist(), n.tolist(), strict=True):
@@ -58,13 +58,13 @@ def _counted(rows: DataFrame, kind: str, depth: int, bits: int, wanted: dict) ->
 
 
 def order_statistics(rows: DataFrame, group: str, value: str, quantiles: tuple[float, ...]) -> dict:
-    """{group: {quantile: value}}, exact, with linear interpolation; nulls don't count, a group without values has no entry.
+    """{group: {quantile: value}}, exact, with linear interpolation; null groups and values don't count.
 
     Groups and quantiles are few: of each wanted rank only counts of prefixes reach the driver, at
     most about COUNTS a pass. NaN is the greatest value. Between an infinity and another value
     the result is NaN or that infinity, as doubles have it.
     """
-    rows = rows.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).where("v is not null")
+    rows = rows.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).where("g is not null and v is not null")
     kind = rows.schema["g"].dataType.simpleString()
     # (prefix, rows under it) of each open rank; its value once known.
     sizes, open_, known, depth, wanted = {}, {}, {}, 0, {}

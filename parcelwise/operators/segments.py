@@ -28,7 +28,7 @@ def between_barriers(polygons: DataFrame, barriers: DataFrame, key: str, side: f
     """
     whole = polygons.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.filter("rings", lambda r: F.size(r) > 2).alias("rings")).where(F.size("rings") > 0)
     border = planar.rounded(spatial.edges_of(whole.withColumn("rh", F.xxhash64("rings")), "key", "rings", "rh")).select(F.struct("key", "rh", "r", "i").alias("eid"), "x1", "y1", "x2", "y2")
-    steps = barriers.select(F.posexplode(F.arrays_zip(F.slice("pts", F.lit(1), F.size("pts") - 1).alias("p"), F.slice("pts", F.lit(2), F.size("pts") - 1).alias("q"))).alias("i", "e"), F.struct(F.col("id").alias("id"), F.xxhash64("pts").alias("h")).alias("line")).where("e.p is not null")
+    steps = barriers.where(F.size("pts") > 1).select(F.posexplode(F.arrays_zip(F.slice("pts", F.lit(1), F.size("pts") - 1).alias("p"), F.slice("pts", F.lit(2), F.size("pts") - 1).alias("q"))).alias("i", "e"), F.struct(F.col("id").alias("id"), F.xxhash64("pts").alias("h")).alias("line"))
     walls = planar.rounded(steps.select(F.struct("line", "i").alias("fid"), F.col("e.p.x").alias("x1"), F.col("e.p.y").alias("y1"), F.col("e.q.x").alias("x2"), F.col("e.q.y").alias("y2")))
     walls = kept(walls.dropDuplicates(["fid"]))
     met = kept(planar.meetings(border, walls, side))

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import crosses, signed_area
+from .network import kept
 
 
 def bin_of(x: Column, side: float) -> Column:
@@ -26,12 +27,27 @@ def _around(df: DataFrame, x: str, y: str, side: float) -> DataFrame:
     return df.withColumn("__c", cells).select("*", "__c.bx", "__c.by").drop("__c")
 
 
-def within_range(left: DataFrame, right: DataFrame, radius: float, lx: str = "x", ly: str = "y", rx: str = "px", ry: str = "py") -> DataFrame:
-    """Pairs no farther apart than ``radius``, with ``distance``; ``right`` should be the smaller side."""
+#: Points of the left side in one bin beyond which the bin is split.
+DENSE = 50_000
+
+
+def within_range(left: DataFrame, right: DataFrame, radius: float, lx: str = "x", ly: str = "y", rx: str = "px", ry: str = "py", dense: int = DENSE) -> DataFrame:
+    """Pairs no farther apart than ``radius``, with ``distance``; ``right`` should be the smaller side.
+
+    Bins are as wide as the radius. Bins with more than ``dense`` points of ``left`` are dealt to
+    several tasks, each with the right side's points of the bin, so that a crowded place isn't one task.
+    """
     a = left.withColumns({"bx": bin_of(F.col(lx), radius), "by": bin_of(F.col(ly), radius)})
     b = _around(right, rx, ry, radius)
-    out = a.join(b, ["bx", "by"]).withColumn("distance", F.hypot(F.col(lx) - F.col(rx), F.col(ly) - F.col(ry)))
-    return out.where(F.col("distance") <= radius).drop("bx", "by")
+    crowded = kept(a.groupBy("bx", "by").agg(F.ceil(F.count(F.lit(1)) / dense).alias("__parts")).where("__parts > 1"))
+    on = ["bx", "by"]
+    if not crowded.isEmpty():
+        parts = F.coalesce("__parts", F.lit(1))
+        a = a.withColumn("__n", F.monotonically_increasing_id()).join(crowded, on, "left").withColumn("__s", F.pmod("__n", parts)).drop("__parts", "__n")
+        b = b.join(crowded, on, "left").withColumn("__s", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("__parts")
+        on = [*on, "__s"]
+    out = a.join(b, on).withColumn("distance", F.hypot(F.col(lx) - F.col(rx), F.col(ly) - F.col(ry)))
+    return out.where(F.col("distance") <= radius).drop(*on)
 
 
 def gaussian_weight(distance: Column, sd: float) -> Column:
@@ -53,9 +69,9 @@ def nearest(left: DataFrame, right: DataFrame, radius: float, key: str, other: s
 
 def edges_of(polygons: DataFrame, key: str, rings: str = "rings", *more: str) -> DataFrame:
     """(key, more, r, i, x1, y1, x2, y2) of all rings, holes too; r and i are places of the ring and of the edge's first end."""
-    points = polygons.select(key, *more, F.posexplode(rings).alias("r", "ring")).select(key, *more, "r", F.size("ring").alias("n"), "ring", F.posexplode("ring").alias("i", "p"))
-    q = F.element_at("ring", F.when(F.col("i") == F.col("n") - 1, 1).otherwise(F.col("i") + 2))
-    return points.select(key, *more, "r", "i", F.col("p.x").alias("x1"), F.col("p.y").alias("y1"), q["x"].alias("x2"), q["y"].alias("y2"))
+    points = polygons.select(key, *more, F.posexplode(rings).alias("r", "__ring")).select(key, *more, "r", F.size("__ring").alias("__n"), "__ring", F.posexplode("__ring").alias("i", "__p"))
+    q = F.element_at("__ring", F.when(F.col("i") == F.col("__n") - 1, 1).otherwise(F.col("i") + 2))
+    return points.select(key, *more, "r", "i", F.col("__p.x").alias("x1"), F.col("__p.y").alias("y1"), q["x"].alias("x2"), q["y"].alias("y2"))
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, key: str, other: str, side: float, x: str = "x", y: str = "y", rings: str = "rings") -> DataFrame:

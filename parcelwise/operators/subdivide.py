@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -195,11 +195,6 @@ def unbridged(ring: np.ndarray) -> list[list[np.ndarray]]:
     return [p for p, yes in zip(found, planar.inside(spots, edges), strict=True) if yes]
 
 
-def _array(points) -> np.ndarray:
-    ring = np.array([[p["x"], p["y"]] for p in points], float).reshape(-1, 2)
-    return ring[:-1] if len(ring) > 1 and (ring[0] == ring[-1]).all() else ring
-
-
 def subdivide(polygons: DataFrame, key: str, rings: str, most_area: float, most_wagner: float, least_area: float | None = None) -> DataFrame:
     """(key, part, x, y, area, rings): parts that cover each polygon, with an interior point each.
 
@@ -215,20 +210,18 @@ def subdivide(polygons: DataFrame, key: str, rings: str, most_area: float, most_
     single = "array<array<" not in polygons.schema[rings].dataType.simpleString()
 
     def run(batches):
-        for pdf in batches:
-            out = []
-            for k, value in zip(pdf["k"], pdf["r"], strict=True):
-                shape = [] if value is None else [_array(r) for r in ([value] if single else value) if r is not None]
-                shape = [r for r in shape if len(r) > 2 and ring_area(r)]
+        for batch in batches:
+            rows, shapes = [], []
+            for k, given in enumerate(planar.polygons_of(batch.column(1))):
+                shape = [r for r in given if ring_area(r)]
                 if not shape:
                     continue
-                number = 0
-                for part in parts_of(bridged(shape), most_area, most_wagner, least):
-                    for polygon in unbridged(part) if len(shape) > 1 else [[part]]:
-                        at = [[{"x": x, "y": y} for x, y in r.tolist()] for r in polygon]
-                        out.append((k, number, *interior_of(polygon), planar.area_of(polygon), at))
-                        number += 1
-            yield pd.DataFrame(out, columns=[key, "part", "x", "y", "area", "rings"])
-
-    rows = polygons.select(F.col(key).alias("k"), F.col(rings).alias("r"))
-    return rows.mapInPandas(run, f"{key} {kind}, part int, x double, y double, area double, rings array<array<struct<x double, y double>>>")
+                found = [p for part in parts_of(bridged(shape), most_area, most_wagner, least) for p in (unbridged(part) if len(shape) > 1 else [[part]])]
+                rows += [(k, n, *interior_of(p), planar.area_of(p)) for n, p in enumerate(found)]
+                shapes += [planar.points_in(p) for p in found]
+            own = [pa.array([r[c] for r in rows], kind_) for c, kind_ in enumerate((pa.int32(), pa.int32(), *[pa.float64()] * 3))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own[0]), *own[1:], pa.array(shapes, planar.SHAPE)], [key, "part", "x", "y", "area", "rings"])
+
+    shape = F.array(rings) if single else F.col(rings)
+    rows = polygons.where(F.col(rings).isNotNull()).select(F.col(key).alias("k"), shape.alias("r"))
+    return rows.mapInArrow(run, f"{key} {kind}, part int, x double, y double, area double, rings array<array<struct<x double, y double>>>")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,10 +38,15 @@ def write(features: DataFrame, path: str, rows_per_file: int = 250_000) -> None:
     features.write.option("maxRecordsPerFile", rows_per_file).text(path)
 
 
-def layer(df: DataFrame, slots: dict[str, str], where: str | None = None, constants: dict | None = None) -> DataFrame:
-    """Columns renamed to slots, with a filter and constant slots."""
+def layer(df: DataFrame, slots: dict[str, str], where: str | None = None, constants: dict | None = None, converters: dict[str, Callable[[Column], Column]] | None = None, order: list[str] | None = None) -> DataFrame:
+    """Columns renamed to slots, with a filter, constant slots, a converter of Columns per slot, and rows sorted by slots.
+
+    Nulls come first in the order; a range of it is one partition, so files written from it are sorted in a row.
+    """
     out = df.where(where) if where else df
-    return out.select(*(F.col(c).alias(s) for s, c in slots.items()), *(F.lit(v).alias(s) for s, v in (constants or {}).items()))
+    same = lambda c: c
+    out = out.select(*((converters or {}).get(s, same)(F.col(c)).alias(s) for s, c in slots.items()), *(F.lit(v).alias(s) for s, v in (constants or {}).items()))
+    return out.orderBy(*order) if order else out
 
 
 def merged(workspaces: list[dict[str, DataFrame]]) -> dict[str, DataFrame]:

@@ -87,37 +87,55 @@ def relation_tags(rels: DataFrame, common: DataFrame) -> DataFrame:
 
 
 def stitch(ways: list[tuple[list[int], list]]) -> list[tuple[list[int], list]] | None:
-    """Rings of (refs, points) from ways that meet end to end; None if one stays open. Hashed ends, so linear."""
-    rings, chains, ends = [], {}, {}
-    serial = 0
+    """Rings of (refs, points) from ways that meet end to end; None if one stays open.
 
-    def forget(k: int) -> None:
-        refs = chains[k][0]
-        for e in (refs[0], refs[-1]):
-            ends[e].discard(k)
-
-    for refs, pts in ways:
-        refs, pts = list(refs), list(pts)
+    A walk takes the least unused way at the place where it stands, in either direction, and
+    turns into a ring whenever it comes back to a place on it. Only numbers of ways are kept until
+    a ring is whole, so the work is in proportion to the ways. Rings stand in the order of their least ways.
+    """
+    rings = [(k, list(refs), list(pts)) for k, (refs, pts) in enumerate(ways) if refs[0] == refs[-1]]
+    names = [k for k, (refs, _) in enumerate(ways) if refs[0] != refs[-1]]
+    open_ = [ways[k] for k in names]
+    at: dict[int, list[int]] = {}
+    for k in reversed(range(len(open_))):
+        for end in (open_[k][0][0], open_[k][0][-1]):
+            at.setdefault(end, []).append(k)  # the least way is last
+    used = [False] * len(open_)
+    for first in range(len(open_)):
+        if used[first]:
+            continue
+        here = open_[first][0][0]
+        walk, nodes, place = [], [here], {here: 0}
         while True:
-            if refs[0] == refs[-1]:
-                rings.append((refs, pts))
-                break
-            mate = next(((e, k) for e in (refs[0], refs[-1]) for k in sorted(ends.get(e, ()))), None)
-            if mate is None:
-                chains[serial] = (refs, pts)
-                for e in (refs[0], refs[-1]):
-                    ends.setdefault(e, set()).add(serial)
-                serial += 1
+            todo = at[here]
+            while todo and used[todo[-1]]:
+                todo.pop()
+            if not todo:
                 break
-            e, k = mate
-            forget(k)
-            r, p = chains.pop(k)
-            if refs[-1] != e:
-                refs, pts = refs[::-1], pts[::-1]
-            if r[0] != e:
-                r, p = r[::-1], p[::-1]
-            refs, pts = refs + r[1:], pts + p[1:]
-    return None if chains else [x for x in rings if len(x[0]) > 3]
+            k = todo.pop()
+            used[k] = True
+            forward = open_[k][0][0] == here
+            walk.append((k, forward))
+            here = open_[k][0][-1 if forward else 0]
+            if here in place:
+                start = place[here]
+                refs, pts = [here], []
+                for way, ahead in walk[start:]:
+                    r, p = open_[way] if ahead else (open_[way][0][::-1], open_[way][1][::-1])
+                    refs += r[1:]
+                    pts += p[0 if not pts else 1 :]
+                rings.append((min(names[way] for way, _ in walk[start:]), refs, pts))
+                for node in nodes[start + 1 :]:
+                    del place[node]
+                del walk[start:], nodes[start + 1 :]
+                if not walk:
+                    break
+            else:
+                place[here] = len(nodes)
+                nodes.append(here)
+        if walk:
+            return None
+    return [(refs, pts) for _, refs, pts in sorted(rings, key=lambda x: x[0]) if len(refs) > 3]
 
 
 def _inside(pt, ring) -> bool:

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from parcelwise.jobs import layer_queries, network_queries, segment_queries  # noqa: F401
+from parcelwise.jobs import layer_queries, network_queries, parcel_queries, segment_queries  # noqa: F401
 from parcelwise.jobs.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
