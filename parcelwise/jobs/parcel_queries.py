@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.geometry import polygon_area
-from ..operators import aggregate, lines, models, parcels, planar, recipes, segments, spatial, subdivide
+from ..operators import aggregate, layers, models, parcels, planar, recipes, segments, spatial, subdivide
 from .queries import _CELLS, _cells, _diamonds, query, r, t, xy
 
 
@@ -164,3 +164,17 @@ def commonly_filtered(spark, d):
     a = aggregate.merged_sums(rows, "l_suppkey", "l_returnflag", F.col("l_quantity"), {"back": ["A", "R"]})
     b = aggregate.category_sums(rows, "l_suppkey", "l_returnflag", "l_quantity", ["A"])
     return a.join(b, "l_suppkey").select("l_suppkey", r("g_back", 2).alias("g_back"), r("c_A", 2).alias("c_A"))
+
+
+@query("SELECT s_nationkey % 2 AS class, count(*) AS lines, 4 AS corners, 15.0::DOUBLE AS length FROM supplier GROUP BY 1")
+def dissolved_roads(spark, d):
+    """Suppliers' roads of three edges, stored in both directions, as single lines; others of another class meet them in the middle."""
+    k = F.col("s_suppkey")
+    x, y = (k % 100 * 100).cast("double"), (F.floor(k / 100) * 100).cast("double")
+    steps = [(0, 0, 5, 0), (5, 5, 5, 0), (5, 5, 10, 5), (10, 5, 5, 5)]
+    edge = F.explode(F.array(*(F.struct(*(F.lit(float(v)).alias(n) for v, n in zip(s, ("a", "b", "c", "d"), strict=True))) for s in steps)))
+    rows = t(spark, d, "supplier").select((F.col("s_nationkey") % 2).alias("class"), x.alias("x"), y.alias("y"), edge.alias("e"))
+    edges = rows.select("class", (F.col("x") + F.col("e.a")).alias("x1"), (F.col("y") + F.col("e.b")).alias("y1"), (F.col("x") + F.col("e.c")).alias("x2"), (F.col("y") + F.col("e.d")).alias("y2"))
+    crossing = rows.select((F.lit(3) - F.col("class")).alias("class"), (F.col("x") + 5).alias("x1"), F.col("y").alias("y1"), (F.col("x") + 5).alias("x2"), (F.col("y") - 9).alias("y2"))
+    out = layers.dissolved(edges.unionByName(crossing), ["class"]).where("class < 2")
+    return out.groupBy("class", F.size("pts").alias("corners"), r("length").alias("length")).agg(F.count(F.lit(1)).alias("lines"))

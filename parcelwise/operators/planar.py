@@ -19,10 +19,19 @@ DIGITS, TOLERANCE = 6, 2e-6
 Polygon = list[np.ndarray]
 
 
+def after(a: np.ndarray) -> np.ndarray:
+    """Each corner's next one."""
+    return np.concatenate([a[1:], a[:1]])
+
+
+def before(a: np.ndarray) -> np.ndarray:
+    return np.concatenate([a[-1:], a[:-1]])
+
+
 def ring_area(ring: np.ndarray) -> float:
     """Signed: positive if counter-clockwise."""
     x, y = (ring - ring[0]).T
-    return float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum() / 2)
+    return float((x * after(y) - after(x) * y).sum() / 2)
 
 
 def area_of(polygon: Polygon) -> float:
@@ -31,16 +40,16 @@ def area_of(polygon: Polygon) -> float:
 
 def edges_of(rings: Polygon) -> np.ndarray:
     """(n, 4) edges of rings, closed or not."""
-    return np.concatenate([np.concatenate([r, np.roll(r, -1, 0)], 1) for r in rings]) if rings else np.zeros((0, 4))
+    return np.concatenate([np.concatenate([r, after(r)], 1) for r in rings]) if rings else np.zeros((0, 4))
 
 
 def inside(points: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Whether each point (n, 2) lies within the rings that the edges make: an odd number crossed to the right."""
+    """Whether each point (n, 2) lies within the rings that the edges make: an odd number crossed to the right, as ``geometry.crosses`` has it."""
     x, y = points[:, :1], points[:, 1:]
     x1, y1, x2, y2 = edges.T
     level = (np.minimum(y1, y2) < y) & (y <= np.maximum(y1, y2))
     at = x1 + (y - y1) / np.where(y1 == y2, 1.0, y2 - y1) * (x2 - x1)
-    return (level & (at > x)).sum(1) % 2 == 1
+    return (level & (at >= x)).sum(1) % 2 == 1
 
 
 def inner_point(polygon: Polygon) -> tuple[float, float]:
@@ -107,14 +116,14 @@ def _walk(a: np.ndarray, b: np.ndarray, xy: np.ndarray) -> tuple[np.ndarray, np.
     start = np.searchsorted(a[order], np.arange(len(xy)))
     count = np.bincount(a, minlength=len(xy))
     twin = np.arange(len(a)) ^ 1
-    after = order[start[b] + (place[twin] - start[b] - 1) % count[b]].tolist()
+    onward = order[start[b] + (place[twin] - start[b] - 1) % count[b]].tolist()
     cycle = [-1] * len(a)
     for first in range(len(a)):
         h = first
         while cycle[h] < 0:
             cycle[h] = first
-            h = after[h]
-    return np.array(cycle), np.array(after)
+            h = onward[h]
+    return np.array(cycle), np.array(onward)
 
 
 def faces(edges: np.ndarray) -> list[Polygon]:
@@ -130,17 +139,17 @@ def faces(edges: np.ndarray) -> list[Polygon]:
         if not len(pairs):
             return []
         a, b = pairs.ravel(), pairs[:, ::-1].ravel()
-        cycle, after = _walk(a, b, xy)
+        cycle, onward = _walk(a, b, xy)
         apart = cycle[::2] != cycle[1::2]
         pairs = pairs[apart]
         if apart.all():
             break
     shapes = []
     for first in np.flatnonzero(cycle == np.arange(len(a))).tolist():
-        ring, h = [int(a[first])], int(after[first])
+        ring, h = [int(a[first])], int(onward[first])
         while h != first:
             ring.append(int(a[h]))
-            h = int(after[h])
+            h = int(onward[h])
         shapes.append(xy[ring])
     sizes = [ring_area(s) for s in shapes]
     outer = sorted((s, i) for i, s in enumerate(sizes) if s > 0)

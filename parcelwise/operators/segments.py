@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,17 +44,27 @@ def between_barriers(polygons: DataFrame, barriers: DataFrame, key: str, side: f
     edges = outline.withColumn("border", F.lit(True)).unionByName(inner.withColumn("border", F.lit(False)))
     kind = polygons.schema[key].dataType.simpleString()
 
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        e = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)
-        # Equal rows of a table repeat all their edges; one of each is the outline.
-        ring = np.unique(e[pdf["border"].to_numpy(bool)], axis=0)
-        found = planar.faces(e)
-        spots = np.array([planar.inner_point(p) for p in found]).reshape(-1, 2)
-        own = sorted((p for p, yes in zip(found, planar.inside(spots, ring), strict=True) if yes), key=lambda p: p[0].min(0).tolist())
-        rows = [(pdf["key"].iloc[0], i, planar.area_of(p), [[{"x": x, "y": y} for x, y in r.tolist()] for r in p]) for i, p in enumerate(own)]
-        return pd.DataFrame(rows, columns=["key", "part", "area", "rings"])
+    def cut(batches):
+        for batch in batches:
+            keys, rows, shapes = [], [], []
+            groups = batch.column(1)
+            ends, flat = groups.offsets.to_numpy(), groups.values
+            corners = np.stack([flat.field(c).to_numpy() for c in ("x1", "y1", "x2", "y2")], 1)
+            border = flat.field("border").to_numpy(zero_copy_only=False).astype(bool)
+            for k, (low, high) in enumerate(zip(ends, ends[1:], strict=False)):
+                e = corners[low:high]
+                # Equal rows of a table repeat all their edges; one of each is the outline.
+                ring = np.unique(e[border[low:high]], axis=0)
+                found = planar.faces(e)
+                spots = np.array([planar.inner_point(p) for p in found]).reshape(-1, 2)
+                own = sorted((p for p, yes in zip(found, planar.inside(spots, ring), strict=True) if yes), key=lambda p: p[0].min(0).tolist())
+                keys += [k] * len(own)
+                rows += [(i, planar.area_of(p)) for i, p in enumerate(own)]
+                shapes += [planar.points_in(p) for p in own]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int32())), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.float64()), pa.array(shapes, planar.SHAPE)], ["key", "part", "area", "rings"])
 
-    split = edges.groupBy("key").applyInPandas(cut, f"key {kind}, part int, area double, rings {RINGS}")
+    groups = edges.groupBy("key").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2", "border")).alias("edges"))
+    split = groups.mapInArrow(cut, f"key {kind}, part int, area double, rings {RINGS}")
     left = whole.join(touched, "key", "left_anti").dropDuplicates(["key"])
     rest = left.select("key", F.lit(0).alias("part"), polygon_area(F.array("rings")).alias("area"), F.transform("rings", lambda r: F.transform(r, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))).alias("rings"))
     return split.unionByName(rest).withColumnRenamed("key", key)

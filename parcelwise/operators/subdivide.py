@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import planar
-from .planar import ring_area
+from .planar import after, before, ring_area
 
 #: Corners and places on edges that a dividing line may join.
 CORNERS, PLACES = 96, 32
@@ -40,25 +40,25 @@ def halves(ring: np.ndarray) -> list[np.ndarray]:
 
 def wagner(ring: np.ndarray) -> float:
     area = abs(ring_area(ring))
-    length = np.hypot(*(np.roll(ring, -1, 0) - ring).T).sum()
+    length = np.hypot(*(after(ring) - ring).T).sum()
     return length / (2 * math.sqrt(math.pi * area)) if area > 1e-6 else 0.0
 
 
 def _turns(ring: np.ndarray) -> np.ndarray:
     """Positive at corners that turn left."""
-    a, b = ring - np.roll(ring, 1, 0), np.roll(ring, -1, 0) - ring
+    a, b = ring - before(ring), after(ring) - ring
     return a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0]
 
 
 def simplified(ring: np.ndarray, shortest: float = 0.0) -> np.ndarray:
     """The ring without corners on a straight line and edges up to ``shortest``; three corners stay at least."""
     while len(ring) > 3:
-        step = np.hypot(*(np.roll(ring, -1, 0) - ring).T)
-        gone = (np.abs(_turns(ring)) <= 1e-9 * np.maximum(step * np.roll(step, 1), 1e-12)) | (step <= shortest)
+        step = np.hypot(*(after(ring) - ring).T)
+        gone = (np.abs(_turns(ring)) <= 1e-9 * np.maximum(step * before(step), 1e-12)) | (step <= shortest)
         if not gone.any():
             break
         # Not two neighbours at once: the second may matter once the first has gone.
-        first = gone & ~np.roll(gone, 1)
+        first = gone & ~before(gone)
         keep = ~(first if first.any() else gone & (np.arange(len(gone)) % 2 == 0))
         if keep.sum() < 3:
             break
@@ -68,7 +68,7 @@ def simplified(ring: np.ndarray, shortest: float = 0.0) -> np.ndarray:
 
 def _clear(ring: np.ndarray, a: np.ndarray, b: np.ndarray) -> bool:
     """The open line from a to b meets no edge of the ring."""
-    c, d = ring, np.roll(ring, -1, 0)
+    c, d = ring, after(ring)
     cross = lambda u, v: u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]
     a1, a2, b1, b2 = cross(d - c, a - c), cross(d - c, b - c), cross(b - a, c - a), cross(b - a, d - a)
     if ((a1 * a2 < 0) & (b1 * b2 < 0)).any():
@@ -79,11 +79,11 @@ def _clear(ring: np.ndarray, a: np.ndarray, b: np.ndarray) -> bool:
 
 def _in_cone(ring: np.ndarray, i: int, q: np.ndarray) -> bool:
     """The way from corner i to q starts inside a counter-clockwise ring."""
-    p, before, after = ring[i], ring[i - 1], ring[(i + 1) % len(ring)]
+    p, last, following = ring[i], ring[i - 1], ring[(i + 1) % len(ring)]
     left = lambda u, v, w: (v[0] - u[0]) * (w[1] - u[1]) - (v[1] - u[1]) * (w[0] - u[0])
-    if left(before, p, after) > 0:
-        return left(p, q, before) > 0 and left(p, after, q) > 0
-    return not (left(p, q, after) >= 0 and left(p, before, q) >= 0)
+    if left(last, p, following) > 0:
+        return left(p, q, last) > 0 and left(p, following, q) > 0
+    return not (left(p, q, following) >= 0 and left(p, last, q) >= 0)
 
 
 def bridged(rings: list[np.ndarray]) -> np.ndarray:
@@ -113,13 +113,13 @@ def parted(ring: np.ndarray) -> list[np.ndarray] | None:
 
     Corners that turn right come first as ends, then other corners and places on long edges.
     """
-    step = np.hypot(*(np.roll(ring, -1, 0) - ring).T)
+    step = np.hypot(*(after(ring) - ring).T)
     total = step.sum()
     n = 2 * np.ceil(step * PLACES / (2 * total)).astype(int)
     n[step < total / PLACES] = 1
     owner = np.repeat(np.arange(len(ring)), n)
     share = np.concatenate([np.arange(k) / k for k in n])
-    pts = ring[owner] + share[:, None] * (np.roll(ring, -1, 0) - ring)[owner]
+    pts = ring[owner] + share[:, None] * (after(ring) - ring)[owner]
     corner = share == 0
     turn = _turns(pts)
     rank = np.where(corner & (turn < 0), 0, np.where(corner, 1, 2))
@@ -130,7 +130,7 @@ def parted(ring: np.ndarray) -> list[np.ndarray] | None:
     else:
         chosen = np.arange(len(pts))
     x, y = (pts - pts[0]).T
-    run = np.concatenate([[0.0], np.cumsum(x * np.roll(y, -1) - np.roll(x, -1) * y)]) / 2
+    run = np.concatenate([[0.0], np.cumsum(x * after(y) - after(x) * y)]) / 2
     whole = run[-1]
     i, j = (chosen[k] for k in np.triu_indices(len(chosen), 1))
     cut = run[j] - run[i] + (x[j] * y[i] - x[i] * y[j]) / 2
@@ -178,10 +178,10 @@ def interior_of(polygon: list[np.ndarray]) -> tuple[float, float]:
     """``interior`` of a polygon with holes."""
     edges = planar.edges_of(polygon)
     x, y = (polygon[0] - polygon[0][0]).T
-    c = x * np.roll(y, -1) - np.roll(x, -1) * y
+    c = x * after(y) - after(x) * y
     area = c.sum() / 2
     if area:
-        centre = polygon[0][0] + np.array([((x + np.roll(x, -1)) * c).sum(), ((y + np.roll(y, -1)) * c).sum()]) / (6 * area)
+        centre = polygon[0][0] + np.array([((x + after(x)) * c).sum(), ((y + after(y)) * c).sum()]) / (6 * area)
         if planar.inside(centre[None], edges)[0]:
             return float(centre[0]), float(centre[1])
     return planar.inner_point(polygon)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import planar
+
 #: Tags that are dropped on reading, and the relation types that make areas.
 DROPPED_TAGS = ["source", "fixme", "created_by"]
 AREA_RELATIONS = ["boundary", "multipolygon"]
@@ -138,42 +140,35 @@ def stitch(ways: list[tuple[list[int], list]]) -> list[tuple[list[int], list]] |
     return [(refs, pts) for _, refs, pts in sorted(rings, key=lambda x: x[0]) if len(refs) > 3]
 
 
-def _inside(pt, ring) -> bool:
-    hit = False
-    for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True):
-        if min(y1, y2) < pt[1] <= max(y1, y2) and pt[0] <= max(x1, x2) and (x1 == x2 or pt[0] <= (pt[1] - y1) * (x2 - x1) / (y2 - y1) + x1):
-            hit = not hit
-    return hit
-
-
 def relation_polygons(relrefs: DataFrame, lines: DataFrame) -> DataFrame:
     """(id, parts): stitched outer rings with their holes; relations that don't close have no row.
 
     One relation is one group, bounded by its own members; ``lines`` are the ways that
     ``way_lines`` has put together, so coordinates are joined once.
     """
-    member = relrefs.distinct().join(lines.select(F.col("id").alias("wayref"), "refs", "pts"), "wayref").select("id", "wayref", "outer", "refs", F.transform("pts", lambda p: F.array(p["x"], p["y"])).alias("pts"))
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("wayref")
-        sides = []
-        for flag in (True, False):
-            own = pdf[pdf["outer"] == flag]
-            sides.append(stitch([(list(r), [tuple(q) for q in p]) for r, p in zip(own["refs"], own["pts"], strict=True)]))
-        empty = pd.DataFrame({"id": pd.Series(dtype="int64"), "parts": pd.Series(dtype=object)})
-        if sides[0] is None or sides[1] is None or not sides[0]:
-            return empty
-
-        def turned(ring, ccw):
-            x, y = np.array(ring).T
-            up = (x * np.roll(y, -1) - np.roll(x, -1) * y).sum() > 0
-            return ring if up == ccw else ring[::-1]
-
-        parts = [[turned(p, True)] for _, p in sides[0]]
-        for _, hole in sides[1]:
-            home = parts[0] if len(parts) == 1 else next((q for q in parts if _inside(hole[0], q[0])), None)
+    ways = lines.select(F.col("id").alias("wayref"), "refs", F.transform("pts", lambda p: F.array(p["x"], p["y"])).alias("pts"))
+    member = relrefs.distinct().join(ways, "wayref").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("wayref", "outer", "refs", "pts"))).alias("ways"))
+    kind = pa.list_(pa.list_(pa.list_(pa.list_(pa.float64()))))
+
+    def turned(ring: list, ccw: bool) -> list:
+        return ring if (planar.ring_area(np.array(ring)) > 0) == ccw else ring[::-1]
+
+    def build(ways: list[dict]) -> list | None:
+        outer, inner = (stitch([(w["refs"], w["pts"]) for w in ways if w["outer"] == flag]) for flag in (True, False))
+        if not outer or inner is None:
+            return None
+        parts = [[turned(p, True)] for _, p in outer]
+        edges = [planar.edges_of([np.array(q[0])]) for q in parts] if len(parts) > 1 and inner else []
+        for _, hole in inner:
+            home = parts[0] if len(parts) == 1 else next((q for q, e in zip(parts, edges, strict=True) if planar.inside(np.array(hole[:1]), e)[0]), None)
             if home is not None:
                 home.append(turned(hole, False))
-        return pd.DataFrame({"id": [pdf["id"].iloc[0]], "parts": [[[[list(p) for p in ring] for ring in part] for part in parts]]})
+        return parts
+
+    def run(batches):
+        for batch in batches:
+            built = [build(ways) for ways in batch.column(1).to_pylist()]
+            at = pa.array([i for i, p in enumerate(built) if p is not None], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([p for p in built if p is not None], kind)], ["id", "parts"])
 
-    return member.groupBy("id").applyInPandas(build, "id bigint, parts array<array<array<array<double>>>>")
+    return member.mapInArrow(run, "id bigint, parts array<array<array<array<double>>>>")

@@ -192,3 +192,18 @@ def test_self_intersections(spark):
     rows = [(1, rings(bow)), (1, rings(bow)), (2, rings(SQUARE)), (3, rings(eight)), (4, rings(SQUARE, SQUARE / 2)), (5, rings([*SQUARE.tolist(), (0, 0)])), (6, None)]
     got = {r["k"]: r["crossings"] for r in planar.self_intersections(spark.createDataFrame(rows, f"k long, rings {RINGS}"), "k", 4.0).collect()}
     assert got.keys() == {1, 3, 4} and got[1] == 1
+
+
+def test_dissolved_lines(spark):
+    from parcelwise.operators import layers
+
+    chain = [("a", float(i), 0.0, float(i + 1), 0.0) for i in range(40)]
+    chain = [(c, x2, y2, x1, y1) if i % 3 else (c, x1, y1, x2, y2) for i, (c, x1, y1, x2, y2) in enumerate(chain)]
+    fork = [("a", 20.0, 0.0, 20.0, 7.0), ("b", 30.0, 0.0, 30.0, 7.0)]
+    ring = [("c", 0.0, 50.0, 4.0, 50.0), ("c", 4.0, 50.0, 4.0, 53.0), ("c", 4.0, 53.0, 0.0, 50.0)]
+    lasso = [("d", -3.0, 50.0, 0.0, 50.0), *(("d", *e[1:]) for e in ring)]
+    rows = chain + fork + ring + lasso + chain[:5] + [("a", 1.0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "class string, x1 double, y1 double, x2 double, y2 double").repartition(5)
+    got = sorted((r["class"], round(r["length"], 6), len(r["pts"])) for r in layers.dissolved(df, ["class"]).collect())
+    assert got == [("a", 7.0, 2), ("a", 20.0, 21), ("a", 20.0, 21), ("b", 7.0, 2), ("c", 12.0, 4), ("d", 3.0, 2), ("d", 12.0, 4)]
+    assert layers.dissolved(df.limit(0), ["class"]).count() == 0
