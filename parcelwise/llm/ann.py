@@ -108,7 +108,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, v, dim) without null ids, and without vectors that are null, empty, zero, or hold
-    null or non-finite components; of other lengths than most, too. Vectors whose squares would
+    null or non-finite components. Vectors whose squares would
     overflow or vanish are brought to a largest component of 1, which leaves their cosines."""
     v = F.col(vector_col).cast("array<double>")
     square = F.aggregate(v, F.lit(0.0), lambda a, b: a + b * b)
@@ -122,17 +122,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, sample_rows: int
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each query by cosine, its own id excepted.
 
     Equal vectors stand in the index once, with their ``k + 1`` least ids, which is all
-    that a result can show of them; ties go to the smaller id. Where a block's scan ends
+    that a result can show of them; ties go to the smaller id. Vectors meet those of their own
+    length, each length with an index of its own. Where a block's scan ends
     in a tie, or within the index's own error of it, all of those are reranked.
     """
     spark = vectors.sparkSession
-    every = saved(usable(vectors, id_col, vector_col))
-    common = every.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if common is None:
-        return spark.createDataFrame([], schema)
-    dim = common["dim"]
-    every = every.where(F.col("dim") == dim).select("vec_id", "v")
+    every, asked = saved(usable(vectors, id_col, vector_col)), saved(usable(queries, id_col, vector_col))
+    lengths = sorted(r[0] for r in asked.select("dim").distinct().join(every.select("dim").distinct(), "dim").collect())
+    found = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for dim in lengths:
+        own, mine = (t.where(F.col("dim") == dim).select("vec_id", "v") for t in (every, asked))
+        found = found.unionByName(_searched(own, mine, dim, k, sample_rows, rerank))
+    return found
+
+
+def _searched(every: DataFrame, wanted: DataFrame, dim: int, k: int, sample_rows: int, rerank: int) -> DataFrame:
+    """``search`` among vectors (vec_id, v) of one length."""
     hashed = every.withColumn("h", F.xxhash64("v"))
     least = hashed.withColumn("r", F.row_number().over(W.partitionBy("h", "v").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     distinct = saved(least.select("vec_id", "v", "r", "h").repartition("h").sortWithinPartitions("h", "vec_id"))
@@ -142,7 +147,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, sample_rows: int
     book = Codebook(x)
     error = float(np.std(((x - book.decode(book.pack(book.encode(x)))) * np.roll(x, 1, axis=0)).sum(1)))
     parts = []
-    wanted = usable(queries, id_col, vector_col).where(F.col("dim") == dim).select("vec_id", "v")
     # Queries go out in blocks; each block is one scan of the index.
     n_queries = wanted.count()
     blocks = max(1, -(-n_queries // QUERY_BLOCK))

@@ -68,8 +68,16 @@ def sharded(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col:
     return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("base") + F.col("inside")).alias("slot"), "grown_shard")
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", rows_per_file: int = 100_000) -> None:
-    """Writes ``docs`` as Parquet, one folder ``shard=N`` each, without a shuffle of texts."""
-    key = F.coalesce(F.xxhash64(id_col), F.lit(0))
-    picked = assign(docs.withColumn("__key", F.when(F.col(id_col).isNull(), F.lit(0)).otherwise(key)), "__key", shards, ("shard", "__grown"))
+def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", rows_per_file: int = 100_000) -> None:
+    """Writes ``docs`` as Parquet, one folder ``shard=N`` each, without a shuffle of texts.
+
+    Shards are those of ``sharded``: a null id's key is its text's checksum, so that such rows spread.
+    A column that is itself called shard is written as __shard. An empty table writes no folder.
+    """
+    text = F.encode(text_or_empty(text_col), "UTF-8")
+    key = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit("null"), F.crc32(text).cast("long"))).otherwise(F.xxhash64(id_col))
+    rows = docs.withColumn("__key", key)
+    if "shard" in rows.columns:
+        rows = rows.withColumnRenamed("shard", "__shard")
+    picked = assign(rows, "__key", shards, ("shard", "__grown"))
     picked.drop("__key", "__grown").write.option("maxRecordsPerFile", rows_per_file).partitionBy("shard").parquet(path)
