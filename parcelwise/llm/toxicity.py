@@ -166,14 +166,26 @@ def fit_rows(labels: np.ndarray, text: np.ndarray, feature: np.ndarray, weight:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, n1, n0) of a task's texts (text, y): toxic and clean texts that hold it."""
+    """(bucket, n1, n0) of a task's texts (text, y): toxic and clean texts that hold it.
+
+    Texts are counted part by part; of a text that goes on in the next part the n-grams are carried over.
+    """
     seen = np.zeros((2, BUCKETS), np.int32)
     for batch in batches:
         y = batch.column(1).to_numpy()
-        held = [np.unique(b.row[b.word] * BUCKETS + b.bucket) for b in bags(batch.column(0).to_pylist())]
-        held = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
-        for c in (0, 1):
-            seen[c] += np.bincount(held[y[held // BUCKETS] == c] % BUCKETS, minlength=BUCKETS).astype(np.int32)
+        carried = np.zeros(0, np.int64)
+
+        def count(held: np.ndarray, y: np.ndarray = y) -> None:
+            for c in (0, 1):
+                bucket, n = np.unique(held[y[held // BUCKETS] == c] % BUCKETS, return_counts=True)
+                seen[c][bucket] += n.astype(np.int32)
+
+        for b in bags(batch.column(0).to_pylist()):
+            held = np.unique(np.concatenate([carried, b.row[b.word] * BUCKETS + b.bucket]))
+            last = len(held) and held[-1] // BUCKETS * BUCKETS
+            count(held[held < last])
+            carried = held[held >= last]
+        count(carried)
     found = np.flatnonzero(seen[1])
     rest = np.flatnonzero((seen[1] == 0) & (seen[0] > 0))
     for some in (*np.array_split(found, 1 + len(found) // 100_000), *np.array_split(rest, 1 + len(rest) // 100_000)):
