@@ -62,34 +62,48 @@ def directed(edges: DataFrame, oneway: Column, cost: str = "cost") -> DataFrame:
 LOGGED = 6
 
 
-def cost_matrix(edges: DataFrame, targets: DataFrame, target: str = "target", rounds: int = 10_000) -> DataFrame:
-    """(target, v, cost): the cheapest way from each vertex to each of a few targets.
-
-    Relaxes the reversed edges from the frontier alone. A round writes only the costs that it
-    lowered; a vertex's cost is the least of those written, and now and then the tables are drawn
-    together and the old ones deleted. It ends when nothing gets cheaper, and raises an
-    error if that takes more than ``rounds`` rounds (edges of a way, at least).
+def cost_matrix(edges: DataFrame, targets: DataFrame, target: str = "target", rounds: int = 10_000, width: float | None = None) -> DataFrame:
+    """(target, v, cost): the cheapest way from each vertex to each of a few targets; costs of edges aren't negative.
+
+    Relaxes the reversed edges from a frontier. A round writes only the costs that it lowered; a
+    vertex's cost is the least of those written, and now and then the tables are drawn together
+    and the old ones deleted. width: the frontier takes the lowest costs first, a span of so much at a time, and
+    goes on when nothing within the span gets cheaper, so that hardly a vertex is relaxed twice. That
+    pays where vertices have many edges (mean cost over mean degree is a good span); without it, as
+    for roads, everything that got cheaper goes on at once. It ends when nothing gets cheaper, and raises
+    an error if that takes more than ``rounds`` rounds (edges of a way, at least).
     """
 
     def least(log: list[DataFrame]) -> DataFrame:
         return reduce(DataFrame.unionByName, log).groupBy("target", "v").agg(F.min("cost").alias("cost"))
 
     first = targets.select(F.col(target).alias("target"), F.col(target).alias("v"), F.lit(0.0).alias("cost"))
-    fresh = kept(first.where("target is not null").distinct())
-    back, log = kept(edges.select(F.col("dst").alias("v"), "src", F.col("cost").alias("c"))), [fresh]
+    back = kept(edges.select(F.col("dst").alias("v"), "src", F.col("cost").alias("c")))
+    log = [kept(first.where("target is not null").distinct())]
+    frontier, end = log[0], width
     for _ in range(rounds):
-        step = fresh.join(back, "v").groupBy("target", F.col("src").alias("v")).agg(F.min(F.col("cost") + F.col("c")).alias("cost"))
+        step = frontier.join(back, "v").groupBy("target", F.col("src").alias("v")).agg(F.min(F.col("cost") + F.col("c")).alias("cost"))
         old = least(log).withColumnRenamed("cost", "old")
         fresh = kept(step.join(old, ["target", "v"], "left").where("old is null or cost < old").select("target", "v", "cost"))
-        if fresh.isEmpty():
-            out = kept(least(log))
-            freed(*log, back, fresh)
-            return out
         log.append(fresh)
+        low = fresh.agg(F.min("cost")).first()[0]
         if len(log) > LOGGED:
             whole = kept(least(log))
             freed(*log[:-1])
             log = [whole, fresh]
+        if width is None:
+            frontier = fresh
+        elif low is not None and low < end:
+            frontier = fresh.where(F.col("cost") < end)
+        else:  # nothing within the span is left: on to the next costs that haven't been relaxed
+            low = least(log).where(F.col("cost") >= end).agg(F.min("cost")).first()[0]
+            if low is not None:
+                begun, end = end, low + width
+                frontier = least(log).where((F.col("cost") >= begun) & (F.col("cost") < end))
+        if low is None:
+            out = kept(least(log))
+            freed(*log, back)
+            return out
     raise RuntimeError(f"costs still fall after {rounds} rounds; give more rounds")
 
 

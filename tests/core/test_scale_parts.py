@@ -77,6 +77,8 @@ def test_costs_of_a_chain_and_too_few_rounds(spark, monkeypatch):
     goal = spark.createDataFrame([(14,), (14,), (None,)], "target long")
     got = {r["v"]: r["cost"] for r in network.cost_matrix(chain, goal).collect()}
     assert got == {i: float(sum(1 + k % 3 for k in range(i, 14))) for i in range(15)}
+    for width in (0.5, 2.0, 1_000.0):
+        assert {r["v"]: r["cost"] for r in network.cost_matrix(chain, goal, width=width).collect()} == got
     with pytest.raises(RuntimeError, match="rounds"):
         network.cost_matrix(chain, goal, rounds=5)
     assert network.cost_matrix(chain, goal.limit(0)).count() == 0
