@@ -14,6 +14,7 @@ def test_weighted_summaries(spark):
 
 @pytest.mark.parametrize(("q", "want"), [(5, 5.8), (6, 4.25), (7, 4.142857), (8, 3.988095)])
 def test_general_mode(spark, q, want):
+    # The demonstration series that the expected results belong to.
     values = [1, 2, 4, 5, 5, 6, 6, 7, 8, 9, 11, 13, 16, 20, 24, 30, 45, 80]
     df = spark.createDataFrame([(1, float(v)) for v in values], "id int, v double")
     assert aggregate.general_mode(df, "id", "v", q).first()["mode"] == pytest.approx(want, abs=1e-6)
