@@ -64,7 +64,7 @@ def linked(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Cal
     lists: (key long, node long, info), distinct. verify: keeps those of the pairs (a, b),
     a < b, that are links. A pair is a candidate if it shares a key and ``fits`` holds for
     the infos of the two rows. refine: gives stricter lists, which lose no link, for the
-    nodes (node) of long lists, with a rule of their own. rank: of an info; nodes of low
+    rows (key, node, info) of long lists, with a rule of their own. rank: of an info; nodes of low
     rank are pivots first. short: lists up to this length give all their pairs.
     """
     yes = lambda x, y: F.lit(True)
@@ -85,7 +85,7 @@ def linked(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Cal
     if long.limit(1).count() == 0:
         return components(saved(verify(pairs.distinct())))
     if refine is not None:
-        long, fits = sized(refine(long.select("node").distinct())), refined_fits
+        long, fits = sized(refine(long)), refined_fits
         pairs, long = pairs.union(both(long.where(F.col("n") <= short), fits)), long.where(F.col("n") > short)
     long = long.select("key", "node", "info")
     links = saved(verify(pairs.distinct()))

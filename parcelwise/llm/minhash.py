@@ -145,9 +145,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
         both = F.size(F.array_intersect("fa", "fb"))
         return likely.join(y, "b").join(x, "a").select("a", "b", "na", "nb", both.alias("both")).where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
-    def refine(nodes: DataFrame) -> DataFrame:
+    def refine(long: DataFrame) -> DataFrame:
         """Lists of full sets: similar ones share one of each set's rarest ``n - ceil(s * n) + 1`` shingles."""
-        rows = saved(sets.join(nodes.select(F.col("node").alias("sig")), "sig", "left_semi").select("sig", F.size("shingles").alias("n"), F.explode("shingles").alias("v")))
+        rows = saved(sets.join(long.select(F.col("node").alias("sig")).distinct(), "sig", "left_semi").select("sig", F.size("shingles").alias("n"), F.explode("shingles").alias("v")))
         often = rows.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
         order = rows.join(often, "v").groupBy("sig").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "v"))).alias("found"))
         rare = F.size("found") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
