@@ -208,29 +208,30 @@ def apply_linear(df: DataFrame, model: Model, name: str = "score") -> DataFrame:
 BLOCK_ROWS = 1_000
 
 
-def _packed(df: DataFrame, features: list[str], scale: list[float], extra: str, kind: str) -> DataFrame:
-    """(x, own): blocks of at most BLOCK_ROWS rows; x holds the scaled features row by row, own the extra column."""
+def _packed(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """(name): blocks of at most BLOCK_ROWS rows, each the columns as doubles, row by row."""
 
     def run(batches):
         for pdf in batches:
             for at in range(0, len(pdf), BLOCK_ROWS):
-                part = pdf.iloc[at : at + BLOCK_ROWS]
-                yield pd.DataFrame({"x": [(part[features].to_numpy(float) / np.array(scale)).ravel()], "own": [part[extra].tolist()]})
+                yield pd.DataFrame({name: [pdf.iloc[at : at + BLOCK_ROWS].to_numpy(float).ravel()]})
 
-    return df.select(*(F.col(f).cast("double").alias(f) for f in features), extra).mapInPandas(run, f"x array<double>, own array<{kind}>")
+    return df.select(*(F.col(c).cast("double").alias(c) for c in columns)).mapInPandas(run, f"{name} array<double>")
 
 
-def _weighed(batches, width: int, sigma: float):
-    """(own, w, wy) of query blocks against training blocks (x, own) and (tx, ty)."""
-    for pdf in batches:
-        for x, own, tx, ty in zip(pdf["x"], pdf["own"], pdf["tx"], pdf["ty"], strict=True):
-            q, t, y = np.reshape(x, (-1, width)), np.reshape(tx, (-1, width)), np.asarray(ty, float)
-            w, wy = np.empty(len(q)), np.empty(len(q))
-            for at in range(0, len(q), 128):
-                d = np.abs(q[at : at + 128, None, :] - t[None]).sum(-1)
-                e = np.exp(-d / sigma)
-                w[at : at + 128], wy[at : at + 128] = e.sum(1), e @ y
-            yield pd.DataFrame({"own": list(own), "w": w, "wy": wy})
+def _merged(training: DataFrame, names: list[str]) -> DataFrame:
+    """(names, n, total): training rows of equal features as one, with their number and the sum of their targets."""
+    return training.groupBy(*names).agg(F.count("target").alias("n"), F.sum("target").alias("total"))
+
+
+def _weighed(q: np.ndarray, t: np.ndarray, sigmas: list[float]) -> np.ndarray:
+    """(sigmas, 2, queries): sums of weights and of weighted targets of query rows against merged training rows (features, n, total)."""
+    out = np.empty((len(sigmas), 2, len(q)))
+    for at in range(0, len(q), 128):
+        d = sum(np.abs(q[at : at + 128, None, i] - t[None, :, i]) for i in range(q.shape[1])) + np.zeros((1, len(t)))
+        for k, s in enumerate(sigmas):
+            out[k, :, at : at + 128] = (np.exp(-d / s) @ t[:, -2:]).T
+    return out
 
 
 @dataclass
@@ -266,20 +267,30 @@ def fit_general(df: DataFrame, features: list[str], target: str, sigma: float |
 def score_general(df: DataFrame, model: KernelModel, key: str, name: str = "score") -> DataFrame:
     """(key, score): kernel mean of the training targets, weights exp(-L1 / sigma) between transformed features.
 
-    Query rows meet all training rows, both in blocks, and the sums of a key's blocks are added
+    Rows of equal features are one, on both sides, with the number and the sum of the targets of the training
+    rows. Query rows meet all training rows, both in blocks, and the sums of a query's blocks are added
     up, so neither side passes through the driver or one task. Null if all weights are 0 or a
     feature is null; repeated keys are one row's worth each.
     """
     missing = [f for f in model.preparation.features if f not in df.columns]
     if missing:
         raise KeyError(f"features {missing} are absent")
-    kind = df.schema[key].dataType.simpleString()
     columns = model.preparation.columns()
     names, width, sigma = [f"p{i}" for i in range(len(columns))], len(columns), model.sigma
-    known = _packed(model.training, names, [1.0] * width, "target", "double").toDF("tx", "ty")
-    asked = _packed(df.dropDuplicates([key]).select(*columns, F.col(key)), names, [1.0] * width, key, kind)
-    sums = asked.crossJoin(known).mapInPandas(lambda b: _weighed(b, width, sigma), f"own {kind}, w double, wy double")
-    return sums.groupBy(F.col("own").alias(key)).agg(F.try_divide(F.sum("wy"), F.sum("w")).alias(name))
+    rows = df.dropDuplicates([key]).select(F.col(key), *(c.cast("double").alias(f"p{i}") for i, c in enumerate(columns)))
+    known = _packed(_merged(model.training, names), [*names, "n", "total"], "t")
+    asked = _packed(rows.select(*names).na.drop().distinct(), names, "q")
+
+    def run(batches):
+        for pdf in batches:
+            for x, y in zip(pdf["q"], pdf["t"], strict=True):
+                q = np.reshape(x, (-1, width))
+                w, wy = _weighed(q, np.reshape(y, (-1, width + 2)), [sigma])[0]
+                yield pd.DataFrame({**{n: q[:, i] for i, n in enumerate(names)}, "w": w, "wy": wy})
+
+    sums = asked.crossJoin(known).mapInPandas(run, ", ".join(f"{n} double" for n in (*names, "w", "wy")))
+    scores = sums.groupBy(*names).agg(F.try_divide(F.sum("wy"), F.sum("w")).alias(name))
+    return rows.join(scores, names, "left").select(key, name)
 
 
 def apply_general(df: DataFrame, training: DataFrame, features: list[str], target: str, sigma: float, key: str, name: str = "score") -> DataFrame:
@@ -287,51 +298,56 @@ def apply_general(df: DataFrame, training: DataFrame, features: list[str], targe
     return score_general(df, fit_general(training, features, target, sigma), key, name)
 
 
-def bandwidth_errors(training: DataFrame, sigmas: list[float], most: int = 1_000) -> dict[float, float]:
-    """Mean absolute error of general regression by sigma over examples of transformed ``training`` rows (p0, ..., target).
+def bandwidth_errors(training: DataFrame, sigmas: list[float], most: int | None = None) -> dict[float, float]:
+    """Mean absolute error of general regression by sigma over transformed ``training`` rows (p0, ..., target).
 
     An example's own target is taken out of the weighted sum, while its weight stays in the denominator.
-    Examples are every n-th training row by a hash of the row, ``most`` or about so many
-    (a documented sample: it only picks the bandwidth); each meets all training rows.
+    All rows are examples unless ``most`` is given: then it is every n-th training row by a hash of the row,
+    ``most`` or about so many (a documented sample, for the search of a bandwidth). Each meets all training
+    rows; rows of equal features are one there, and examples of equal features and target too.
     """
     names = [c for c in training.columns if c != "target"]
     n, width = training.count(), len(names)
     if not n:
         return dict.fromkeys(sigmas, float("nan"))
-    step = max(n // most, 1)
-    examples = training.where(F.pmod(F.xxhash64(*names, "target"), F.lit(step)) == 0).withColumn("__ex", F.monotonically_increasing_id())
-    known = _packed(training, names, [1.0] * width, "target", "double").toDF("tx", "ty")
+    step = 1 if most is None else max(n // most, 1)
+    examples = training if step == 1 else training.where(F.pmod(F.xxhash64(*names, "target"), F.lit(step)) == 0)
+    examples = examples.groupBy(*names, "target").agg(F.count(F.lit(1)).alias("copies"))
+    known = _packed(_merged(training, names), [*names, "n", "total"], "t")
+    asked = _packed(examples.select(*names).distinct(), names, "q")
 
     def run(batches):
         for pdf in batches:
-            for x, own, tx, ty in zip(pdf["x"], pdf["own"], pdf["tx"], pdf["ty"], strict=True):
-                q, t, y = np.reshape(x, (-1, width + 1)), np.reshape(tx, (-1, width)), np.asarray(ty, float)
-                d = np.concatenate([np.abs(q[at : at + 128, None, :-1] - t[None]).sum(-1) for at in range(0, len(q), 128)])
-                for s in sigmas:
-                    e = np.exp(-d / s)
-                    yield pd.DataFrame({"sigma": s, "ex": list(own), "own": q[:, -1], "w": e.sum(1), "wy": e @ y})
+            for x, y in zip(pdf["q"], pdf["t"], strict=True):
+                q = np.reshape(x, (-1, width))
+                for s, (w, wy) in zip(sigmas, _weighed(q, np.reshape(y, (-1, width + 2)), sigmas), strict=True):
+                    yield pd.DataFrame({"sigma": s, **{n: q[:, i] for i, n in enumerate(names)}, "w": w, "wy": wy})
 
-    asked = _packed(examples, [*names, "target"], [1.0] * (width + 1), "__ex", "long")
-    sums = asked.crossJoin(known).mapInPandas(run, "sigma double, ex long, own double, w double, wy double")
-    per = sums.groupBy("sigma", "ex", "own").agg(F.sum("w").alias("w"), F.sum("wy").alias("wy"))
-    guess = F.try_divide(F.col("wy") - F.col("own"), F.col("w"))
-    return {r["sigma"]: r["e"] for r in per.groupBy("sigma").agg(F.avg(F.abs(guess - F.col("own"))).alias("e")).collect()}
+    sums = asked.crossJoin(known).mapInPandas(run, ", ".join(f"{n} double" for n in ("sigma", *names, "w", "wy")))
+    per = sums.groupBy("sigma", *names).agg(F.sum("w").alias("w"), F.sum("wy").alias("wy")).join(examples, names)
+    error = F.abs(F.try_divide(F.col("wy") - F.col("target"), F.col("w")) - F.col("target"))
+    mean = F.try_divide(F.sum(error * F.col("copies")), F.sum(F.when(error.isNotNull(), F.col("copies"))))
+    return {r["sigma"]: r["e"] for r in per.groupBy("sigma").agg(mean.alias("e")).collect()}
 
 
-def bandwidth_error(training: DataFrame, features: list[str], target: str, sigmas: list[float], most: int = 1_000) -> dict[float, float]:
+def bandwidth_error(training: DataFrame, features: list[str], target: str, sigmas: list[float], most: int | None = None) -> dict[float, float]:
     """``bandwidth_errors`` of features over their maxima."""
     return bandwidth_errors(fit_general(training, features, target, 1.0).training, sigmas, most)
 
 
+#: Examples of the bandwidth search, or about so many.
+EXAMPLES = 1_000
+
+
 def bandwidth_of(training: DataFrame, low: float = 0.01, high: float = 1.0, rounds: int = 4, points: int = 8) -> float:
-    """The sigma of least error: a grid of ``points`` from low to high in one pass, then finer around the best, ``rounds`` times.
+    """The sigma of least error over EXAMPLES examples: a grid of ``points`` from low to high in one pass, then finer around the best, ``rounds`` times.
 
     Where the best is an end of the first grid the span moves on past it, at most three times.
     """
     best, moved = low, 0
     while rounds > 0:
         grid = np.exp(np.linspace(np.log(low), np.log(high), points)).tolist()
-        error = bandwidth_errors(training, grid)
+        error = bandwidth_errors(training, grid, EXAMPLES)
         at = min(range(points), key=lambda i: (error.get(grid[i], np.inf), i))
         best = grid[at]
         if moved < 3 and at in (0, points - 1) and high / low > 10:
