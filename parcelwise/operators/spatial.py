@@ -55,15 +55,27 @@ def gaussian_weight(distance: Column, sd: float) -> Column:
 
 
 def gaussian_sums(targets: DataFrame, points: DataFrame, sd: float, key: str, value: str, px: str = "px", py: str = "py") -> DataFrame:
-    """(key, n, wsum, wmean): points within 5 sd of each target, weighted by distance. Pairs are summed where they are joined."""
-    near = within_range(targets, points, 5 * sd, rx=px, ry=py).withColumn("w", gaussian_weight(F.col("distance"), sd))
-    return near.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(value) * F.col("w")).alias("wsum"), F.try_divide(F.sum(F.col(value) * F.col("w")), F.sum("w")).alias("wmean"))
+    """(key, n, wsum, wmean): points within 5 sd of each target, weighted by distance.
+
+    Points of one place are one with their number and sum, and targets of one place meet them once.
+    Pairs are summed where they are joined.
+    """
+    some = points.groupBy(px, py).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("v"))
+    near = within_range(targets.select("x", "y").distinct(), some, 5 * sd, rx=px, ry=py).withColumn("w", gaussian_weight(F.col("distance"), sd))
+    sums = near.groupBy("x", "y").agg(F.sum("n").alias("n"), F.sum(F.col("v") * F.col("w")).alias("wsum"), F.sum(F.col("n") * F.col("w")).alias("w"))
+    each = targets.select(key, "x", "y").join(sums, ["x", "y"]).groupBy(key).agg(*(F.sum(c).alias(c) for c in ("n", "wsum", "w")))
+    return each.select(key, "n", "wsum", F.try_divide("wsum", "w").alias("wmean"))
 
 
 def nearest(left: DataFrame, right: DataFrame, radius: float, key: str, other: str, lx: str = "x", ly: str = "y", rx: str = "px", ry: str = "py") -> DataFrame:
-    """(key, other, distance): the nearest of ``right`` within ``radius``; ties go to the least id."""
-    near = within_range(left, right, radius, lx, ly, rx, ry)
-    best = near.groupBy(key).agg(F.min(F.struct("distance", F.col(other).alias("o"))).alias("b"))
+    """(key, other, distance): the nearest of ``right`` within ``radius``; ties go to the least id.
+
+    Rows of one place meet the others once, and of the right side's the least id alone.
+    """
+    least = right.groupBy(rx, ry).agg(F.min(other).alias("o"))
+    near = within_range(left.select(lx, ly).distinct(), least, radius, lx, ly, rx, ry)
+    found = near.groupBy(lx, ly).agg(F.min(F.struct("distance", "o")).alias("b"))
+    best = left.select(key, lx, ly).join(found, [lx, ly]).groupBy(key).agg(F.min("b").alias("b"))
     return best.select(key, F.col("b.o").alias(other), F.col("b.distance").alias("distance"))
 
 
@@ -74,28 +86,39 @@ def edges_of(polygons: DataFrame, key: str, rings: str = "rings", *more: str) ->
     return points.select(key, *more, "r", "i", F.col("__p.x").alias("x1"), F.col("__p.y").alias("y1"), q["x"].alias("x2"), q["y"].alias("y2"))
 
 
+def shape_id(rings: str | Column) -> Column:
+    """A name of 128 bits that equal rings share."""
+    return F.struct(F.xxhash64(rings).alias("a"), F.xxhash64(F.lit(1), rings).alias("b"))
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, key: str, other: str, side: float, x: str = "x", y: str = "y", rings: str = "rings") -> DataFrame:
     """(key, other) of points inside polygons: edges crossed to the right, an odd number.
 
-    Points meet polygons by the square cells that a polygon's box covers, then only the edges of
-    that polygon in the point's band of y. Rings aren't copied to cells, and holes toggle by
+    Points of one place and polygons of equal rings meet once, and the pairs found are spread to their rows.
+    Places meet polygons by the square cells that a polygon's box covers, then only the edges of
+    that polygon in the place's band of y. Rings aren't copied to cells, and holes toggle by
     themselves. Null or empty rings hold nothing. Repeated rows count once; rows of one key that
     differ are points or polygons of their own, and a pair of keys has one row if any of them meet.
     """
     lo, hi = (lambda c, f: f(F.transform("pts", lambda p: p[c]))), lambda v: F.floor(v / side)
-    shapes = polygons.select(F.col(other).alias("o"), F.xxhash64(rings).alias("oh"), F.col(rings).alias("rings"))
-    boxes = shapes.select("o", "oh", F.flatten("rings").alias("pts")).where(F.size("pts") > 0)
-    boxes = boxes.select("o", "oh", lo("x", F.array_min).alias("x1"), lo("x", F.array_max).alias("x2"), lo("y", F.array_min).alias("y1"), lo("y", F.array_max).alias("y2"))
+    named = polygons.select(F.col(other).alias("o"), shape_id(rings).alias("s"), F.col(rings).alias("rings"))
+    shapes = named.select("s", "rings").dropDuplicates(["s"])
+    boxes = shapes.select("s", F.flatten("rings").alias("pts")).where(F.size("pts") > 0)
+    boxes = boxes.select("s", lo("x", F.array_min).alias("x1"), lo("x", F.array_max).alias("x2"), lo("y", F.array_min).alias("y1"), lo("y", F.array_max).alias("y2"))
     cells = boxes.withColumn("bx", F.explode(F.sequence(hi(F.col("x1")), hi(F.col("x2"))))).withColumn("by", F.explode(F.sequence(hi(F.col("y1")), hi(F.col("y2")))))
-    spots = points.select(F.col(key).alias("k"), F.col(x).alias("px"), F.col(y).alias("py")).withColumns({"bx": bin_of(F.col("px"), side), "by": bin_of(F.col("py"), side)})
-    near = spots.join(cells, ["bx", "by"]).where(F.col("px").between(F.col("x1"), F.col("x2")) & F.col("py").between(F.col("y1"), F.col("y2"))).select("k", "px", "py", "o", "oh", "by")
-    edges = edges_of(shapes, "o", "rings", "oh").where("y1 != y2")
+    rows = points.select(F.col(key).alias("k"), F.col(x).alias("px"), F.col(y).alias("py"))
+    spots = rows.select("px", "py").distinct().withColumns({"bx": bin_of(F.col("px"), side), "by": bin_of(F.col("py"), side)})
+    near = spots.join(cells, ["bx", "by"]).where(F.col("px").between(F.col("x1"), F.col("x2")) & F.col("py").between(F.col("y1"), F.col("y2"))).select("px", "py", "s", "by")
+    edges = edges_of(shapes, "s").where("y1 != y2")
     edges = edges.withColumn("by", F.explode(F.sequence(F.floor(F.least("y1", "y2") / side), F.floor(F.greatest("y1", "y2") / side))))
-    hits = near.join(edges, ["o", "oh", "by"]).where(crosses(F.col("px"), F.col("py"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
-    # An edge counts once for a point, however often either row stands in its table.
-    once = hits.groupBy("k", "px", "py", "o", "oh", "r", "i").agg(F.lit(1).alias("n"))
-    inside = once.groupBy("k", "px", "py", "o", "oh").agg(F.count("n").alias("n")).where("n % 2 = 1")
-    return inside.select(F.col("k").alias(key), F.col("o").alias(other)).distinct()
+    hits = near.join(edges, ["s", "by"]).where(crosses(F.col("px"), F.col("py"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
+    inside = hits.groupBy("px", "py", "s").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").select("px", "py", "s")
+    # Repeated rows are one before the pairs are spread; then only keys of several rows can give a pair twice.
+    held, owners = rows.distinct().join(inside, ["px", "py"]), named.select("o", "s").distinct()
+    several = held.groupBy("k").agg(F.countDistinct("px", "py").alias("n")).where("n > 1")
+    parts = owners.groupBy("o").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = held.select("k", "s").distinct().join(owners, "s").select(F.col("k").alias(key), F.col("o").alias(other))
+    return found if several.isEmpty() and parts.isEmpty() else found.distinct()
 
 
 def touching(left: DataFrame, right: DataFrame, pairs: DataFrame, key: str, anti: bool = False) -> DataFrame:
