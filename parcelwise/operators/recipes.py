@@ -31,9 +31,11 @@ def poi_use(points: DataFrame, groups: dict[str, list[str]], segment: str = "seg
 
 
 def poi_proximity(targets: DataFrame, points: DataFrame, groups: dict[str, list[str]], sd: float, key: str = "id", subtype: str = "subtype") -> DataFrame:
-    """FFpp<group>: Gaussian sums of points of interest within 5 sd."""
-    near = spatial.within_range(targets, points, 5 * sd).withColumn("__w", spatial.gaussian_weight(F.col("distance"), sd))
-    return aggregate.merged_sums(near, key, subtype, F.col("__w"), groups, "FFpp")
+    """FFpp<group>: Gaussian sums of points of interest within 5 sd. Points of one place and subtype are one, targets of one place meet them once."""
+    some = points.groupBy("px", "py", subtype).agg(F.count(F.lit(1)).alias("__n"))
+    near = spatial.within_range(targets.select("x", "y").distinct(), some, 5 * sd).withColumn("__w", F.col("__n") * spatial.gaussian_weight(F.col("distance"), sd)).withColumn("__at", F.struct("x", "y"))
+    sums = aggregate.merged_sums(near, "__at", subtype, F.col("__w"), groups, "FFpp").select("__at.x", "__at.y", *(f"FFpp{g}" for g in groups))
+    return targets.select(key, "x", "y").join(sums, ["x", "y"]).groupBy(key).agg(*(F.sum(f"FFpp{g}").alias(f"FFpp{g}") for g in groups))
 
 
 def neighbourhood_land_use(cells: DataFrame, codes: list[str], sd: float, size: float, code: str = "code") -> DataFrame:
