@@ -155,10 +155,26 @@ def _edges_near(points: DataFrame, polygons: DataFrame, key: str, polygon: str,
     return spots.join(binned, ["bx", "by"]).withColumn("d", along(F.col("x"), F.col("y"))[1]).where(F.col("d") <= distance).select(key, polygon, "d")
 
 
+def _places(points: DataFrame) -> DataFrame:
+    """(place, x, y): each place of the points once; place is the struct of both."""
+    return points.select("x", "y").distinct().select(F.struct("x", "y").alias("place"), "x", "y")
+
+
+def _shapes(polygons: DataFrame, polygon: str) -> DataFrame:
+    """(polygon, rings): each shape once, with the least id of its polygons."""
+    once = polygons.groupBy(spatial.shape_id("rings").alias("s")).agg(F.min(polygon).alias(polygon), F.any_value("rings").alias("rings"))
+    return once.select(F.struct(polygon, "s").alias(polygon), "rings")
+
+
 def built_up(points: DataFrame, polygons: DataFrame, key: str, polygon: str, distance: float) -> DataFrame:
-    """(key, builtup 0/1): points (x, y), as of road pieces, in a polygon or within ``distance`` of its edge."""
-    near = _edges_near(points, polygons, key, polygon, distance).select(key)
-    hit = near.union(spatial.points_in_polygons(points, polygons, key, polygon, 4 * distance).select(key)).distinct().withColumn("builtup", F.lit(1))
+    """(key, builtup 0/1): points (x, y), as of road pieces, in a polygon or within ``distance`` of its edge.
+
+    Points of one place and polygons of one shape meet once.
+    """
+    spots, shapes = _places(points), _shapes(polygons, polygon)
+    near = _edges_near(spots, shapes, "place", polygon, distance).select("place")
+    found = near.union(spatial.points_in_polygons(spots, shapes, "place", polygon, 4 * distance).select("place")).distinct().select("place.x", "place.y")
+    hit = points.select(key, "x", "y").join(found, ["x", "y"]).select(key).distinct().withColumn("builtup", F.lit(1))
     return points.select(key).join(hit, key, "left").fillna(0, ["builtup"])
 
 
@@ -206,18 +222,31 @@ def nearest_polygon(points: DataFrame, polygons: DataFrame, key: str, polygon: s
     """(key, polygon, distance): the nearest polygon within ``distance`` of each point; inside is 0.
 
     Distances equal to a billionth are ties, which go to the least id; points without one have no row.
+    Points of one place and polygons of one shape meet once.
     """
-    inside = spatial.points_in_polygons(points, polygons, key, polygon, 4 * distance).select(key, polygon, F.lit(0.0).alias("d"))
-    near = _edges_near(points, polygons, key, polygon, distance).unionByName(inside)
-    best = near.groupBy(key).agg(F.min(F.struct(F.round("d", 9).alias("d"), F.col(polygon).alias("p"))).alias("b"))
+    spots, shapes = _places(points), _shapes(polygons, polygon)
+    inside = spatial.points_in_polygons(spots, shapes, "place", polygon, 4 * distance).select("place", polygon, F.lit(0.0).alias("d"))
+    near = _edges_near(spots, shapes, "place", polygon, distance).unionByName(inside)
+    found = near.groupBy("place").agg(F.min(F.struct(F.round("d", 9).alias("d"), F.col(f"{polygon}.{polygon}").alias("p"))).alias("b"))
+    best = points.select(key, "x", "y").join(found.select("place.x", "place.y", "b"), ["x", "y"]).groupBy(key).agg(F.min("b").alias("b"))
     return best.select(key, F.col("b.p").alias(polygon), F.col("b.d").alias("distance"))
 
 
 def building_proximity(targets: DataFrame, buildings: DataFrame, sd: float, key: str = "id", size: str = "AREA", shape: str = "WAG") -> DataFrame:
-    """FFpbsize_* and FFpbwag_* (sum, mean, median) of buildings (px, py) within 5 sd of each target."""
-    near = spatial.within_range(targets, buildings, 5 * sd)
-    each = [f(c).alias(f"FFpb{n}_{s}") for n, c in (("size", size), ("wag", shape)) for s, f in (("sum", F.sum), ("mean", F.avg), ("median", F.median))]
-    return near.groupBy(key).agg(*each)
+    """FFpbsize_* and FFpbwag_* (sum, mean, median) of buildings (px, py) within 5 sd of each target.
+
+    Targets of one place meet the buildings once, and buildings of one place and value are one with their number;
+    medians are exact, by values and numbers.
+    """
+    spots = targets.select("x", "y").distinct()
+    out = None
+    for n, c in (("size", size), ("wag", shape)):
+        some = buildings.select("px", "py", F.col(c).alias("v")).where("v is not null").groupBy("px", "py", "v").agg(F.count(F.lit(1)).alias("n"))
+        values = spatial.within_range(spots, some, 5 * sd).groupBy("x", "y", "v").agg(F.sum("n").alias("n"))
+        whole = F.sum(F.col("v") * F.col("n"))
+        part = values.groupBy("x", "y").agg(whole.alias(f"FFpb{n}_sum"), F.try_divide(whole, F.sum("n")).alias(f"FFpb{n}_mean"), F.percentile("v", 0.5, F.col("n")).alias(f"FFpb{n}_median"))
+        out = part if out is None else out.join(part, ["x", "y"], "full")
+    return targets.select(key, "x", "y").join(out, ["x", "y"]).drop("x", "y")
 
 
 def points_of(segments: DataFrame, most_area: float, most_wagner: float, least_area: float | None = None, segment: str = "seg_id") -> DataFrame:
