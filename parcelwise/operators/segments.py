@@ -24,13 +24,18 @@ def between_barriers(polygons: DataFrame, barriers: DataFrame, key: str, side: f
     pieces are its parts: a task holds one polygon at a time. Barriers may meet each other,
     run along borders or through corners; ends that lead nowhere cut nothing, closed barriers cut
     islands. Polygons that no barrier meets stay as they are. Null or empty rings give none, rows
-    with a null key neither; repeated rows count once, polygons of one key are one.
+    with a null key neither; repeated rows count once, polygons of one key are one. Equal polygons
+    are cut once, by one of barriers that run over each other, and their parts go to every key.
     """
-    whole = polygons.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.filter("rings", lambda r: F.size(r) > 2).alias("rings")).where(F.size("rings") > 0)
+    given = polygons.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.filter("rings", lambda r: F.size(r) > 2).alias("rings")).where(F.size("rings") > 0)
+    shapes = given.select("key", spatial.shape_id("rings").alias("s"), "rings").dropDuplicates(["key", "s"])
+    named = kept(shapes.groupBy("key").agg(F.array_sort(F.collect_list("s")).alias("s")).withColumn("s", spatial.shape_id("s")))
+    least = kept(named.groupBy("s").agg(F.min("key").alias("key")))
+    whole = kept(shapes.drop("s").join(least.select("key"), "key", "left_semi"))
     border = planar.rounded(spatial.edges_of(whole.withColumn("rh", F.xxhash64("rings")), "key", "rings", "rh")).select(F.struct("key", "rh", "r", "i").alias("eid"), "x1", "y1", "x2", "y2")
     steps = barriers.where(F.size("pts") > 1).select(F.posexplode(F.arrays_zip(F.slice("pts", F.lit(1), F.size("pts") - 1).alias("p"), F.slice("pts", F.lit(2), F.size("pts") - 1).alias("q"))).alias("i", "e"), F.struct(F.col("id").alias("id"), F.xxhash64("pts").alias("h")).alias("line"))
     walls = planar.rounded(steps.select(F.struct("line", "i").alias("fid"), F.col("e.p.x").alias("x1"), F.col("e.p.y").alias("y1"), F.col("e.q.x").alias("x2"), F.col("e.q.y").alias("y2")))
-    walls = kept(walls.dropDuplicates(["fid"]))
+    walls = kept(walls.groupBy("x1", "y1", "x2", "y2").agg(F.min("fid").alias("fid")))
     met = kept(planar.meetings(border, walls, side))
     among = planar.meetings(walls.withColumnRenamed("fid", "eid"), walls, side).where("eid != fid").select("eid", "px", "py")
     cuts = met.select(F.col("fid").alias("eid"), "px", "py").unionByName(among)
@@ -65,9 +70,11 @@ def between_barriers(polygons: DataFrame, barriers: DataFrame, key: str, side: f
 
     groups = edges.groupBy("key").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2", "border")).alias("edges"))
     split = groups.mapInArrow(cut, f"key {kind}, part int, area double, rings {RINGS}")
-    left = whole.join(touched, "key", "left_anti").dropDuplicates(["key"])
+    # A key of several polygons that no barrier meets keeps one of them, the least by its name.
+    left = whole.join(touched, "key", "left_anti").groupBy("key").agg(F.min_by("rings", F.xxhash64("rings")).alias("rings"))
     rest = left.select("key", F.lit(0).alias("part"), polygon_area(F.array("rings")).alias("area"), F.transform("rings", lambda r: F.transform(r, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))).alias("rings"))
-    return split.unionByName(rest).withColumnRenamed("key", key)
+    found = split.unionByName(rest).join(least, "key").drop("key")
+    return named.withColumnRenamed("key", "__key").join(found, "s").select(F.col("__key").alias(key), "part", "area", "rings")
 
 
 def create_segments(land_use: DataFrame, barriers: DataFrame, side: float, inhabited: list[str], least_area: float, key: str = "id", code: str = "code", most_area: float | None = None, most_wagner: float | None = None) -> DataFrame:
