@@ -140,6 +140,10 @@ def stitch(ways: list[tuple[list[int], list]]) -> list[tuple[list[int], list]] |
     return [(refs, pts) for _, refs, pts in sorted(rings, key=lambda x: x[0]) if len(refs) > 3]
 
 
+#: Relations that are Python objects at once in a task.
+SLICE = 256
+
+
 def relation_polygons(relrefs: DataFrame, lines: DataFrame) -> DataFrame:
     """(id, parts): stitched outer rings with their holes; relations that don't close have no row.
 
@@ -147,7 +151,8 @@ def relation_polygons(relrefs: DataFrame, lines: DataFrame) -> DataFrame:
     ``way_lines`` has put together, so coordinates are joined once.
     """
     ways = lines.select(F.col("id").alias("wayref"), "refs", F.transform("pts", lambda p: F.array(p["x"], p["y"])).alias("pts"))
-    member = relrefs.distinct().join(ways, "wayref").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("wayref", "outer", "refs", "pts"))).alias("ways"))
+    # Spark takes tables of computed shapes for smaller than they are, and would broadcast them.
+    member = relrefs.distinct().join(ways.hint("merge"), "wayref").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("wayref", "outer", "refs", "pts"))).alias("ways"))
     kind = pa.list_(pa.list_(pa.list_(pa.list_(pa.float64()))))
 
     def turned(ring: list, ccw: bool) -> list:
@@ -167,8 +172,10 @@ def relation_polygons(relrefs: DataFrame, lines: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            built = [build(ways) for ways in batch.column(1).to_pylist()]
-            at = pa.array([i for i, p in enumerate(built) if p is not None], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([p for p in built if p is not None], kind)], ["id", "parts"])
+            for start in range(0, batch.num_rows, SLICE):
+                some = batch.slice(start, SLICE)
+                built = [build(ways) for ways in some.column(1).to_pylist()]
+                at = pa.array([i for i, p in enumerate(built) if p is not None], pa.int32())
+                yield pa.RecordBatch.from_arrays([some.column(0).take(at), pa.array([p for p in built if p is not None], kind)], ["id", "parts"])
 
     return member.mapInArrow(run, "id bigint, parts array<array<array<array<double>>>>")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelwise.operators import lines, models, parcels, planar, recipes, segments, spatial, subdivide
+from parcelwise.sources import osm
 
 
 def test_bandwidth_errors_of_all_rows(spark):
@@ -127,3 +128,19 @@ def test_equal_polygons_are_cut_once_by_one_of_equal_barriers(spark, counted):
     got = segments.between_barriers(boxes, barriers, "id", 3.0).collect()
     assert sorted((r["id"], round(r["area"], 6)) for r in got) == sorted((k, a) for k in range(1, 13) for a in ((16.0,) if k % 2 else (4.0, 12.0)))
     assert sizes == [(8, 1), (1, 1)]
+
+
+def _joins(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_computed_shapes_are_not_broadcast(spark):
+    pt = lambda x, y: F.struct((F.col("id") + x).cast("double").alias("x"), F.lit(float(y)).alias("y"))
+    lines_ = spark.range(50).select("id", F.array(*map(F.lit, (0, 1, 2, 0))).alias("refs"), F.array(*(pt(*p) for p in ((0, 0), (1, 0), (0, 1), (0, 0)))).alias("pts"))
+    out = osm.relation_polygons(lines_.select("id", F.col("id").alias("wayref"), F.lit(True).alias("outer")), lines_)
+    assert "Broadcast" not in _joins(out) and out.count() == 50
+    e = spark.range(50).select(F.col("id").alias("eid"), *(F.lit(float(v)).alias(n) for n, v in (("x1", 0), ("y1", 0), ("x2", 4), ("y2", 4))))
+    f = e.limit(1).select(F.col("eid").alias("fid"), "x1", F.lit(4.0).alias("y1"), "x2", F.lit(0.0).alias("y2"))
+    met = planar.meetings(e, f, 3.0)
+    cut = planar.pieces(e, met.select("eid", "px", "py"))
+    assert "Broadcast" not in _joins(met) and "Broadcast" not in _joins(cut) and cut.count() == 100
