@@ -216,14 +216,15 @@ def rounded(e: DataFrame) -> DataFrame:
 def meetings(e: DataFrame, f: DataFrame, size: float) -> DataFrame:
     """(eid, fid, px, py): where edges of e (eid, x1..y2) meet those of f (fid, ...): crossings, touches, ends of overlaps.
 
-    Pairs come from bins and count in one of them; a point is worked out once for both edges.
+    Pairs come from bins and count in one of them; a point is worked out once for both edges. Neither side is
+    broadcast, here and in ``pieces``: Spark takes tables of computed shapes for smaller than they are.
     """
     span = lambda a, b: F.sequence(F.floor((F.least(a, b) - TOLERANCE) / size), F.floor((F.greatest(a, b) + TOLERANCE) / size))
     binned = lambda d: d.withColumn("bx", F.explode(span("x1", "x2"))).withColumn("by", F.explode(span("y1", "y2")))
     other = binned(f).select("bx", "by", "fid", *(F.col(c).alias(f"f{c}") for c in ("x1", "y1", "x2", "y2")))
     low = lambda a: F.floor((F.greatest(F.least(f"{a}1", f"{a}2"), F.least(f"f{a}1", f"f{a}2")) - TOLERANCE) / size)
     over = lambda a: (F.least(f"{a}1", f"{a}2") <= F.greatest(f"f{a}1", f"f{a}2") + 2 * TOLERANCE) & (F.least(f"f{a}1", f"f{a}2") <= F.greatest(f"{a}1", f"{a}2") + 2 * TOLERANCE)
-    pairs = binned(e).join(other, ["bx", "by"]).where(over("x") & over("y") & (F.col("bx") == low("x")) & (F.col("by") == low("y")))
+    pairs = binned(e).join(other.hint("merge"), ["bx", "by"]).where(over("x") & over("y") & (F.col("bx") == low("x")) & (F.col("by") == low("y")))
     a, b, c, d = ((F.col(f"{p}x{i}"), F.col(f"{p}y{i}")) for p in ("", "f") for i in (1, 2))
     ends = [F.when(_near(*p, *q, *r), F.struct(p[0].alias("px"), p[1].alias("py"))) for p, q, r in ((a, c, d), (b, c, d), (c, a, b), (d, a, b))]
     a1, a2, b1, b2 = side_of(*a, *c, *d), side_of(*b, *c, *d), side_of(*c, *a, *b), side_of(*d, *a, *b)
@@ -237,7 +238,7 @@ def meetings(e: DataFrame, f: DataFrame, size: float) -> DataFrame:
 def pieces(e: DataFrame, at: DataFrame) -> DataFrame:
     """Edges (eid, x1..y2) cut at points (eid, px, py): (eid, part, x1, y1, x2, y2), part from 0 along the edge."""
     points = at.groupBy("eid").agg(F.collect_set(F.struct("px", "py")).alias("ps"))
-    rows = e.join(points, "eid", "left")
+    rows = e.hint("merge").join(points.hint("merge"), "eid", "left")
     t = lambda p: (p["px"] - F.col("x1")) * (F.col("x2") - F.col("x1")) + (p["py"] - F.col("y1")) * (F.col("y2") - F.col("y1"))
     ends = F.array(F.struct(F.col("x1").alias("px"), F.col("y1").alias("py")), F.struct(F.col("x2").alias("px"), F.col("y2").alias("py")))
     way = F.array_sort(F.transform(F.array_distinct(F.concat(ends, F.coalesce("ps", F.array().cast("array<struct<px: double, py: double>>")))), lambda p: F.struct(t(p).alias("t"), p["px"].alias("px"), p["py"].alias("py"))))

@@ -31,7 +31,7 @@ def between_barriers(polygons: DataFrame, barriers: DataFrame, key: str, side: f
     shapes = given.select("key", spatial.shape_id("rings").alias("s"), "rings").dropDuplicates(["key", "s"])
     named = kept(shapes.groupBy("key").agg(F.array_sort(F.collect_list("s")).alias("s")).withColumn("s", spatial.shape_id("s")))
     least = kept(named.groupBy("s").agg(F.min("key").alias("key")))
-    whole = kept(shapes.drop("s").join(least.select("key"), "key", "left_semi"))
+    whole = kept(shapes.drop("s").join(least.select("key").hint("merge"), "key", "left_semi"))
     border = planar.rounded(spatial.edges_of(whole.withColumn("rh", F.xxhash64("rings")), "key", "rings", "rh")).select(F.struct("key", "rh", "r", "i").alias("eid"), "x1", "y1", "x2", "y2")
     steps = barriers.where(F.size("pts") > 1).select(F.posexplode(F.arrays_zip(F.slice("pts", F.lit(1), F.size("pts") - 1).alias("p"), F.slice("pts", F.lit(2), F.size("pts") - 1).alias("q"))).alias("i", "e"), F.struct(F.col("id").alias("id"), F.xxhash64("pts").alias("h")).alias("line"))
     walls = planar.rounded(steps.select(F.struct("line", "i").alias("fid"), F.col("e.p.x").alias("x1"), F.col("e.p.y").alias("y1"), F.col("e.q.x").alias("x2"), F.col("e.q.y").alias("y2")))
@@ -42,8 +42,8 @@ def between_barriers(polygons: DataFrame, barriers: DataFrame, key: str, side: f
     parts = kept(planar.pieces(walls.withColumnRenamed("fid", "eid"), cuts).withColumn("piece", F.struct("eid", "part")))
     middles = parts.select("piece", ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"))
     within = spatial.points_in_polygons(middles, whole, "piece", "key", side)
-    inner = kept(parts.join(within, "piece").select("key", "x1", "y1", "x2", "y2"))
-    touched = inner.select("key").distinct()
+    inner = kept(parts.hint("merge").join(within.hint("merge"), "piece").select("key", "x1", "y1", "x2", "y2"))
+    touched = inner.select("key").distinct().hint("merge")
     own = border.join(touched, F.col("eid.key") == F.col("key"), "left_semi")
     outline = planar.pieces(own, met.select("eid", "px", "py").join(touched, F.col("eid.key") == F.col("key"), "left_semi")).select(F.col("eid.key").alias("key"), "x1", "y1", "x2", "y2")
     edges = outline.withColumn("border", F.lit(True)).unionByName(inner.withColumn("border", F.lit(False)))
@@ -73,8 +73,8 @@ def between_barriers(polygons: DataFrame, barriers: DataFrame, key: str, side: f
     # A key of several polygons that no barrier meets keeps one of them, the least by its name.
     left = whole.join(touched, "key", "left_anti").groupBy("key").agg(F.min_by("rings", F.xxhash64("rings")).alias("rings"))
     rest = left.select("key", F.lit(0).alias("part"), polygon_area(F.array("rings")).alias("area"), F.transform("rings", lambda r: F.transform(r, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))).alias("rings"))
-    found = split.unionByName(rest).join(least, "key").drop("key")
-    return named.withColumnRenamed("key", "__key").join(found, "s").select(F.col("__key").alias(key), "part", "area", "rings")
+    found = split.unionByName(rest).join(least.hint("merge"), "key").drop("key")
+    return named.withColumnRenamed("key", "__key").hint("merge").join(found, "s").select(F.col("__key").alias(key), "part", "area", "rings")
 
 
 def create_segments(land_use: DataFrame, barriers: DataFrame, side: float, inhabited: list[str], least_area: float, key: str = "id", code: str = "code", most_area: float | None = None, most_wagner: float | None = None) -> DataFrame:
@@ -92,4 +92,4 @@ def create_segments(land_use: DataFrame, barriers: DataFrame, side: float, inhab
         rank = F.row_number().over(W.partitionBy(key).orderBy("cut", "part")) - 1
         parts = small.select(F.col(f"whole.{key}").alias(key), F.col("whole.part").alias("cut"), "part", "area", "rings").select(key, rank.alias("part"), "area", "rings")
     codes = lived_in.groupBy(key).agg(F.min(code).alias(code))
-    return parts.where(F.col("area") > least_area).join(codes, key).select(key, "part", code, "area", "rings")
+    return parts.where(F.col("area") > least_area).join(codes.hint("merge"), key).select(key, "part", code, "area", "rings")

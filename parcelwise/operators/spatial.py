@@ -108,16 +108,16 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, key: str, other:
     cells = boxes.withColumn("bx", F.explode(F.sequence(hi(F.col("x1")), hi(F.col("x2"))))).withColumn("by", F.explode(F.sequence(hi(F.col("y1")), hi(F.col("y2")))))
     rows = points.select(F.col(key).alias("k"), F.col(x).alias("px"), F.col(y).alias("py"))
     spots = rows.select("px", "py").distinct().withColumns({"bx": bin_of(F.col("px"), side), "by": bin_of(F.col("py"), side)})
-    near = spots.join(cells, ["bx", "by"]).where(F.col("px").between(F.col("x1"), F.col("x2")) & F.col("py").between(F.col("y1"), F.col("y2"))).select("px", "py", "s", "by")
+    near = spots.join(cells.hint("merge"), ["bx", "by"]).where(F.col("px").between(F.col("x1"), F.col("x2")) & F.col("py").between(F.col("y1"), F.col("y2"))).select("px", "py", "s", "by")
     edges = edges_of(shapes, "s").where("y1 != y2")
     edges = edges.withColumn("by", F.explode(F.sequence(F.floor(F.least("y1", "y2") / side), F.floor(F.greatest("y1", "y2") / side))))
-    hits = near.join(edges, ["s", "by"]).where(crosses(F.col("px"), F.col("py"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
+    hits = near.join(edges.hint("merge"), ["s", "by"]).where(crosses(F.col("px"), F.col("py"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
     inside = hits.groupBy("px", "py", "s").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").select("px", "py", "s")
     # Repeated rows are one before the pairs are spread; then only keys of several rows can give a pair twice.
-    held, owners = rows.distinct().join(inside, ["px", "py"]), named.select("o", "s").distinct()
+    held, owners = rows.distinct().join(inside.hint("merge"), ["px", "py"]), named.select("o", "s").distinct()
     several = held.groupBy("k").agg(F.countDistinct("px", "py").alias("n")).where("n > 1")
     parts = owners.groupBy("o").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = held.select("k", "s").distinct().join(owners, "s").select(F.col("k").alias(key), F.col("o").alias(other))
+    found = held.select("k", "s").distinct().join(owners.hint("merge"), "s").select(F.col("k").alias(key), F.col("o").alias(other))
     return found if several.isEmpty() and parts.isEmpty() else found.distinct()
 
 
