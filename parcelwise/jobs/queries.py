@@ -38,6 +38,11 @@ def r(c: str | Column, digits: int = 4) -> Column:
     return F.round(c, digits)
 
 
+def spread(spark: SparkSession, sf_dir: str, name: str):
+    """More tasks for what is kept inside, if the table is large."""
+    return network.spread(spark, t(spark, sf_dir, name).count())
+
+
 def xy(key: str) -> tuple[Column, Column]:
     k = F.col(key)
     return (k * 37 % 1000).cast("double"), (k * 91 % 1000).cast("double")
@@ -258,7 +263,8 @@ SELECT id, count(*) AS n, string_agg(CAST(node AS VARCHAR), ',' ORDER BY ord) AS
 FROM (SELECT *, sqrt(pow(node * 37 % 1000 - lag(node * 37 % 1000) OVER o, 2) + pow(node * 91 % 1000 - lag(node * 91 % 1000) OVER o, 2)) AS len FROM w WINDOW o AS (PARTITION BY id ORDER BY ord)) GROUP BY id""")
 def way_assembly(spark, d):
     refs, nodes, _ = _assembly(spark, d)
-    lines = osm.way_lines(refs, nodes)
+    with spread(spark, d, "lineitem"):
+        lines = network.kept(osm.way_lines(refs, nodes))
     n = F.size("pts")
     step = F.zip_with(F.slice("pts", F.lit(1), n - 1), F.slice("pts", F.lit(2), n), lambda p, q: F.when(p.isNull() | q.isNull(), 0.0).otherwise(F.hypot(q["x"] - p["x"], q["y"] - p["y"])))
     return lines.select("id", n.cast("long").alias("n"), F.array_join(F.transform("refs", lambda x: x.cast("string")), ",").alias("refs"), F.aggregate("pts", F.lit(0.0), lambda a, p: a + p["x"]).alias("sx"), r(F.aggregate(step, F.lit(0.0), lambda a, b: a + b)).alias("length"))

@@ -7,9 +7,11 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -44,6 +46,35 @@ def freed(*tables: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows that a shuffle deals to a task, at least, before ``spread`` takes more tasks.
+TASK_ROWS = 1_000_000
+
+
+@contextmanager
+def spread(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs run inside have a task for each TASK_ROWS of ``rows``, where the session sets fewer.
+
+    The session's number of shuffle partitions is fixed, so that a task's memory grows with the tables. Its
+    settings stand again afterwards; what is computed inside must be ``kept``, for a plan takes them when it runs.
+    """
+    name, most = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before, size = spark.conf.get(name), spark.conf.get(most, None)
+    tasks = -(-rows // TASK_ROWS)
+    if tasks <= int(before):
+        yield
+        return
+    spark.conf.set(name, str(tasks))
+    spark.conf.set(most, "16m")  # else Spark draws several of them together
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+        if size is None:
+            spark.conf.unset(most)
+        else:
+            spark.conf.set(most, size)
+
+
 def timed(edges: DataFrame, speeds: dict[int, dict[str, float]], flag: str = "builtup", kind: str = "class", length: str = "length") -> DataFrame:
     """``edges`` with speed (km/h) and time (s); unknown classes have speed 0, and such edges go."""
     rows = [(int(f), k, float(v)) for f, m in speeds.items() for k, v in m.items()]
