@@ -55,7 +55,8 @@ def xy(key: str) -> tuple[Column, Column]:
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
 def allocate_orders(spark, d):
     rows = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").join(t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice"), "l_orderkey")
-    return allocate.allocate(rows, "l_orderkey", "o_totalprice", "l_extendedprice").select("l_orderkey", "l_linenumber", "l_partkey", r("value").alias("value"))
+    with spread(spark, d, "lineitem"):
+        return network.kept(allocate.allocate(rows, "l_orderkey", "o_totalprice", "l_extendedprice").select("l_orderkey", "l_linenumber", "l_partkey", r("value").alias("value")))
 
 
 @query("""WITH s AS (SELECT s_suppkey, s_nationkey, 100.0 * (s_nationkey + 1) AS main, CASE WHEN s_acctbal - 1000 > 0 THEN (s_acctbal - 1000) * (s_suppkey % 7 + 1) / 1e6 ELSE 0.0 END AS p FROM supplier)
@@ -84,7 +85,8 @@ def _modelled(spark, d):
 SELECT count(*) AS n, round(sum(model - real), 2) AS mismatch, round(sum(abs(model - real)), 2) AS tae, round(sum(abs(model - real)) / sum(real), 6) AS rtae,
 round(sqrt(sum((model - real) * (model - real)) / count(*)), 4) AS rmse, round(1 - sum((model - real) * (model - real)) / sum((real - mean) * (real - mean)), 6) AS r2 FROM m, a""")
 def error_measures(spark, d):
-    e = allocate.errors(_modelled(spark, d))
+    with spread(spark, d, "lineitem"):
+        e = allocate.errors(_modelled(spark, d))
     return e.select("n", r("mismatch", 2).alias("mismatch"), r("tae", 2).alias("tae"), r("rtae", 6).alias("rtae"), r("rmse").alias("rmse"), r("r2", 6).alias("r2"))
 
 
@@ -94,7 +96,8 @@ _Q = ", ".join(f"round(quantile_cont(v, {q}), 3) AS q{str(q * 100).rstrip('0').r
 @query(f"""WITH {_MODEL}, u AS (SELECT 'model' AS dataset, model AS v FROM m UNION ALL SELECT 'real', real FROM m UNION ALL SELECT 'residual', model - real FROM m UNION ALL SELECT 'abs_residual', abs(model - real) FROM m)
 SELECT dataset, round(sum(v), 2) AS sum, round(min(v), 3) AS min, round(max(v), 3) AS max, round(avg(v), 3) AS mean, round(median(v), 3) AS median, {_Q} FROM u GROUP BY dataset""")
 def error_descriptors(spark, d):
-    out = allocate.descriptors(_modelled(spark, d))
+    with spread(spark, d, "lineitem"):
+        out = allocate.descriptors(_modelled(spark, d))
     return out.select("dataset", r("sum", 2).alias("sum"), *(r(c, 3).alias(c) for c in out.columns if c not in ("dataset", "sum")))
 
 

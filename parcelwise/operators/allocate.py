@@ -54,8 +54,8 @@ def add_unmatched(done: DataFrame, truth: DataFrame, key: str, real: str) -> Dat
 
 
 def errors(df: DataFrame, model: str = "model", real: str = "real") -> DataFrame:
-    """One row: n, mismatch, tae, rtae, rmse, r2; nulls count as 0. Two passes, for the mean comes first."""
-    v = df.select(F.coalesce(F.col(model), F.lit(0.0)).alias("m"), F.coalesce(F.col(real), F.lit(0.0)).alias("r"))
+    """One row: n, mismatch, tae, rtae, rmse, r2; nulls count as 0. Two passes over a table that is written once, for the mean comes first."""
+    v = kept(df.select(F.coalesce(F.col(model), F.lit(0.0)).alias("m"), F.coalesce(F.col(real), F.lit(0.0)).alias("r")))
     mean = v.agg(F.avg("r").alias("mean"))
     d = F.col("m") - F.col("r")
     out = v.crossJoin(F.broadcast(mean)).agg(F.count(F.lit(1)).alias("n"), F.sum(d).alias("mismatch"), F.sum(F.abs(d)).alias("tae"), F.sum("r").alias("sr"), F.sum(d * d).alias("ss"), F.sum((F.col("r") - F.col("mean")) ** 2).alias("st"))

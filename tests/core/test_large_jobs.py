@@ -3,7 +3,7 @@
 import pytest
 
 from parcelwise.jobs import network_queries, queries
-from parcelwise.operators import network
+from parcelwise.operators import allocate, network
 
 SF = "/root/testdata/sf0.001"
 PARTS = "spark.sql.shuffle.partitions"
@@ -36,3 +36,9 @@ def test_way_assembly_has_tasks_by_rows(spark, monkeypatch):
     rows = queries.t(spark, SF, "lineitem").count()
     for fn in (queries.way_assembly, network_queries.tagged_ways):
         assert _tasks_of_kept(spark, monkeypatch, network, "kept", fn) == [-(-rows // 100)]
+
+
+def test_error_measures_have_tasks_by_rows(spark, monkeypatch):
+    rows = queries.t(spark, SF, "lineitem").count()
+    assert _tasks_of_kept(spark, monkeypatch, allocate, "kept", queries.error_measures) == [-(-rows // 100)]
+    assert _tasks_of_kept(spark, monkeypatch, network, "kept", queries.allocate_orders) == [-(-rows // 100)]
