@@ -95,11 +95,15 @@ LOGGED = 6
 BLOCK = 32
 #: Edges for each vertex, on average, that are tried before the others: the cheapest.
 LIGHT = 8
+#: Edges up to which all are relaxed from the start: more rounds would cost more than they spare.
+FEW = 2_000_000
 _INF = float("inf")
 
 
 def _light(back: DataFrame, edges: int) -> DataFrame | None:
     """The cheapest of the edges, about LIGHT for each vertex, where that is much less than all."""
+    if edges <= FEW:
+        return None
     vertices = back.agg(F.approx_count_distinct("v")).first()[0]
     if edges <= 2 * LIGHT * vertices:
         return None
@@ -118,7 +122,7 @@ def cost_matrix(edges: DataFrame, targets: DataFrame, target: str = "target", ro
     and then the tables are drawn together and the old ones deleted. It ends when nothing gets cheaper, and raises
     an error if that takes more than ``rounds`` rounds (edges of a way, at least).
 
-    Where vertices have many edges the cheapest ones are relaxed to the end first. Then all others take their
+    Where there are more than FEW edges, and many to a vertex, the cheapest ones are relaxed to the end first. Then all others take their
     turn, but those that cost no less than any way already found to the vertex they lead to: none can
     make it cheaper. A vertex that some target hasn't reached keeps all its edges.
 
@@ -133,9 +137,13 @@ def cost_matrix(edges: DataFrame, targets: DataFrame, target: str = "target", ro
     costs = [f"d{k}" for k in range(max(1, min(n, BLOCK)))]
     lowest = lambda cols: F.least(*cols) if len(cols) > 1 else cols[0]
     low_of = lowest([F.col(d) for d in costs])
+    # Columns that every round takes.
+    mins, longer = [F.min(d).alias(d) for d in costs], [F.min(F.col(d) + F.col("c")).alias(d) for d in costs]
+    was = [F.expr(f"{d} AS old_{d}") for d in costs]
+    lowered = [F.expr(f"CASE WHEN old_{d} IS NULL OR {d} < old_{d} THEN {d} ELSE double('Infinity') END AS {d}") for d in costs]
 
     def least(log: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, log).groupBy("b", "v").agg(*(F.min(d).alias(d) for d in costs))
+        return reduce(DataFrame.unionByName, log).groupBy("b", "v").agg(*mins)
 
     def within(df: DataFrame, begin: float, end: float) -> DataFrame:
         """Costs from ``begin`` to under ``end`` alone."""
@@ -159,9 +167,8 @@ def cost_matrix(edges: DataFrame, targets: DataFrame, target: str = "target", ro
         frontier, end = log[0], width
         for _ in range(rounds):
             reached = frontier.join(used, "v").where(low_of + F.col("c") < F.col("room"))
-            step = reached.groupBy("b", F.col("src").alias("v")).agg(*(F.min(F.col(d) + F.col("c")).alias(d) for d in costs))
-            old = least(log).select("b", "v", *(F.col(d).alias(f"old_{d}") for d in costs))
-            lowered = (F.when(F.col(d) < F.coalesce(f"old_{d}", F.lit(_INF)), F.col(d)).otherwise(_INF).alias(d) for d in costs)
+            step = reached.groupBy("b", F.col("src").alias("v")).agg(*longer)
+            old = least(log).select("b", "v", *was)
             fresh = kept(step.join(old, ["b", "v"], "left").select("b", "v", *lowered).where(low_of < _INF))
             log.append(fresh)
             low = fresh.agg(F.min(low_of)).first()[0]
