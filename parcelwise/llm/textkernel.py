@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Texts are hashed in chunks of about so many bytes; a longer text is a chunk of its own.
-CHUNK_BYTES = 2 << 20
+#: Texts are hashed in chunks of about so many bytes; a longer text is a chunk of its own. A chunk takes some 60 times its bytes while it is hashed.
+CHUNK_BYTES = 256 << 10
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _SPACE = np.zeros(256, bool)

@@ -1,6 +1,9 @@
 import itertools
 import random
 import re
+import tracemalloc
+
+import pyarrow as pa
 
 from parcelwise.llm import components, minhash
 
@@ -82,3 +85,16 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (50, 60), (7, 7)]
     got = {r["node"]: r["comp"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {100: 50, 50: 50, 60: 50}
+
+
+def test_sets_of_large_batches_take_bounded_memory():
+    """Shingle sets of 8 MB of text, in a task's memory of 40 MB besides the text."""
+    draw = random.Random(4)
+    words = [f"w{i}" for i in range(5000)]
+    texts = pa.array([" ".join(draw.choices(words, k=400)) for _ in range(3500)])
+    tracemalloc.start()
+    sizes = [len(s) for s in minhash._sets(texts, 5)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(sizes) == 3500 and min(sizes) > 300
+    assert peak < 40e6, peak
