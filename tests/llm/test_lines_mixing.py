@@ -175,6 +175,38 @@ def test_given_lines_against_all_pairs(spark):
     assert len(got - want) <= len(want - got), "a lost link may leave another first occurrence, and no more"
 
 
+def test_surplus_is_a_lower_bound(spark):
+    """Characters of one line that another lacks, against plain counting; never more than the edit distance."""
+    draw = random.Random(5)
+    letters = lines.COUNTED + "jkqxz7é字"
+    line = lambda: "".join(draw.choices(letters, weights=[draw.random() for _ in letters], k=draw.randint(1, 120)))
+    pairs = [(line(), line()) for _ in range(200)] + [("a" * 300 + "b", "b" * 130), ("", "e"), ("k" * 200, "j" * 90)]
+    for x in [line() for _ in range(100)]:
+        at = draw.randrange(len(x))
+        pairs.append((x, x[:at] + draw.choice(letters) + x[at + draw.randrange(2) :]))
+    rows = spark.createDataFrame(pairs, "x string, y string").select("x", "y", *(lines.packed(F.array(*lines.counted(c))).alias("c" + c) for c in "xy"))
+    counts = lambda s: {**{c: min(127, s.count(c)) for c in lines.COUNTED}, "": min(127, sum(c not in lines.COUNTED for c in s))}
+    got = rows.select("x", "y", lines.surplus(F.col("cx"), F.col("cy")).alias("over"), F.levenshtein("x", "y").alias("distance")).collect()
+    for r in got:
+        x, y = counts(r["x"]), counts(r["y"])
+        assert r["over"] == sum(max(0, x[c] - y[c]) for c in x) <= r["distance"], (r["x"], r["y"])
+
+
+def test_lines_of_other_letters_are_no_candidates(spark, monkeypatch):
+    """Lines that share a passage, each with letters of its own besides, aren't compared; similar ones among them are found."""
+    shared, kinds = "wonderful passages everybody repeats", ["abc", "def", "ghi", "lmn", "opr", "stu", "wab", "cgl"]
+    draw = random.Random(9)
+    rows = [f"{' '.join(''.join(draw.choices(k, k=6)) for _ in range(12))} {shared}" for k in kinds for _ in range(4)]
+    rows += [r[1:] for r in rows[::4]]
+    compared = []
+    monkeypatch.setattr(lines, "similar", lambda pairs, similarity, f=lines.similar: compared.extend(pairs.select("x", "y").collect()) or f(pairs, similarity))
+    got = {r["id"] for r in lines.groups(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got == set(range(32, 40))
+    for r in compared:
+        x, y = Counter(r["x"]), Counter(r["y"])
+        assert (x - y).total() <= 0.15 * max(len(r["x"]), len(r["y"])), "letters apart already tell these apart"
+
+
 def test_columns_of_the_operators_own_names(spark):
     docs = spark.createDataFrame([(1, "a b c d e\na b c d e", 5, "x", 7), (2, "one\none", 5, "x", 7)], "doc_id long, text string, ln int, body string, h long")
     got = {r["doc_id"]: r for r in lines.deduped(docs).collect()}
