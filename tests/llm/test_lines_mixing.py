@@ -207,6 +207,15 @@ def test_lines_of_other_letters_are_no_candidates(spark, monkeypatch):
         assert (x - y).total() <= 0.15 * max(len(r["x"]), len(r["y"])), "letters apart already tell these apart"
 
 
+def test_copies_alone_make_no_lists(spark, monkeypatch):
+    """Blocks that only copies of one line have aren't kept for the search of similar lines."""
+    seen = []
+    monkeypatch.setattr(lines, "linked", lambda lists, *rest, f=lines.linked: seen.append(lists.count()) or f(lists, *rest))
+    one, two = ("every one of these words stands in a line of its own kind today", "altogether different things are said here in quite another manner by them")
+    docs = spark.createDataFrame([(i, one if i % 2 else two) for i in range(6)], "doc_id long, text string")
+    assert {r["id"] for r in lines.groups(docs).collect()} == {2, 3, 4, 5} and seen == [0]
+
+
 def test_columns_of_the_operators_own_names(spark):
     docs = spark.createDataFrame([(1, "a b c d e\na b c d e", 5, "x", 7), (2, "one\none", 5, "x", 7)], "doc_id long, text string, ln int, body string, h long")
     got = {r["doc_id"]: r for r in lines.deduped(docs).collect()}
