@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from parcelwise.llm import lines, mixing, queries
+from parcelwise.llm import components, lines, mixing, queries
 
 SCHEMA = "doc_id long, text string, source string, lang string, n_chars long"
 
@@ -216,6 +216,39 @@ def test_copies_alone_make_no_lists(spark, monkeypatch):
     assert {r["id"] for r in lines.groups(docs).collect()} == {2, 3, 4, 5} and seen == [0]
 
 
+def one_block_pairs(spark):
+    """Lines that all have one passage, and two pairs of similar ones among them, each pair with one block in common: the passage's."""
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choices("abcdefghilmnoprstu", k=draw.randint(3, 9)))
+    # The passage begins with a word of very small hash, so that it is an anchor of every line.
+    least = spark.range(2000).select(F.concat(F.lit("passage"), "id").alias("w")).orderBy(F.xxhash64("w").bitwiseAND(F.lit((1 << 63) - 1))).first()["w"]
+    shared = f"{least} so it is"
+    first = [[word() for _ in range(30)] for _ in range(80)]
+    rows = []
+    for w in first:
+        v = list(w)
+        for k in draw.sample(range(30), 12):
+            v[k] = "z" + v[k][1:]
+        at = draw.randrange(31)
+        rows.append([" ".join([*x[:at], shared, *x[at:]]) for x in (w, v)])
+    keys = lambda x: lines.blocks(F.split(x, " "))
+    passed = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, x string, y string").select("i", keys("x").alias("x"), keys("y").alias("y")).collect()
+    held = Counter(k for r in passed for k in {*r["x"], *r["y"]})
+    common = held.most_common(1)[0][0]
+    lone = [r["i"] for r in passed if {*r["x"]} & {*r["y"]} == {common}][:2]
+    assert len(lone) == 2 and held[common] > 40
+    fill = [rows[r["i"]][0] for r in passed if common in r["x"] and r["i"] not in lone]
+    return [*fill, *(rows[i][0] for i in lone)], [rows[i][1] for i in lone]
+
+
+def test_one_block_that_many_lines_have_is_enough(spark):
+    """Similar lines whose only common block is one of a long list are found."""
+    given, copies = one_block_pairs(spark)
+    assert len(given) > 2 * components.SHORT
+    got = {r["id"] for r in lines.groups(spark.createDataFrame(list(enumerate([*given, *copies])), "doc_id long, text string")).collect()}
+    assert got == {len(given), len(given) + 1}
+
+
 def test_columns_of_the_operators_own_names(spark):
     docs = spark.createDataFrame([(1, "a b c d e\na b c d e", 5, "x", 7), (2, "one\none", 5, "x", 7)], "doc_id long, text string, ln int, body string, h long")
     got = {r["doc_id"]: r for r in lines.deduped(docs).collect()}
