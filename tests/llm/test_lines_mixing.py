@@ -192,6 +192,30 @@ def test_surplus_is_a_lower_bound(spark):
         assert r["over"] == sum(max(0, x[c] - y[c]) for c in x) <= r["distance"], (r["x"], r["y"])
 
 
+def test_one_way_is_an_upper_bound(spark):
+    """The way from word to word is never shorter than the distance, and settles lines with words put in, taken out and misspelt."""
+    draw = random.Random(6)
+    word = lambda: "".join(draw.choices("abcdehiorst", k=draw.randint(1, 7)))
+    pairs = [("a b", "b a"), ("a", "b"), ("a a a b a a", "a a b a a a"), (" ".join(["ab"] * 60), " ".join(["ab"] * 50 + ["cd"] * 10)), ("", "a")]
+    for k in range(120):
+        w = [word() for _ in range(draw.randint(1, 60))]
+        v = [word() for _ in w] if k % 3 == 0 else list(w)
+        for _ in range(len(w) // 15):
+            v.insert(draw.randrange(len(v) + 1), word())
+            v.pop(draw.randrange(len(v)))
+            v[draw.randrange(len(v))] += "z"
+        pairs.append((" ".join(w), " ".join(v)))
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i long, x string, y string")
+    way = lambda allowed: lines.walked(F.split("x", " "), F.split("y", " "), F.lit(allowed))
+    got = rows.select("i", "x", "y", way(10_000).alias("way"), way(20).alias("short"), F.levenshtein("x", "y").alias("distance")).collect()
+    for r in got:
+        assert r["distance"] <= r["way"] and (r["short"] == r["way"] if r["way"] <= 20 else r["short"] > 20), r
+    near = [r for r in got if r["i"] >= 5 and (r["i"] - 5) % 3 and r["distance"] <= 0.15 * max(len(r["x"]), len(r["y"]))]
+    assert len(near) > 50 and sum(r["way"] <= 0.15 * max(len(r["x"]), len(r["y"])) for r in near) >= 0.8 * len(near)
+    want = {(r["i"], r["i"] + 1000) for r in got if r["distance"] <= int(max(len(r["x"]), len(r["y"])) * 0.15 + 1e-9)}
+    assert {(r["a"], r["b"]) for r in lines.similar(rows.select(F.col("i").alias("a"), (F.col("i") + 1000).alias("b"), "x", "y"), 0.85).collect()} == want
+
+
 def test_lines_of_other_letters_are_no_candidates(spark, monkeypatch):
     """Lines that share a passage, each with letters of its own besides, aren't compared; similar ones among them are found."""
     shared, kinds = "wonderful passages everybody repeats", ["abc", "def", "ghi", "lmn", "opr", "stu", "wab", "cgl"]
